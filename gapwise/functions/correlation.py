@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from gapwise.functions.missing import c, dbl, profile
 
 # Above this many columns the pair sums are built from per-partition matrices instead of one wide aggregate.
-WIDE = 12
+WIDE = 6
 
 PAIR_SCHEMA = "col_a string, col_b string, n long, sd_a double, sd_b double, cov double"
 

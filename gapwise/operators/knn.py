@@ -91,7 +91,18 @@ def _with_cells(donors: DataFrame, p: int, splits: Splits, patterns: list[tuple[
             .withColumn("mixed", F.col("kind") == F.lit(MAX_PATTERNS)).drop("leaf", "kind", "cut"))
 
 
-def nearest_donors(receivers: DataFrame, donors: DataFrame, p: int, keys: Sequence[str], k: int,
+def _patterns(donors: DataFrame, sample: np.ndarray, p: int) -> list[tuple[str, int]]:
+    """The commonest donor patterns with their row counts; read off the sample if it holds every donor."""
+    if len(sample) < CUT_SAMPLE:
+        masks, counts = np.unique(np.isnan(sample), axis=0, return_counts=True)
+        found = [("".join("1" if m else "0" for m in mask), int(n)) for mask, n in zip(masks, counts)]
+        return sorted(found, key=lambda f: (-f[1], f[0]))[:MAX_PATTERNS]
+    rows = (donors.groupBy(_pattern(p).alias("pattern")).agg(F.count(F.lit(1)).alias("n"))
+            .orderBy(F.desc("n"), "pattern").limit(MAX_PATTERNS).collect())
+    return [(r["pattern"], r["n"]) for r in rows]
+
+
+def nearest_donors(receivers: DataFrame, receiver_count: int, donors: DataFrame, p: int, keys: Sequence[str], k: int,
                    width: int, task_rows: int = TASK_ROWS) -> DataFrame:
     """(row, v, d2): for every receiver its k nearest donors by (rounded distance, key).
 
@@ -99,15 +110,14 @@ def nearest_donors(receivers: DataFrame, donors: DataFrame, p: int, keys: Sequen
     the p of the distance formula (all columns, the target included).
     """
     spark = receivers.sparkSession
-    parallel = spark.sparkContext.defaultParallelism
+    parallel = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     x = _x(p)
+    nobody = receivers.select("row", F.lit(0.0).alias("v"), F.lit(0.0).alias("d2")).limit(0)
     donors = stage(distinct_donors(donors, p, keys, k), "donors")
-    patterns = [(r["pattern"], r["n"]) for r in
-                donors.groupBy(_pattern(p).alias("pattern")).agg(F.count(F.lit(1)).alias("n"))
-                .orderBy(F.desc("n"), "pattern").limit(MAX_PATTERNS).collect()]
-    if not patterns:
-        return receivers.select(F.col("row"), F.lit(0.0).alias("v"), F.lit(0.0).alias("d2")).limit(0)
-    sample = donors.orderBy(F.xxhash64(*keys)).limit(CUT_SAMPLE).select(*x).toPandas().to_numpy(dtype=float)
+    sample = (donors.orderBy(F.xxhash64(*keys)).limit(CUT_SAMPLE).select(*x).toPandas().to_numpy(dtype=float))
+    if not len(sample):
+        return nobody
+    patterns = _patterns(donors, sample, p)
     splits = cut_sample(sample, _depth(patterns[0][1], 3))
     celled = _with_cells(donors, p, splits, patterns)
     boxes, cell_ids = _boxes(celled, p)
@@ -119,14 +129,18 @@ def nearest_donors(receivers: DataFrame, donors: DataFrame, p: int, keys: Sequen
             out["cell"] = cell_ids[box]
             yield out
 
-    placed = receivers.withColumn("leaf", _leaf(splits, p)).repartitionByRange(
-        max(parallel, receivers.rdd.getNumPartitions()), "leaf", "row")
+    # neighbours in space share a batch, and the salt keeps a crowded leaf from filling one task
+    placed = (receivers.withColumn("leaf", _leaf(splits, p))
+              .repartition(parallel, "leaf", F.pmod(F.xxhash64("row"), F.lit(16))).sortWithinPartitions("leaf"))
     visits = placed.mapInPandas(find, T.StructType(receivers.schema.fields + [T.StructField("cell", T.LongType())]))
-    load = {r["cell"]: r["n"] for r in visits.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if receiver_count <= task_rows:  # no cell can be visited more often than that
+        load = dict.fromkeys(cell_ids.tolist(), receiver_count)
+    else:
+        load = {r["cell"]: r["n"] for r in visits.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = [(int(cell), max(1, math.ceil(n / task_rows)), max(1, math.ceil(load[cell] / task_rows)))
             for cell, n in zip(cell_ids.tolist(), boxes.count.tolist()) if cell in load]
     if not plan:
-        return receivers.select(F.col("row"), F.lit(0.0).alias("v"), F.lit(0.0).alias("d2")).limit(0)
+        return nobody
     shares = F.broadcast(spark.createDataFrame(plan, "cell long, dn int, rn int"))  # one row per cell: bounded
     tasks = min(100_000, max(parallel, 2 * sum(d * r for _, d, r in plan)))
     meet = ["cell", "dpart", "rpart"]
@@ -186,7 +200,8 @@ def impute_knn(df: DataFrame, key: Sequence[str], cols: Sequence[str], seen: Pro
         donors = df.where(c(target).isNotNull()).select(
             *vector, dbl(target).alias("v"), *[c(n).alias(a) for n, a in zip(key, keys)])
         receivers = incomplete.where(c(target).isNull()).select(c(ROW).alias("row"), *vector)
-        chosen = nearest_donors(receivers, donors, len(others), keys, n_neighbors, len(cols))
+        chosen = nearest_donors(receivers, seen.columns[target].missing, donors, len(others), keys, n_neighbors,
+                                len(cols))
         part = neighbour_mean(chosen, weights).select(F.col("row").alias(ROW), F.lit(i).alias("i"), "fill")
         fills = part if fills is None else fills.unionByName(part)
     wide = fills.groupBy(ROW).agg(*[F.max(F.when(F.col("i") == i, F.col("fill"))).alias(fill_name(i))

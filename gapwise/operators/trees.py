@@ -43,11 +43,25 @@ def boosted_trees(seed: int, rounds: int = 50) -> Learner:
     return learn
 
 
+def _spread(train: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Even, key-ordered partitions of the (numeric, narrow) training set.
+
+    Training passes over it dozens of times, so one shuffle pays, and sampling inside the learner then
+    sees the same rows in the same order however the input was laid out. The key is unique: no hot spot.
+    """
+    spark = train.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if not key:
+        return train.repartition(parts)
+    return train.repartition(parts, *[c(k) for k in key]).sortWithinPartitions(*[c(k) for k in key])
+
+
 def _assembled(df: DataFrame, inputs: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(inputs), outputCol=FEATURES).transform(df)
 
 
-def impute_trees(df: DataFrame, cols: Sequence[str], seen: Profile, learn: Learner, max_iter: int) -> DataFrame:
+def impute_trees(df: DataFrame, key: Sequence[str], cols: Sequence[str], seen: Profile, learn: Learner,
+                 max_iter: int) -> DataFrame:
     cols = list(cols)
     gaps = seen.with_gaps(cols)
     means = {n: seen.columns[n].mean for n in gaps}
@@ -57,31 +71,33 @@ def impute_trees(df: DataFrame, cols: Sequence[str], seen: Profile, learn: Learn
     if len(cols) == 1:
         return df.withColumns({n: F.coalesce(dbl(n), F.lit(means[n])) for n in gaps})
     if len(order) == 1:
-        return _single_column(df, cols, order[0], learn)
-    return _rounds(df, cols, gaps, means, order, learn, max_iter, seen)
+        return _single_column(df, key, cols, order[0], learn)
+    return _rounds(df, key, cols, gaps, means, order, learn, max_iter, seen)
 
 
-def _single_column(df: DataFrame, cols: Sequence[str], at: int, learn: Learner) -> DataFrame:
+def _single_column(df: DataFrame, key: Sequence[str], cols: Sequence[str], at: int, learn: Learner) -> DataFrame:
     """Complete predictors: every round would train the same model, so one training is the answer."""
     target = cols[at]
     inputs = [f"__in{i}" for i in range(len(cols)) if i != at]
     wide = df.withColumns({f"__in{i}": dbl(n) for i, n in enumerate(cols) if i != at})
-    train = _assembled(wide.where(c(target).isNotNull()).select(*inputs, dbl(target).alias(LABEL)), inputs)
-    model = learn(train.select(FEATURES, LABEL))
+    known = wide.where(c(target).isNotNull()).select(*[c(k) for k in key], *inputs, dbl(target).alias(LABEL))
+    model = learn(_assembled(_spread(known, key), inputs).select(FEATURES, LABEL))
     scored = model.transform(_assembled(wide, inputs))
     return (scored.withColumn(target, F.coalesce(dbl(target), F.col(PREDICTION)))
             .select(*[c(n) for n in df.columns]))
 
 
-def _rounds(df: DataFrame, cols: Sequence[str], gaps: Sequence[str], means: dict[str, float], order: Sequence[int],
-            learn: Learner, max_iter: int, seen: Profile) -> DataFrame:
+def _rounds(df: DataFrame, key: Sequence[str], cols: Sequence[str], gaps: Sequence[str], means: dict[str, float],
+            order: Sequence[int], learn: Learner, max_iter: int, seen: Profile) -> DataFrame:
     """Rounds over several columns. Only rows with gaps are rewritten; complete rows are read as they are."""
     complete, incomplete = split_rows(df, gaps)
     inputs = [f"x{i}" for i in range(len(cols))]
     missing = [f"m{i}" for i in range(len(cols))]
-    whole = complete.select(*[dbl(n).alias(x) for n, x in zip(cols, inputs)])
+    ids = [f"k{i}" for i in range(len(key))]
+    named = [c(k).alias(i) for k, i in zip(key, ids)]
+    whole = complete.select(*named, *[dbl(n).alias(x) for n, x in zip(cols, inputs)])
     state = stage(incomplete.select(
-        ROW, *[F.coalesce(dbl(n), F.lit(means.get(n, 0.0))).alias(x) for n, x in zip(cols, inputs)],
+        ROW, *named, *[F.coalesce(dbl(n), F.lit(means.get(n, 0.0))).alias(x) for n, x in zip(cols, inputs)],
         *[c(n).isNull().alias(m) for n, m in zip(cols, missing)]), "round")
     limit = STOP_SHARE * max(max(abs(seen.columns[n].low), abs(seen.columns[n].high)) for n in cols)
     for _ in range(max_iter):
@@ -89,11 +105,11 @@ def _rounds(df: DataFrame, cols: Sequence[str], gaps: Sequence[str], means: dict
         now = state.withColumns({f"p{i}": F.col(f"x{i}") for i in order})
         for at in order:
             others = [x for i, x in enumerate(inputs) if i != at]
-            rows = now.where(~F.col(missing[at])).select(*inputs).unionByName(whole)
-            model = learn(_assembled(rows, others).select(FEATURES, F.col(inputs[at]).alias(LABEL)))
+            rows = now.where(~F.col(missing[at])).select(*ids, *inputs).unionByName(whole)
+            model = learn(_assembled(_spread(rows, ids), others).select(FEATURES, F.col(inputs[at]).alias(LABEL)))
             now = (model.transform(_assembled(now, others))
                    .withColumn(inputs[at], F.when(F.col(missing[at]), F.col(PREDICTION)).otherwise(F.col(inputs[at])))
-                   .select(ROW, *inputs, *missing, *before))
+                   .select(ROW, *ids, *inputs, *missing, *before))
         state = stage(now, "round")
         moved = sum((F.abs(F.col(f"x{i}") - F.col(f"p{i}")) for i in order), F.lit(0.0))
         if (state.agg(F.max(moved)).first()[0] or 0.0) < limit:

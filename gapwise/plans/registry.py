@@ -137,11 +137,11 @@ def _knn(r: Request) -> Result:
 
 def _random_forest(r: Request) -> Result:
     learner = random_forest(r.integer("n_estimators", 30, 5, 100), r.seed)
-    return Result(impute_trees(r.df, r.cols, r.seen, learner, r.integer("max_iter", 5, 1, 10)))
+    return Result(impute_trees(r.df, r.key, r.cols, r.seen, learner, r.integer("max_iter", 5, 1, 10)))
 
 
 def _gradient_boosting(r: Request) -> Result:
-    return Result(impute_trees(r.df, r.cols, r.seen, boosted_trees(r.seed), r.integer("max_iter", 5, 1, 10)))
+    return Result(impute_trees(r.df, r.key, r.cols, r.seen, boosted_trees(r.seed), r.integer("max_iter", 5, 1, 10)))
 
 
 def _multiple(r: Request) -> Result:

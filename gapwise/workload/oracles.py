@@ -190,13 +190,13 @@ s AS (SELECT avg(price) AS am, avg(qty) AS bm, avg(net) AS ym, covar_pop(price,
              covar_pop(price, qty) AS ab, covar_pop(price, net) AS ay, covar_pop(qty, net) AS bt
       FROM x WHERE net IS NOT NULL),
 f AS (SELECT am, bm, ym, (bb * ay - ab * bt) / (aa * bb - ab * ab) AS u, (aa * bt - ab * ay) / (aa * bb - ab * ab) AS v FROM s)
-SELECT {KEYS}, {r('coalesce(net, ym + u * (price - am) + v * (qty - bm))', 1)} AS net FROM x, f"""
+SELECT {KEYS}, coalesce(net, {r('ym + u * (price - am) + v * (qty - bm)', 1)}) AS net FROM x, f"""
 
 REGRESSION_GAPS = f"""WITH {PRICES_GAPS},
 h AS (SELECT *, coalesce(net, (SELECT avg(net) FROM x)) AS hn, coalesce(charge, (SELECT avg(charge) FROM x)) AS hc FROM x),
 f AS (SELECT regr_slope(net, hc) AS n1, regr_intercept(net, hc) AS n0, regr_slope(charge, hn) AS c1,
              regr_intercept(charge, hn) AS c0 FROM h)
-SELECT {KEYS}, {r('coalesce(net, n0 + n1 * hc)', 1)} AS net, {r('coalesce(charge, c0 + c1 * hn)', 1)} AS charge FROM h, f"""
+SELECT {KEYS}, coalesce(net, {r('n0 + n1 * hc', 1)}) AS net, coalesce(charge, {r('c0 + c1 * hn', 1)}) AS charge FROM h, f"""
 
 EM = f"""WITH RECURSIVE {PRICES_MCAR},
 c AS (SELECT avg(price) AS pm, avg(net) AS nm FROM x),
@@ -217,7 +217,7 @@ em(i, m1, m2, v1, v12, v2, stop, f0, f1) AS (
                            em.m2 - em.v12 / em.v1 * em.m1 AS k0
                     FROM em, s WHERE NOT em.stop AND em.i < 100)))),
 f AS (SELECT f0, f1 FROM em ORDER BY i DESC LIMIT 1)
-SELECT {KEYS}, {r('coalesce(net, nm + f0 + f1 * (price - pm))', 1)} AS net FROM x, f, c"""
+SELECT {KEYS}, coalesce(net, {r('nm + f0 + f1 * (price - pm)', 1)}) AS net FROM x, f, c"""
 
 
 def _draws() -> str:
@@ -319,15 +319,15 @@ ORACLES: dict[str, str] = {
     "impute_knn_orders": _knn("orders", "o_orderkey", "o_custkey", "o_totalprice", "uniform", 2),
     "pattern_statistics": PATTERNS,
     "impute_regression_1": f"WITH {PRICES_MCAR}, f AS (SELECT regr_slope(net, price) AS b1, regr_intercept(net, price) AS b0 FROM x) "
-                           f"SELECT {KEYS}, {r('coalesce(net, b0 + b1 * price)', 1)} AS net FROM x, f",
+                           f"SELECT {KEYS}, coalesce(net, {r('b0 + b1 * price', 1)}) AS net FROM x, f",
     "impute_regression_2": REGRESSION_2,
     "impute_regression_gaps": REGRESSION_GAPS,
     "impute_regression_noise":
         f"WITH {PRICES_MCAR}, f AS (SELECT regr_slope(net, price) AS b1, regr_intercept(net, price) AS b0 FROM x), "
         "g AS (SELECT sqrt(avg((net - b0 - b1 * price) ** 2)) AS sd FROM x, f WHERE net IS NOT NULL) "
-        f"SELECT {KEYS}, {r('coalesce(net, b0 + b1 * price + sd * ' + normal(LINE_KEY, 'net') + ')', 1)} AS net FROM x, f, g",
+        f"SELECT {KEYS}, coalesce(net, {r('b0 + b1 * price + sd * ' + normal(LINE_KEY, 'net'), 1)}) AS net FROM x, f, g",
     "impute_iterative": f"WITH RECURSIVE {PRICES_MCAR}, {ridge('net', 'price')} "
-                        f"SELECT {KEYS}, {r('coalesce(net, ym + slope * (price - xm))', 1)} AS net FROM x, f",
+                        f"SELECT {KEYS}, coalesce(net, {r('ym + slope * (price - xm)', 1)}) AS net FROM x, f",
     "impute_em": EM,
     "impute_multiple": MULTIPLE,
     "pooled": POOLED,

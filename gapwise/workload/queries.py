@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gapwise.functions.correlation import correlation_matrix
 from gapwise.functions.draws import hash_uniform
-from gapwise.functions.missing import MASK, c, profile, truth_name
+from gapwise.functions.missing import GAPS, MASK, c, profile, truth_name
 from gapwise.operators.inject import inject_missing, mask_where, resolve_missing
 from gapwise.operators.knn import standardised
 from gapwise.operators.moments import pattern_sums
@@ -260,8 +260,7 @@ def impute_knn_orders(spark, d):
 @query
 def impute_knn_cells(spark, d):
     """Two columns with gaps, donors with gaps of their own, three coordinates per distance."""
-    out = impute(prices_two_gaps(spark, d), "knn", {"n_neighbors": 5}, key=LINE_KEY).frame
-    return out.select(*LINE_KEY, rounded("net", 2).alias("net"), rounded("charge", 2).alias("charge"))
+    return _fills(prices_two_gaps(spark, d), "knn", {"n_neighbors": 5}, ("net", "charge"), 2)
 
 
 # ------------------------------------------------------------------ models
@@ -278,64 +277,64 @@ def pattern_statistics(spark, d):
         *[rounded(F.col(f"q_{i}_{j}") / n / 1e8).alias(f"q_{i}_{j}") for i in range(3) for j in range(i, 3)])
 
 
-def _net(out: DataFrame, digits: int = 1) -> DataFrame:
-    return out.select(*LINE_KEY, rounded("net", digits).alias("net"))
+def _fills(df: DataFrame, method: str, params: dict | None, names: tuple[str, ...], digits: int = 1,
+           seed: int = 0) -> DataFrame:
+    """Observed cells as they are, filled cells rounded (engines differ in the last bits of a sum)."""
+    out = impute(df, method, params, seed, LINE_KEY, track=True).frame
+    cells = [F.when(F.array_contains(c(GAPS), n), rounded(n, digits)).otherwise(c(n)).alias(n) for n in names]
+    return out.select(*LINE_KEY, *cells)
 
 
 @query
 def impute_regression_1(spark, d):
-    return _net(impute(prices_mcar(spark, d, "price"), "regression", key=LINE_KEY).frame)
+    return _fills(prices_mcar(spark, d, "price"), "regression", {}, ("net",))
 
 
 @query
 def impute_regression_2(spark, d):
-    return _net(impute(prices_mcar(spark, d, "price", "qty"), "regression", key=LINE_KEY).frame)
+    return _fills(prices_mcar(spark, d, "price", "qty"), "regression", {}, ("net",))
 
 
 @query
 def impute_regression_gaps(spark, d):
     """Predictors have gaps themselves and are mean-filled."""
     df = prices_two_gaps(spark, d).select(*LINE_KEY, "net", "charge")
-    out = impute(df, "regression", key=LINE_KEY).frame
-    return out.select(*LINE_KEY, rounded("net", 1).alias("net"), rounded("charge", 1).alias("charge"))
+    return _fills(df, "regression", {}, ("net", "charge"))
 
 
 @query
 def impute_regression_noise(spark, d):
-    out = impute(prices_mcar(spark, d, "price"), "regression", {"stochastic": True}, SEED, LINE_KEY).frame
-    return _net(out)
+    return _fills(prices_mcar(spark, d, "price"), "regression", {"stochastic": True}, ("net",), seed=SEED)
 
 
 @query
 def impute_iterative(spark, d):
-    return _net(impute(prices_mcar(spark, d, "price"), "iterative", key=LINE_KEY).frame)
+    return _fills(prices_mcar(spark, d, "price"), "iterative", {}, ("net",))
 
 
 @query
 def impute_iterative_gaps(spark, d):
-    out = impute(prices_two_gaps(spark, d), "iterative", key=LINE_KEY).frame
-    return out.select(*LINE_KEY, rounded("net", 1).alias("net"), rounded("charge", 1).alias("charge"))
+    return _fills(prices_two_gaps(spark, d), "iterative", {}, ("net", "charge"))
 
 
 @query
 def impute_em(spark, d):
-    return _net(impute(prices_mcar(spark, d, "price"), "em", key=LINE_KEY).frame)
+    return _fills(prices_mcar(spark, d, "price"), "em", {}, ("net",))
 
 
 @query
 def impute_em_gaps(spark, d):
-    out = impute(prices_two_gaps(spark, d), "em", key=LINE_KEY).frame
-    return out.select(*LINE_KEY, rounded("net", 1).alias("net"), rounded("charge", 1).alias("charge"))
+    return _fills(prices_two_gaps(spark, d), "em", {}, ("net", "charge"))
 
 
 @query
 def impute_random_forest(spark, d):
-    return _net(impute(prices_mcar(spark, d, "price", "qty"), "random_forest", key=LINE_KEY).frame)
+    return _fills(prices_mcar(spark, d, "price", "qty"), "random_forest", {}, ("net",))
 
 
 @query
 def impute_gradient_boosting(spark, d):
-    return _net(impute(prices_mcar(spark, d, "price", "qty"), "gradient_boosting", key=LINE_KEY).frame)
+    return _fills(prices_mcar(spark, d, "price", "qty"), "gradient_boosting", {}, ("net",))
 
 
 @query
