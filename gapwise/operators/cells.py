@@ -93,34 +93,54 @@ def kth_upper(upper: np.ndarray, count: np.ndarray, k: int) -> np.ndarray:
     return np.where(reached.any(axis=1), bound, np.inf)
 
 
-def reachable(x: np.ndarray, boxes: Boxes, k: int, p: int, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, box) pairs in which one of the row's k nearest donors may lie.
+def _subset(boxes: Boxes, keep: np.ndarray) -> Boxes:
+    return Boxes(boxes.low[keep], boxes.high[keep], boxes.full[keep], boxes.exact[keep], boxes.count[keep])
 
-    Rows of one ``group`` first share a coarse test of their common box, then each is tested itself.
+
+def reachable(x: np.ndarray, boxes: Boxes, k: int, p: int,
+              groups: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, box) pairs in which one of the row's k nearest donors may lie, and a bound per row.
+
+    Within the bound lie at least k donors, so nothing beyond it matters. ``groups`` lists labels from
+    coarse to fine: rows that share a label (and a pattern) are first tested together by their common
+    box, and only the boxes that survive are tested further down, finally row by row.
     """
-    rows_out, boxes_out = [], []
     present = ~np.isnan(x)
-    tag = np.unique(np.column_stack([group, present]), axis=0, return_inverse=True)[1].ravel()
-    for g in np.unique(tag):
-        rows = np.flatnonzero(tag == g)
-        low, high, have = x[rows].min(axis=0)[None], x[rows].max(axis=0)[None], present[rows[:1]]
-        lower, upper = box_bounds(low, high, have, boxes, p)
-        keep = np.flatnonzero(lower[0] <= kth_upper(upper, boxes.count, k)[0])
-        keep = keep[np.isfinite(lower[0][keep])]
-        if not len(keep):
+    pattern = np.unique(present, axis=0, return_inverse=True)[1].ravel()
+    rows_out, boxes_out, bound = [], [], np.full(len(x), np.inf)
+    todo = [(np.arange(len(x)), np.arange(len(boxes.count)), 0)]
+    while todo:
+        rows, keep, level = todo.pop()
+        if level < len(groups):
+            for part in _split_by(rows, groups[level][rows] * (pattern.max() + 1) + pattern[rows]):
+                if level and len(part) < 4:  # too few to share a test
+                    todo.append((part, keep, len(groups)))
+                    continue
+                lower, upper = box_bounds(x[part].min(axis=0)[None], x[part].max(axis=0)[None], present[part[:1]],
+                                          _subset(boxes, keep), p)
+                near = np.isfinite(lower[0]) & (lower[0] <= kth_upper(upper, boxes.count[keep], k)[0])
+                if near.any():
+                    todo.append((part, keep[near], level + 1))
             continue
-        sub = Boxes(boxes.low[keep], boxes.high[keep], boxes.full[keep], boxes.exact[keep], boxes.count[keep])
+        sub = _subset(boxes, keep)
         step = max(1, 2_000_000 // (len(keep) * x.shape[1]))
         for s in range(0, len(rows), step):
             part = rows[s : s + step]
             lower, upper = box_bounds(x[part], x[part], present[part], sub, p)
-            hit = np.isfinite(lower) & (lower <= kth_upper(upper, sub.count, k)[:, None])
+            bound[part] = kth_upper(upper, sub.count, k)
+            hit = np.isfinite(lower) & (lower <= bound[part][:, None])
             r, b = np.nonzero(hit)
             rows_out.append(part[r])
             boxes_out.append(keep[b])
     if not rows_out:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    return np.concatenate(rows_out), np.concatenate(boxes_out)
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), bound
+    return np.concatenate(rows_out), np.concatenate(boxes_out), bound
+
+
+def _split_by(rows: np.ndarray, label: np.ndarray) -> list[np.ndarray]:
+    order = np.argsort(label, kind="stable")
+    cuts = np.flatnonzero(np.diff(label[order])) + 1
+    return np.split(rows[order], cuts)
 
 
 def _blocks(x: np.ndarray, size: int) -> list[np.ndarray]:
@@ -158,16 +178,20 @@ def squared_distances(a: np.ndarray, b: np.ndarray, p: int) -> np.ndarray:
         return np.where(common > 0, total * (p / common), np.inf)
 
 
-def nearest(queries: np.ndarray, donors: np.ndarray, k: int, p: int,
-            block: int = 64) -> tuple[np.ndarray, np.ndarray]:
+def nearest(queries: np.ndarray, donors: np.ndarray, k: int, p: int, bound: np.ndarray | None = None,
+            block: int = 128) -> tuple[np.ndarray, np.ndarray]:
     """The k nearest donors of each query, ordered by (rounded distance, donor position).
 
-    Returns (positions, squared distances), with position -1 where there are fewer than k.
+    Returns (positions, squared distances), with position -1 where there are fewer than k. With a
+    ``bound`` per query, donors beyond it need not be reported.
     """
     best_at = np.full((len(queries), k), -1, dtype=np.int64)
     best_d = np.full((len(queries), k), np.inf)
     if not len(queries) or not len(donors):
         return best_at, best_d
+    if bound is None:
+        bound = np.full(len(queries), np.inf)
+    bound = bound * (1 + SLACK) + SLACK
     blocks = _blocks(donors, block)
     boxes = _box_table(donors, blocks)
     for rows in _blocks(queries, block):
@@ -180,7 +204,10 @@ def nearest(queries: np.ndarray, donors: np.ndarray, k: int, p: int,
         dist = np.zeros((len(rows), 0))
         done, take = 0, max(1, -(-k // block))
         while done < len(order):
-            limit = np.round(dist[:, -1], DECIMALS).max() if dist.shape[1] == k else np.inf
+            limit = bound[rows]
+            if dist.shape[1] == k:
+                limit = np.minimum(limit, np.round(dist[:, -1], DECIMALS))
+            limit = limit.max()
             batch = [i for i in order[done : done + take] if lower[i] <= limit]
             if not batch:
                 break
@@ -194,6 +221,6 @@ def nearest(queries: np.ndarray, donors: np.ndarray, k: int, p: int,
             at, dist = np.take_along_axis(at, best, axis=1), np.take_along_axis(dist, best, axis=1)
             done += len(order[done : done + take])
             take = min(take * 2, 16)
-        best_at[rows, : at.shape[1]] = np.where(np.isfinite(dist), at, -1)
+        best_at[rows, : at.shape[1]] = np.where(np.isfinite(dist) & (dist <= bound[rows][:, None]), at, -1)
         best_d[rows, : dist.shape[1]] = dist
     return best_at, best_d

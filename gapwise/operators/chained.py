@@ -10,10 +10,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapwise.functions.missing import Profile, any_missing
-from gapwise.operators.affine import AffineFill
+from gapwise.functions.missing import Profile, any_missing, dbl
+from gapwise.operators.affine import EXPRESSION_TERMS, AffineFill
 from gapwise.operators.linear import LinearFit, bayesian_ridge
-from gapwise.operators.moments import PatternStats, numeric_frame, pattern_stats
+from gapwise.operators.moments import PatternStats, numeric_frame, pattern_column, pattern_stats
 
 # Fixed value of the method: stop when no row moves by more than this share of the largest value.
 STOP_SHARE = 1e-3
@@ -89,25 +89,33 @@ def _run(stats: PatternStats, order: Sequence[int], rounds: int,
     return steps
 
 
-def largest_moves(df: DataFrame, cols: Sequence[str], shift: np.ndarray, chain: ChainMap,
-                  per_round: int) -> np.ndarray:
-    """Largest row sum of absolute changes in every round. One job."""
-    rounds = len(chain.steps) // per_round
-    marks = [r * per_round for r in range(rounds + 1)]
+def _round_changes(chain: ChainMap, mask: np.ndarray, per_round: int) -> np.ndarray:
+    """(rounds, p, p + 1): by how much each round changed the affine map of one pattern."""
+    marks = range(0, len(chain.steps) + 1, per_round)
+    return np.diff(np.stack(chain.history(mask, marks)), axis=0)
+
+
+def largest_moves(df: DataFrame, stats: PatternStats, chain: ChainMap, per_round: int) -> np.ndarray:
+    """Largest row sum of absolute changes in every round. One job over the rows with gaps."""
+    cols, rounds = stats.cols, len(chain.steps) // per_round
+    if stats.on_driver and int(stats.masks.sum()) * (stats.width + 1) * rounds <= 2 * EXPRESSION_TERMS:
+        return _moves_by_expression(df, stats, chain, per_round, rounds)
+    shift = stats.shift
 
     def moves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best = np.zeros(rounds)
-        cache: dict[bytes, np.ndarray] = {}
+        known: dict[bytes, np.ndarray] = {}
         for pdf in batches:
             x = pdf.to_numpy(dtype=float) - shift
             miss = np.isnan(x)
             z = np.column_stack([np.ones(len(x)), np.where(miss, 0.0, x)])
             masks, group = np.unique(miss, axis=0, return_inverse=True)
             for k, mask in enumerate(masks):
-                name = mask.tobytes()
-                if name not in cache and len(cache) < 1000:
-                    cache[name] = np.diff(np.stack(chain.history(mask, marks)), axis=0)
-                delta = cache[name] if name in cache else np.diff(np.stack(chain.history(mask, marks)), axis=0)
+                delta = known.get(mask.tobytes())
+                if delta is None:
+                    delta = _round_changes(chain, mask, per_round)
+                    if len(known) < 1000:
+                        known[mask.tobytes()] = delta
                 rows = z[group.ravel() == k]
                 for r in range(rounds):
                     best[r] = max(best[r], np.abs(rows @ delta[r].T).sum(axis=1).max())
@@ -121,6 +129,24 @@ def largest_moves(df: DataFrame, cols: Sequence[str], shift: np.ndarray, chain:
     return best
 
 
+def _moves_by_expression(df: DataFrame, stats: PatternStats, chain: ChainMap, per_round: int,
+                         rounds: int) -> np.ndarray:
+    cols = stats.cols
+    z = [F.lit(1.0), *[F.coalesce(dbl(n) - F.lit(float(s)), F.lit(0.0)) for n, s in zip(cols, stats.shift)]]
+    ragged = [n for j, n in enumerate(cols) if stats.masks[:, j].any()]
+    pattern = pattern_column(ragged)
+    best = [F.lit(0.0)] * rounds
+    for mask in stats.masks[stats.masks.any(axis=1)]:
+        text = "".join("1" if mask[cols.index(n)] else "0" for n in ragged)
+        delta = _round_changes(chain, mask, per_round)
+        for r in range(rounds):
+            moved = sum((F.abs(sum((F.lit(float(w)) * z[j] for j, w in enumerate(row) if w != 0.0), F.lit(0.0)))
+                         for row in delta[r] if row.any()), F.lit(0.0))
+            best[r] = F.when(pattern == F.lit(text), moved).otherwise(best[r])
+    row = df.where(any_missing(ragged)).agg(*[F.max(b).alias(f"r{i}") for i, b in enumerate(best)]).first()
+    return np.array([v or 0.0 for v in row])
+
+
 def fit_chained(df: DataFrame, cols: Sequence[str], seen: Profile, max_iter: int = 10,
                 stats: PatternStats | None = None) -> AffineFill:
     """Bayesian ridge chain. One column alone falls back to its mean."""
@@ -134,7 +160,7 @@ def fit_chained(df: DataFrame, cols: Sequence[str], seen: Profile, max_iter: int
     else:
         steps = _run(stats, order, max_iter, bayesian_ridge)
         limit = STOP_SHARE * max(max(abs(seen.columns[n].low), abs(seen.columns[n].high)) for n in cols)
-        moves = largest_moves(df, cols, stats.shift, ChainMap(tuple(steps)), len(order))
+        moves = largest_moves(df, stats, ChainMap(tuple(steps)), len(order))
         calm = np.flatnonzero(moves < limit)
         if len(calm):
             steps = steps[: (int(calm[0]) + 1) * len(order)]

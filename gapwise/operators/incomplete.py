@@ -18,8 +18,11 @@ def fill_name(i: int) -> str:
 
 
 def split_rows(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """(complete, incomplete). The incomplete rows are written once, so their ``__row`` ids are final."""
-    numbered = df.where(any_missing(cols)).withColumn(ROW, F.monotonically_increasing_id())
+    """(complete, incomplete). The incomplete rows are written once, so their ``__row`` ids are final.
+
+    They are rebalanced first: gaps may crowd in a few files, and every later pass runs over this copy.
+    """
+    numbered = df.where(any_missing(cols)).hint("rebalance").withColumn(ROW, F.monotonically_increasing_id())
     return df.where(all_present(cols)), stage(numbered, "incomplete")
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -22,11 +23,13 @@ from gapwise.operators.cells import DECIMALS, Boxes, Splits, cut_sample, nearest
 from gapwise.operators.incomplete import ROW, fill_name, join_fills, split_rows
 from gapwise.session import stage
 
-CELL_ROWS = 4096       # donors aimed at per cell
-MAX_DEPTH = 12         # at most 4,096 cells for the commonest pattern, and fewer for all others together
-MAX_PATTERNS = 64      # donor patterns with cells of their own; the rest share mixed cells
-CUT_SAMPLE = 20_000    # rows used to place the cuts
-TASK_ROWS = 50_000     # donors, and visitors, that meet in one task at most (about)
+BOX_ROWS = 64          # donors aimed at per box; boxes give the distance bounds
+MAX_BOXES = 8192       # so a box holds more donors in a long table; twice this plus one per pattern at most
+CELL_ROWS = 4096       # donors aimed at per cell, the unit of work: a run of neighbouring boxes
+MAX_CELLS = 4096
+MAX_PATTERNS = 64      # donor patterns with boxes of their own; the rest share mixed boxes
+CUT_SAMPLE = 50_000    # rows used to place the cuts
+TASK_ROWS = 200_000    # donors, and visitors, that meet in one unit of work at most (about)
 
 
 def standardised(name: str, seen: Profile, scale: bool = True) -> Column:
@@ -54,8 +57,8 @@ def distinct_donors(donors: DataFrame, p: int, keys: Sequence[str], k: int) -> D
     return donors.withColumn("rn", F.row_number().over(same)).where(F.col("rn") <= k).drop("rn")
 
 
-def _depth(rows: int, least: int = 0) -> int:
-    return min(MAX_DEPTH, max(least, math.ceil(math.log2(max(1.0, rows / CELL_ROWS)))))
+def _depth(rows: float, unit: float, least: int = 0) -> int:
+    return max(least, math.ceil(math.log2(max(1.0, rows / unit))))
 
 
 def _leaf(splits: Splits, p: int):
@@ -65,33 +68,56 @@ def _leaf(splits: Splits, p: int):
     return F.pandas_udf(leaf, T.LongType())(*[F.col(n) for n in _x(p)])
 
 
-def _boxes(donors: DataFrame, p: int) -> tuple[DataFrame, Boxes, np.ndarray]:
-    """Summary of every cell; at most a few thousand rows, whatever the number of donors."""
-    aggs = [F.count(F.lit(1)).alias("n"), F.max("mixed").alias("mixed")]
+def _boxes(donors: DataFrame, p: int) -> tuple[Boxes, np.ndarray]:
+    """Summary of every box; its size is bounded by MAX_BOXES, whatever the number of donors."""
+    aggs = [F.count(F.lit(1)).alias("n"), F.max("mixed").alias("mixed"), F.max("cell").alias("cell")]
     for n in _x(p):
         aggs += [F.min(n).alias(f"lo_{n}"), F.max(n).alias(f"hi_{n}"), F.count(n).alias(f"n_{n}")]
-    table = donors.groupBy("cell").agg(*aggs).orderBy("cell").toPandas()
+    table = donors.groupBy("box").agg(*aggs).orderBy("box").toPandas()
     grid = lambda prefix: table[[f"{prefix}_{n}" for n in _x(p)]].to_numpy(dtype=float)
     count = table["n"].to_numpy()
     boxes = Boxes(grid("lo"), grid("hi"), grid("n") == count[:, None], ~table["mixed"].to_numpy(dtype=bool), count)
     return boxes, table["cell"].to_numpy()
 
 
-def _with_cells(donors: DataFrame, p: int, splits: Splits, patterns: list[tuple[str, int]]) -> DataFrame:
-    """cell = class * 2^(MAX_DEPTH + 1) + leaf of the tree cut at a depth that suits the class size."""
-    kind, cut = F.lit(MAX_PATTERNS), F.lit(splits.depth)
-    for i, (text, rows) in enumerate(patterns):
-        here = _pattern(p) == F.lit(text)
-        kind = F.when(here, F.lit(i)).otherwise(kind)
-        cut = F.when(here, F.lit(splits.depth - min(splits.depth, _depth(rows, 3 if i == 0 else 0)))).otherwise(cut)
-    leaf = _leaf(splits, p)
-    return (donors.withColumns({"leaf": leaf, "kind": kind, "cut": cut})
-            .withColumn("cell", F.col("kind") * F.lit(2 ** (MAX_DEPTH + 1))
-                        + F.floor(F.col("leaf") / F.pow(F.lit(2.0), F.col("cut"))).cast("long"))
-            .withColumn("mixed", F.col("kind") == F.lit(MAX_PATTERNS)).drop("leaf", "kind", "cut"))
-
-
-def _patterns(donors: DataFrame, sample: np.ndarray, p: int) -> list[tuple[str, int]]:
+@dataclass(frozen=True)
+class _Layout:
+    """How deep the shared tree is read: per pattern class, for boxes and for cells."""
+    splits: Splits
+    classes: list[tuple[str, int, int]]
+    rest: tuple[int, int]
+
+    @staticmethod
+    def of(sample: np.ndarray, patterns: list[tuple[str, int]], total: int) -> _Layout:
+        box_unit, cell_unit = max(BOX_ROWS, total / MAX_BOXES), max(CELL_ROWS, total / MAX_CELLS)
+
+        def depths(rows: int, least: int) -> tuple[int, int]:
+            box = _depth(rows, box_unit, least)
+            return box, min(box, _depth(rows, cell_unit, least))
+
+        classes = [(text, *depths(rows, 3 if i == 0 else 0)) for i, (text, rows) in enumerate(patterns)]
+        rest = depths(max(0, total - sum(rows for _, rows in patterns)), 0)
+        return _Layout(cut_sample(sample, max([box for _, box, _ in classes] + [rest[0]])), classes, rest)
+
+    def place(self, donors: DataFrame, p: int) -> DataFrame:
+        """Adds box and cell numbers: class and leaf, with the leaf read to the depth of the class."""
+        def by_class(values: list[int], other: int) -> Column:
+            out = F.lit(other)
+            for (text, _, _), value in zip(self.classes, values):
+                out = F.when(_pattern(p) == F.lit(text), F.lit(value)).otherwise(out)
+            return out
+
+        deep = self.splits.depth
+        kind = by_class(list(range(len(self.classes))), MAX_PATTERNS)
+        cut = {"box": by_class([deep - b for _, b, _ in self.classes], deep - self.rest[0]),
+               "cell": by_class([deep - b for _, _, b in self.classes], deep - self.rest[1])}
+        return (donors.withColumns({"leaf": _leaf(self.splits, p), "kind": kind})
+                .withColumns({n: F.col("kind") * F.lit(2**40) + F.floor(F.col("leaf") / F.pow(F.lit(2.0), by)).cast("long")
+                              for n, by in cut.items()})
+                .withColumn("mixed", F.col("kind") == F.lit(MAX_PATTERNS)).drop("leaf", "kind"))
+
+
+def _common_patterns(donors: DataFrame, sample: np.ndarray, p: int) -> list[tuple[str, int]]:
     """The commonest donor patterns with their row counts; read off the sample if it holds every donor."""
     if len(sample) < CUT_SAMPLE:
         masks, counts = np.unique(np.isnan(sample), axis=0, return_counts=True)
@@ -117,45 +143,54 @@ def nearest_donors(receivers: DataFrame, receiver_count: int, donors: DataFrame,
     sample = (donors.orderBy(F.xxhash64(*keys)).limit(CUT_SAMPLE).select(*x).toPandas().to_numpy(dtype=float))
     if not len(sample):
         return nobody
-    patterns = _patterns(donors, sample, p)
-    splits = cut_sample(sample, _depth(patterns[0][1], 3))
-    celled = _with_cells(donors, p, splits, patterns)
-    boxes, cell_ids = _boxes(celled, p)
+    patterns = _common_patterns(donors, sample, p)
+    layout = _Layout.of(sample, patterns, donors.count())
+    placed = layout.place(donors, p)
+    boxes, cell_of_box = _boxes(placed, p)
+    cell_ids, of_box = np.unique(cell_of_box, return_inverse=True)
+    shift = layout.splits.depth - layout.classes[0][2]
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            at, box = reachable(pdf[x].to_numpy(dtype=float), boxes, k, width, pdf["leaf"].to_numpy())
-            out = pdf.iloc[at].drop(columns=["leaf"]).copy()
-            out["cell"] = cell_ids[box]
+            leaf = pdf["leaf"].to_numpy()
+            at, box, bound = reachable(pdf[x].to_numpy(dtype=float), boxes, k, width,
+                                       [leaf >> shift, leaf >> (shift // 2), leaf])
+            pairs = np.unique(np.column_stack([at, of_box[box]]), axis=0)
+            out = pdf.iloc[pairs[:, 0]].drop(columns=["leaf"]).copy()
+            out["cell"], out["bound"] = cell_ids[pairs[:, 1]], bound[pairs[:, 0]]
             yield out
 
-    # neighbours in space share a batch, and the salt keeps a crowded leaf from filling one task
-    placed = (receivers.withColumn("leaf", _leaf(splits, p))
-              .repartition(parallel, "leaf", F.pmod(F.xxhash64("row"), F.lit(16))).sortWithinPartitions("leaf"))
-    visits = placed.mapInPandas(find, T.StructType(receivers.schema.fields + [T.StructField("cell", T.LongType())]))
+    # neighbours in space share a batch; the row number splits a crowded leaf over several tasks
+    located = (receivers.withColumn("leaf", _leaf(layout.splits, p))
+               .repartitionByRange(2 * parallel, "leaf", "row").sortWithinPartitions("leaf"))
+    visits = located.mapInPandas(find, T.StructType(receivers.schema.fields + [
+        T.StructField("cell", T.LongType()), T.StructField("bound", T.DoubleType())]))
     if receiver_count <= task_rows:  # no cell can be visited more often than that
         load = dict.fromkeys(cell_ids.tolist(), receiver_count)
     else:
         load = {r["cell"]: r["n"] for r in visits.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    size = np.bincount(of_box, weights=boxes.count)
     plan = [(int(cell), max(1, math.ceil(n / task_rows)), max(1, math.ceil(load[cell] / task_rows)))
-            for cell, n in zip(cell_ids.tolist(), boxes.count.tolist()) if cell in load]
+            for cell, n in zip(cell_ids.tolist(), size.tolist()) if cell in load]
     if not plan:
         return nobody
     shares = F.broadcast(spark.createDataFrame(plan, "cell long, dn int, rn int"))  # one row per cell: bounded
-    tasks = min(100_000, max(parallel, 2 * sum(d * r for _, d, r in plan)))
+    units = sum(d * r for _, d, r in plan)
+    tasks = min(2 * units, max(4 * parallel, units // 8))
     meet = ["cell", "dpart", "rpart"]
     left = (visits.join(shares, "cell")
             .withColumn("rpart", F.pmod(F.xxhash64("row"), F.col("rn")).cast("int"))
             .withColumn("dpart", F.explode(F.sequence(F.lit(0), F.col("dn") - 1)))
-            .select(*meet, "row", *x).repartition(tasks, *meet))
-    right = (celled.join(shares, "cell")
+            .select(*meet, "row", "bound", *x).repartition(tasks, *meet))
+    right = (placed.join(shares, "cell")
              .withColumn("dpart", F.pmod(F.xxhash64(*keys), F.col("dn")).cast("int"))
              .withColumn("rpart", F.explode(F.sequence(F.lit(0), F.col("rn") - 1)))
              .select(*meet, *x, "v", *keys).repartition(tasks, *meet))
 
     def match(visitors: pd.DataFrame, local: pd.DataFrame) -> pd.DataFrame:
         local = local.sort_values(list(keys), kind="stable")
-        at, d2 = nearest(visitors[x].to_numpy(dtype=float), local[x].to_numpy(dtype=float), k, width)
+        at, d2 = nearest(visitors[x].to_numpy(dtype=float), local[x].to_numpy(dtype=float), k, width,
+                         visitors["bound"].to_numpy(dtype=float))
         r, rank = np.nonzero(at >= 0)
         chosen = local.iloc[at[r, rank]]
         out = pd.DataFrame({"row": visitors["row"].to_numpy()[r], "d2": d2[r, rank], "v": chosen["v"].to_numpy()})
