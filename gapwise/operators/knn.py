@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from gapwise.functions.missing import Profile, c, dbl
 from gapwise.operators.cells import DECIMALS, Boxes, Splits, cut_sample, nearest, reachable
 from gapwise.operators.incomplete import ROW, fill_name, join_fills, split_rows
-from gapwise.session import stage
+from gapwise.session import stage, tasks_for
 
 BOX_ROWS = 64          # donors aimed at per box; boxes give the distance bounds
 MAX_BOXES = 8192       # so a box holds more donors in a long table; twice this plus one per pattern at most
@@ -29,6 +29,7 @@ CELL_ROWS = 4096       # donors aimed at per cell, the unit of work: a run of ne
 MAX_CELLS = 4096
 MAX_PATTERNS = 64      # donor patterns with boxes of their own; the rest share mixed boxes
 CUT_SAMPLE = 50_000    # rows used to place the cuts
+SEARCH_ROWS = 25_000   # receivers per task while cells are looked up
 TASK_ROWS = 200_000    # donors, and visitors, that meet in one unit of work at most (about)
 
 
@@ -136,7 +137,7 @@ def nearest_donors(receivers: DataFrame, receiver_count: int, donors: DataFrame,
     the p of the distance formula (all columns, the target included).
     """
     spark = receivers.sparkSession
-    parallel = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parallel = tasks_for(spark, receiver_count, SEARCH_ROWS)
     x = _x(p)
     nobody = receivers.select("row", F.lit(0.0).alias("v"), F.lit(0.0).alias("d2")).limit(0)
     donors = stage(distinct_donors(donors, p, keys, k), "donors")
@@ -162,7 +163,7 @@ def nearest_donors(receivers: DataFrame, receiver_count: int, donors: DataFrame,
 
     # neighbours in space share a batch; the row number splits a crowded leaf over several tasks
     located = (receivers.withColumn("leaf", _leaf(layout.splits, p))
-               .repartitionByRange(2 * parallel, "leaf", "row").sortWithinPartitions("leaf"))
+               .repartitionByRange(parallel, "leaf", "row").sortWithinPartitions("leaf"))
     visits = located.mapInPandas(find, T.StructType(receivers.schema.fields + [
         T.StructField("cell", T.LongType()), T.StructField("bound", T.DoubleType())]))
     if receiver_count <= task_rows:  # no cell can be visited more often than that
@@ -176,7 +177,7 @@ def nearest_donors(receivers: DataFrame, receiver_count: int, donors: DataFrame,
         return nobody
     shares = F.broadcast(spark.createDataFrame(plan, "cell long, dn int, rn int"))  # one row per cell: bounded
     units = sum(d * r for _, d, r in plan)
-    tasks = min(2 * units, max(4 * parallel, units // 8))
+    tasks = min(2 * units, max(4 * spark.sparkContext.defaultParallelism, units // 8))
     meet = ["cell", "dpart", "rpart"]
     left = (visits.join(shares, "cell")
             .withColumn("rpart", F.pmod(F.xxhash64("row"), F.col("rn")).cast("int"))

@@ -16,7 +16,7 @@ from gapwise.operators.chained import fill_order
 from gapwise.operators.incomplete import ROW, fill_name, join_fills, split_rows
 from gapwise.operators.linear import LinearFit, bayesian_ridge
 from gapwise.operators.moments import pattern_stats, sum_arrays
-from gapwise.session import stage
+from gapwise.session import write_stage
 
 
 @dataclass
@@ -178,8 +178,9 @@ def _chains(df: DataFrame, key: Sequence[str], cols: list[str], gaps: list[str],
     fixed = _gram(complete, cols, shift)
     numbers = [(dbl(n) - F.lit(float(s))).alias(f"x{j}") for j, (n, s) in enumerate(zip(cols, shift))]
     row_hash = F.xxhash64(*[c(k).cast("string") for k in key]).alias("h")
-    state = stage(incomplete.select(c(ROW), row_hash, *numbers, F.array_repeat(F.lit(0.0), m * p).alias("fills")), "runs")
-    schema, side = state.schema, p + 1
+    table = write_stage(
+        incomplete.select(c(ROW), row_hash, *numbers, F.array_repeat(F.lit(0.0), m * p).alias("fills")), "runs")
+    schema, side = table.frame.schema, p + 1
     for turn in range(max_iter):
         steps: list[_Draw] = []
         for at in order:
@@ -195,7 +196,7 @@ def _chains(df: DataFrame, key: Sequence[str], cols: list[str], gaps: list[str],
                         acc[i] += z.T @ z
                 yield pd.DataFrame({"v": [acc.ravel()]})
 
-            moments = sum_arrays(state.mapInPandas(partial, "v array<double>"), m * side * side)
+            moments = sum_arrays(table.frame.mapInPandas(partial, "v array<double>"), m * side * side)
             moments = moments.reshape(m, side, side) + fixed
             steps.append(_Draw(at, turn, tuple(bayesian_ridge(moments[i], at + 1) for i in range(m))))
 
@@ -206,7 +207,8 @@ def _chains(df: DataFrame, key: Sequence[str], cols: list[str], gaps: list[str],
                 flat = np.where(miss[None], values, 0.0).transpose(1, 0, 2).reshape(len(pdf), m * p)
                 yield pdf.assign(fills=list(flat))
 
-        state = stage(state.mapInPandas(settle, schema), "runs")
+        table, last = write_stage(table.frame.mapInPandas(settle, schema), "runs"), table
+        last.drop()
     picks, carry = [], [runs_name(n) for n in gaps]
     for g, name in enumerate(gaps):
         j = cols.index(name)
@@ -214,7 +216,7 @@ def _chains(df: DataFrame, key: Sequence[str], cols: list[str], gaps: list[str],
         picks += [F.when(F.col(f"x{j}").isNull(), raw).alias(runs_name(name)),
                   (F.get("fills", F.lit(j)) + F.lit(float(shift[j]))).alias(fill_name(g))]
     means = {n: seen.columns[n].mean for n in gaps}
-    return join_fills(complete, incomplete, state.select(c(ROW), *picks), gaps, means, carry)
+    return join_fills(complete, incomplete, table.frame.select(c(ROW), *picks), gaps, means, carry)
 
 
 def _gram(complete: DataFrame, cols: Sequence[str], shift: np.ndarray) -> np.ndarray:

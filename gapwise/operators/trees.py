@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 from gapwise.functions.missing import Profile, c, dbl
 from gapwise.operators.chained import STOP_SHARE, fill_order
 from gapwise.operators.incomplete import ROW, fill_name, join_fills, split_rows
-from gapwise.session import shared_dir, stage
+from gapwise.session import shared_dir, tasks_for, write_stage
 
 Learner = Callable[[DataFrame], Model]
 
+TRAIN_ROWS = 500_000  # training rows per partition
+
 FEATURES, LABEL, PREDICTION = "__features", "__label", "__prediction"
 
 
@@ -47,14 +49,13 @@ def boosted_trees(seed: int, rounds: int = 50) -> Learner:
     return learn
 
 
-def _spread(train: DataFrame, key: Sequence[str]) -> DataFrame:
+def _spread(train: DataFrame, key: Sequence[str], rows: int) -> DataFrame:
     """Even, key-ordered partitions of the (numeric, narrow) training set.
 
     Training passes over it dozens of times, so one shuffle pays, and sampling inside the learner then
     sees the same rows in the same order however the input was laid out. The key is unique: no hot spot.
     """
-    spark = train.sparkSession
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = tasks_for(train.sparkSession, rows, TRAIN_ROWS)
     if not key:
         return train.repartition(parts)
     return train.repartition(parts, *[c(k) for k in key]).sortWithinPartitions(*[c(k) for k in key])
@@ -75,17 +76,18 @@ def impute_trees(df: DataFrame, key: Sequence[str], cols: Sequence[str], seen: P
     if len(cols) == 1:
         return df.withColumns({n: F.coalesce(dbl(n), F.lit(means[n])) for n in gaps})
     if len(order) == 1:
-        return _single_column(df, key, cols, order[0], learn)
+        return _single_column(df, key, cols, order[0], learn, seen)
     return _rounds(df, key, cols, gaps, means, order, learn, max_iter, seen)
 
 
-def _single_column(df: DataFrame, key: Sequence[str], cols: Sequence[str], at: int, learn: Learner) -> DataFrame:
+def _single_column(df: DataFrame, key: Sequence[str], cols: Sequence[str], at: int, learn: Learner,
+                   seen: Profile) -> DataFrame:
     """Complete predictors: every round would train the same model, so one training is the answer."""
     target = cols[at]
     inputs = [f"__in{i}" for i in range(len(cols)) if i != at]
     wide = df.withColumns({f"__in{i}": dbl(n) for i, n in enumerate(cols) if i != at})
     known = wide.where(c(target).isNotNull()).select(*[c(k) for k in key], *inputs, dbl(target).alias(LABEL))
-    model = learn(_assembled(_spread(known, key), inputs).select(FEATURES, LABEL))
+    model = learn(_assembled(_spread(known, key, seen.columns[target].n), inputs).select(FEATURES, LABEL))
     scored = model.transform(_assembled(wide, inputs))
     return (scored.withColumn(target, F.coalesce(dbl(target), F.col(PREDICTION)))
             .select(*[c(n) for n in df.columns]))
@@ -100,24 +102,25 @@ def _rounds(df: DataFrame, key: Sequence[str], cols: Sequence[str], gaps: Sequen
     ids = [f"k{i}" for i in range(len(key))]
     named = [c(k).alias(i) for k, i in zip(key, ids)]
     whole = complete.select(*named, *[dbl(n).alias(x) for n, x in zip(cols, inputs)])
-    state = stage(incomplete.select(
+    table = write_stage(incomplete.select(
         ROW, *named, *[F.coalesce(dbl(n), F.lit(means.get(n, 0.0))).alias(x) for n, x in zip(cols, inputs)],
         *[c(n).isNull().alias(m) for n, m in zip(cols, missing)]), "round")
     limit = STOP_SHARE * max(max(abs(seen.columns[n].low), abs(seen.columns[n].high)) for n in cols)
     for _ in range(max_iter):
-        before = [f"p{i}" for i in order]
-        now = state.withColumns({f"p{i}": F.col(f"x{i}") for i in order})
+        state, before = table.frame, [f"p{i}" for i in order]
+        now = state.select(ROW, *ids, *inputs, *missing).withColumns({f"p{i}": F.col(f"x{i}") for i in order})
         for at in order:
             others = [x for i, x in enumerate(inputs) if i != at]
             rows = now.where(~F.col(missing[at])).select(*ids, *inputs).unionByName(whole)
-            model = learn(_assembled(_spread(rows, ids), others).select(FEATURES, F.col(inputs[at]).alias(LABEL)))
+            model = learn(_assembled(_spread(rows, ids, seen.columns[cols[at]].n), others).select(FEATURES, F.col(inputs[at]).alias(LABEL)))
             now = (model.transform(_assembled(now, others))
                    .withColumn(inputs[at], F.when(F.col(missing[at]), F.col(PREDICTION)).otherwise(F.col(inputs[at])))
                    .select(ROW, *ids, *inputs, *missing, *before))
-        state = stage(now, "round")
+        table, last = write_stage(now, "round"), table
+        last.drop()
+        state = table.frame
         moved = sum((F.abs(F.col(f"x{i}") - F.col(f"p{i}")) for i in order), F.lit(0.0))
         if (state.agg(F.max(moved)).first()[0] or 0.0) < limit:
             break
-        state = state.drop(*before)
-    fills = state.select(ROW, *[F.col(f"x{cols.index(n)}").alias(fill_name(i)) for i, n in enumerate(gaps)])
+    fills = table.frame.select(ROW, *[F.col(f"x{cols.index(n)}").alias(fill_name(i)) for i, n in enumerate(gaps)])
     return join_fills(complete, incomplete, fills, gaps, means)

@@ -9,9 +9,9 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapwise.functions.missing import as_key
+from gapwise.functions.missing import as_key, dbl
 from gapwise.plans.registry import impute
-from gapwise.plans.report import describe, rmse
+from gapwise.plans.report import finite, rmse_value
 
 
 def compare_methods(masked: DataFrame, key: str | Sequence[str], target: str,
@@ -27,6 +27,7 @@ def compare_methods(masked: DataFrame, key: str | Sequence[str], target: str,
     rows = []
     for label, (method, params) in methods.items():
         frame = impute(masked, method, params, seed, key).frame
-        error, shape = rmse(frame, [target]), describe(frame, [target])
-        rows.append(error.join(shape, "column").select(F.lit(label).alias("label"), "rmse", "mean", "std"))
+        x = dbl(target)
+        rows.append(frame.agg(finite(rmse_value(target)).alias("rmse"), finite(F.avg(x)).alias("mean"),
+                              finite(F.stddev_samp(x)).alias("std")).select(F.lit(label).alias("label"), "*"))
     return reduce(DataFrame.unionByName, rows)

@@ -31,6 +31,12 @@ def describe_aggregates(x: Column, tag: str) -> list[Column]:
             F.min(x).alias(f"{tag}min"), F.max(x).alias(f"{tag}max")]
 
 
+def _described(tag: str, side: str) -> list[Column]:
+    """The five statistics of one column, read from ``describe_aggregates`` and named after a side."""
+    return [F.col(f"{tag}n").alias(f"{side}_n"),
+            *[finite(F.col(tag + s)).alias(f"{side}_{s}") for s in ("mean", "std", "min", "max")]]
+
+
 def describe(df: DataFrame, columns: Sequence[str], values: dict[str, Column] | None = None) -> DataFrame:
     """(column, n, mean, std, min, max) over observed values; one aggregate for all columns."""
     values = values or {}
@@ -204,21 +210,36 @@ class Report:
         return {self._target: c(truth_name(self._target))} if self.has_truth else {}
 
     def stats(self) -> DataFrame:
-        """One row per numeric column: gaps, before / after / truth statistics, rmse and deviation in percent."""
-        parts = ("n", "mean", "std", "min", "max")
-        named = lambda d, tag: d.select("column", *[F.col(s).alias(f"{tag}_{s}") for s in parts])
-        out = missing_counts(self.before, self.numeric_columns).select("column", "missing")
-        out = out.join(named(describe(self.before, self.numeric_columns), "before"), "column")
-        out = out.join(named(describe(self.after, self._kept()), "after"), "column", "left")
-        reference = F.col("before_mean")
-        if self.has_truth:
-            out = out.join(named(describe(self.before, self.numeric_columns, self._truth()), "truth"), "column")
-            reference = F.col("truth_mean")
-            if self._target in self.after.columns:
-                out = out.join(rmse(self.after, [self._target]), "column", "left")
-        if "rmse" not in out.columns:
-            out = out.withColumn("rmse", F.lit(None).cast("double"))
-        return out.withColumn("deviation_pct", relative_deviation(F.col("after_mean"), reference))
+        """One row per numeric column: gaps, before / after / truth statistics, rmse and deviation in percent.
+
+        Two aggregates in all: one over the data before, one over the data after.
+        """
+        truth, kept, names = self._truth(), self._kept(), self.numeric_columns
+        first, second = [F.count(F.lit(1)).alias("rows")], []
+        left, right = [], []
+        for i, n in enumerate(names):
+            parts = [F.lit(n).alias("column"), (F.col("rows") - F.col(f"b{i}_n")).alias("missing")]
+            first += describe_aggregates(dbl(n), f"b{i}_")
+            parts += _described(f"b{i}_", "before")
+            if self.has_truth:
+                first += describe_aggregates(truth.get(n, dbl(n)), f"t{i}_")
+                parts += _described(f"t{i}_", "truth")
+            left.append(F.struct(*parts))
+            if n in kept:
+                second += describe_aggregates(dbl(n), f"a{i}_")
+                error = F.lit(None).cast("double")
+                if n in truth:
+                    second.append(rmse_value(n).alias(f"e{i}"))
+                    error = finite(F.col(f"e{i}"))
+                right.append(F.struct(F.lit(n).alias("column"), *_described(f"a{i}_", "after"), error.alias("rmse")))
+        before = self.before.agg(*first).select(F.inline(F.array(*left)))
+        if not right:
+            empty = ["after_n", "after_mean", "after_std", "after_min", "after_max", "rmse", "deviation_pct"]
+            return before.withColumns({n: F.lit(None).cast("double") for n in empty})
+        after = self.after.agg(*second).select(F.inline(F.array(*right)))
+        reference = F.col("truth_mean" if self.has_truth else "before_mean")
+        return (before.join(after, "column", "left")
+                .withColumn("deviation_pct", relative_deviation(F.col("after_mean"), reference)))
 
     def histogram(self) -> DataFrame | None:
         series = {"before": (self.before, dbl(self.column))}
@@ -286,7 +307,8 @@ def analyse(df: DataFrame, key: str | Sequence[str], method: str = "none", param
     applied, before = None, df
     if missing and not native:
         applied = resolve_missing(df, key, **missing)
-        before = inject_missing(df, key, applied["target"], applied["mechanism"], applied["rate"], applied["driver"], seed)
+        before = inject_missing(df, key, applied["target"], applied["mechanism"], applied["rate"], applied["driver"], seed,
+                                known_complete=True)
     elif missing:
         notes.append("The data already has gaps; no more are added.")
     result: Result = impute(before, method, params, seed, key, track=True)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,7 +41,24 @@ def shared_dir(spark: SparkSession) -> str:
     return configured or current
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def tasks_for(spark: SparkSession, rows: int, rows_per_task: int) -> int:
+    """Number of partitions for work of known size: every core gets some, and none gets too much."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // rows_per_task))
+
+
+@dataclass(frozen=True)
+class StagedTable:
+    """A table written once to the shared folder. ``drop`` removes it when a later one has replaced it."""
+    frame: DataFrame
+    path: str
+
+    def drop(self) -> None:
+        spark = self.frame.sparkSession
+        target = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def write_stage(df: DataFrame, label: str) -> StagedTable:
     """Write ``df`` once to the shared folder and read it back.
 
     The copy ends the lineage (a lost executor re-reads files instead of re-running the past) and
@@ -49,4 +67,8 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return StagedTable(spark.read.schema(df.schema).parquet(path), path)
+
+
+def stage(df: DataFrame, label: str) -> DataFrame:
+    return write_stage(df, label).frame

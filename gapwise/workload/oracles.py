@@ -176,6 +176,26 @@ SELECT m.{key}, {r(f'CASE WHEN m.mask THEN t.fill ELSE m.truth END', digits)} AS
 FROM m LEFT JOIN t ON m.{key} = t.key"""
 
 
+def _knn_gaps() -> str:
+    cols = ["user_id", "value", "k"]
+    scores = ", ".join(f"({n} - avg({n}) OVER ()) / stddev_pop({n}) OVER () AS z_{n}" for n in cols)
+    parts = []
+    for target in ("user_id", "value"):
+        others = [n for n in cols if n != target]
+        common = " + ".join(f"(r.z_{n} IS NOT NULL AND d.z_{n} IS NOT NULL)::INTEGER" for n in others)
+        total = " + ".join(f"coalesce((r.z_{n} - d.z_{n}) * (r.z_{n} - d.z_{n}), 0)" for n in others)
+        parts.append(f"""
+t_{target} AS (SELECT event_id, list_avg(near) AS fill FROM (
+    SELECT event_id, min_by(v, row(round(d2, 9), donor), 5) AS near FROM (
+        SELECT r.event_id, d.{target} AS v, d.event_id AS donor, ({total}) * (3.0 / nullif({common}, 0)) AS d2
+        FROM z r, z d WHERE r.{target} IS NULL AND d.{target} IS NOT NULL) WHERE d2 IS NOT NULL GROUP BY event_id))""")
+    filled = ", ".join(r(f"coalesce(e.{n}, t_{n}.fill, (SELECT avg({n}) FROM e))", 4) + f" AS {n}"
+                       for n in ("user_id", "value"))
+    return (f"WITH {EVENTS},\nz AS (SELECT event_id, user_id, value, k, {scores} FROM e),{','.join(parts)}\n"
+            f"SELECT e.event_id, {filled}, e.k FROM e LEFT JOIN t_user_id ON e.event_id = t_user_id.event_id "
+            "LEFT JOIN t_value ON e.event_id = t_value.event_id")
+
+
 PATTERNS = f"""WITH {PRICES_GAPS},
 a AS (SELECT avg(price) AS pm, avg(net) AS nm, avg(charge) AS cm FROM x),
 z AS (SELECT (net IS NULL)::INTEGER || '' || (charge IS NULL)::INTEGER AS pattern, coalesce(price - pm, 0) AS z0,
@@ -286,6 +306,11 @@ ORACLES: dict[str, str] = {
     "missing_profile": f"WITH {LABELLED}\n" + " UNION ALL ".join(
         f"SELECT '{n}' AS \"column\", count(*) - count({n}) AS missing, count(*) AS rows FROM dl"
         for n in ("lang", "source", "n_chars", "quality", "toxic")),
+    "usable_columns": f"WITH {LABELLED} SELECT 'n_chars' AS \"column\", count(n_chars) AS n, count(n_chars) > 0 AS usable FROM dl "
+                      "UNION ALL SELECT 'quality', count(quality), count(quality) > 0 FROM dl UNION ALL SELECT 'toxic', 0, FALSE",
+    "table_shapes": f"WITH {LABELLED} SELECT 'before' AS side, count(*) AS n_rows, 5::BIGINT AS n_columns FROM dl "
+                    "UNION ALL SELECT 'listwise', count(*), 5 FROM dl WHERE quality IS NOT NULL AND toxic IS NOT NULL "
+                    "UNION ALL SELECT 'drop_columns', count(*), 3 FROM dl",
     "csv_tokens": "SELECT event_id, user_id, CASE WHEN event_type <> 'click' THEN event_type END AS event_type, "
                   "CASE WHEN event_type NOT IN ('error', 'signup') THEN value END AS value FROM events",
     "mask_by_rule": "SELECT event_id, event_type, CASE WHEN event_type <> 'error' THEN value END AS value FROM events",
@@ -316,6 +341,7 @@ ORACLES: dict[str, str] = {
         for n in ("c_nationkey", "c_acctbal")) + " FROM customer",
     "impute_knn_uniform": _knn("customer", "c_custkey", "c_nationkey", "c_acctbal", "uniform", 4),
     "impute_knn_distance": _knn("part", "p_partkey", "p_retailprice", "p_size", "distance", 4),
+    "impute_knn_gaps": _knn_gaps(),
     "impute_knn_orders": _knn("orders", "o_orderkey", "o_custkey", "o_totalprice", "uniform", 2),
     "pattern_statistics": PATTERNS,
     "impute_regression_1": f"WITH {PRICES_MCAR}, f AS (SELECT regr_slope(net, price) AS b1, regr_intercept(net, price) AS b0 FROM x) "

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gapwise.functions.correlation import correlation_matrix
 from gapwise.functions.draws import hash_uniform
-from gapwise.functions.missing import GAPS, MASK, c, profile, truth_name
+from gapwise.functions.missing import GAPS, MASK, c, data_columns, numeric_columns, profile, truth_name
 from gapwise.operators.inject import inject_missing, mask_where, resolve_missing
 from gapwise.operators.knn import standardised
 from gapwise.operators.moments import pattern_sums
@@ -106,6 +106,30 @@ def missing_profile(spark, d):
     return missing_counts(df, ["lang", "source", "n_chars", "quality", "toxic"])
 
 
+@query
+def usable_columns(spark, d):
+    """Numeric columns, their observed values, and whether a model may use them; one column is emptied."""
+    df = labelled_documents(spark, d).withColumn("toxic", F.lit(None).cast("double"))
+    names = numeric_columns(df, "doc_id")
+    counts = missing_counts(df, names)
+    return counts.select("column", (F.col("rows") - F.col("missing")).alias("n"),
+                         (F.col("rows") > F.col("missing")).alias("usable"))
+
+
+@query
+def table_shapes(spark, d):
+    """Rows and data columns before and after two deletion methods."""
+    df = labelled_documents(spark, d)
+    out = None
+    for label, method in (("before", "none"), ("listwise", "listwise"), ("drop_columns", "drop_columns")):
+        frame = impute(df, method, key="doc_id").frame
+        width = len(data_columns(frame, "doc_id"))
+        part = frame.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(label).alias("side"), "n_rows",
+                                                                   F.lit(width).cast("long").alias("n_columns"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query
 def csv_tokens(spark, d):
     """Events written as text with several spellings of "missing", and read back with types."""
@@ -257,6 +281,14 @@ def impute_knn_orders(spark, d):
     return out.select("o_orderkey", rounded("o_totalprice", 2).alias("o_totalprice"))
 
 
+@query
+def impute_knn_gaps(spark, d):
+    """Three numeric columns, two of them with gaps, so distances run over the coordinates both rows have."""
+    df = gappy_events(spark, d).select("event_id", "user_id", "value", "k")
+    out = impute(df, "knn", {"n_neighbors": 5}, key="event_id").frame
+    return out.select("event_id", *[rounded(n, 4).alias(n) for n in ("user_id", "value")], "k")
+
+
 @query
 def impute_knn_cells(spark, d):
     """Two columns with gaps, donors with gaps of their own, three coordinates per distance."""
