@@ -69,6 +69,17 @@ def dbl(name: str) -> Column:
     return c(name).cast("double")
 
 
+def can_hold_nan(df: DataFrame, columns: Iterable[str]) -> list[str]:
+    """Columns whose gaps cannot be read off file statistics, because NaN counts as missing too."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    return [n for n in columns if isinstance(types[n], (T.FloatType, T.DoubleType))]
+
+
+def has_gaps(df: DataFrame, columns: Sequence[str]) -> bool:
+    """Is anything missing? A pushed-down IS NULL filter: complete row groups are skipped unread."""
+    return bool(columns) and not df.where(any_missing(columns)).isEmpty()
+
+
 @dataclass(frozen=True)
 class ColumnProfile:
     n: int

@@ -29,6 +29,7 @@ CELL_ROWS = 4096       # donors aimed at per cell, the unit of work: a run of ne
 MAX_CELLS = 4096
 MAX_PATTERNS = 64      # donor patterns with boxes of their own; the rest share mixed boxes
 CUT_SAMPLE = 50_000    # rows used to place the cuts
+DRIVER_CELLS = 4_000_000  # numbers in the sample, or box corners, that may come to the driver
 SEARCH_ROWS = 25_000   # receivers per task while cells are looked up
 TASK_ROWS = 200_000    # donors, and visitors, that meet in one unit of work at most (about)
 
@@ -90,7 +91,8 @@ class _Layout:
 
     @staticmethod
     def of(sample: np.ndarray, patterns: list[tuple[str, int]], total: int) -> _Layout:
-        box_unit, cell_unit = max(BOX_ROWS, total / MAX_BOXES), max(CELL_ROWS, total / MAX_CELLS)
+        most = min(MAX_BOXES, DRIVER_CELLS // (3 * sample.shape[1]))
+        box_unit, cell_unit = max(BOX_ROWS, total / most), max(CELL_ROWS, total / MAX_CELLS)
 
         def depths(rows: int, least: int) -> tuple[int, int]:
             box = _depth(rows, box_unit, least)
@@ -118,9 +120,9 @@ class _Layout:
                 .withColumn("mixed", F.col("kind") == F.lit(MAX_PATTERNS)).drop("leaf", "kind"))
 
 
-def _common_patterns(donors: DataFrame, sample: np.ndarray, p: int) -> list[tuple[str, int]]:
+def _common_patterns(donors: DataFrame, sample: np.ndarray, p: int, whole: bool) -> list[tuple[str, int]]:
     """The commonest donor patterns with their row counts; read off the sample if it holds every donor."""
-    if len(sample) < CUT_SAMPLE:
+    if whole:
         masks, counts = np.unique(np.isnan(sample), axis=0, return_counts=True)
         found = [("".join("1" if m else "0" for m in mask), int(n)) for mask, n in zip(masks, counts)]
         return sorted(found, key=lambda f: (-f[1], f[0]))[:MAX_PATTERNS]
@@ -141,10 +143,11 @@ def nearest_donors(receivers: DataFrame, receiver_count: int, donors: DataFrame,
     x = _x(p)
     nobody = receivers.select("row", F.lit(0.0).alias("v"), F.lit(0.0).alias("d2")).limit(0)
     donors = stage(distinct_donors(donors, p, keys, k), "donors")
-    sample = (donors.orderBy(F.xxhash64(*keys)).limit(CUT_SAMPLE).select(*x).toPandas().to_numpy(dtype=float))
+    sample_rows = min(CUT_SAMPLE, DRIVER_CELLS // p)
+    sample = donors.orderBy(F.xxhash64(*keys)).limit(sample_rows).select(*x).toPandas().to_numpy(dtype=float)
     if not len(sample):
         return nobody
-    patterns = _common_patterns(donors, sample, p)
+    patterns = _common_patterns(donors, sample, p, len(sample) < sample_rows)
     layout = _Layout.of(sample, patterns, donors.count())
     placed = layout.place(donors, p)
     boxes, cell_of_box = _boxes(placed, p)
@@ -239,6 +242,8 @@ def impute_knn(df: DataFrame, key: Sequence[str], cols: Sequence[str], seen: Pro
         chosen = nearest_donors(receivers, seen.columns[target].missing, donors, len(others), keys, n_neighbors,
                                 len(cols))
         part = neighbour_mean(chosen, weights).select(F.col("row").alias(ROW), F.lit(i).alias("i"), "fill")
+        if len(gaps) > 1:  # one column at a time, instead of one plan that searches for all of them at once
+            part = stage(part, "neighbours")
         fills = part if fills is None else fills.unionByName(part)
     wide = fills.groupBy(ROW).agg(*[F.max(F.when(F.col("i") == i, F.col("fill"))).alias(fill_name(i))
                                     for i in range(len(gaps))])

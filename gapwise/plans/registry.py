@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gapwise.errors import EngineError
-from gapwise.functions.missing import (GAPS, Profile, as_key, c, data_columns, normalise_missing, numeric_columns,
-                                       profile)
+from gapwise.functions.missing import (GAPS, Profile, as_key, c, data_columns, has_gaps, normalise_missing,
+                                       numeric_columns, profile)
 from gapwise.operators import deletion, simple
 from gapwise.operators.chained import fit_chained
 from gapwise.operators.em import fit_em
@@ -54,8 +54,10 @@ class Request:
             raise EngineError("bad_param", "This method needs a row key.")
 
     def note_text_gaps(self) -> None:
-        text = [n for n in self.seen.with_gaps(self.columns) if n not in numeric_columns(self.df, self.key)]
-        if text:
+        numeric = set(numeric_columns(self.df, self.key))
+        text = [n for n in self.columns if n not in numeric]
+        if has_gaps(self.df, text):  # only then are the text columns read to name the ones with gaps
+            text = profile(self.df, text).with_gaps(text)
             names = ", ".join(f"'{n}'" for n in text)
             self.notes.append(f"This method works on numeric columns only; gaps in {names} remain.")
 
@@ -190,9 +192,11 @@ _NEEDS_NO_PROFILE = ("none", "listwise", "drop_columns", "pairwise")
 
 
 def with_gap_list(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Remember per row which columns were missing, so that imputed cells need no join later."""
-    names = F.array(*[F.when(c(n).isNull(), F.lit(n)) for n in columns])
-    return df.withColumn(GAPS, F.array_compact(names))
+    """Remember per row which of the columns were missing, so that imputed cells need no join later."""
+    if not columns:
+        return df.withColumn(GAPS, F.array().cast("array<string>"))
+    names = F.array(*[F.when(c(n).isNull(), F.lit(n)).otherwise(F.lit("")) for n in columns])
+    return df.withColumn(GAPS, F.array_remove(names, ""))
 
 
 def impute(df: DataFrame, method: str, params: dict | None = None, seed: int = 0,
@@ -203,15 +207,16 @@ def impute(df: DataFrame, method: str, params: dict | None = None, seed: int = 0
     chosen, key = METHODS[method], as_key(key)
     df = normalise_missing(df)
     columns, numeric = data_columns(df, key), numeric_columns(df, key)
-    if track:
-        df = with_gap_list(df, columns)
     notes: list[str] = []
     if method in _NEEDS_NO_PROFILE:
-        seen, cols = Profile(0, {}), []
+        seen, cols, fillable = Profile(0, {}), [], []
     else:
-        seen = profile(df, columns, numeric)
-        cols = seen.usable(numeric)
+        read = columns if method == "most_frequent" else numeric  # text columns only where they can be filled
+        seen = profile(df, read, numeric)
+        cols, fillable = seen.usable(numeric), seen.with_gaps(read)
         notes += [f"Column '{n}' is entirely empty and is not imputed." for n in numeric if n not in cols]
+    if track:
+        df = with_gap_list(df, fillable)
     request = Request(df, params or {}, seed, key, columns, cols, seen, notes)
     if chosen.numeric_only:
         if not cols:

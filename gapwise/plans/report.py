@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from gapwise.errors import EngineError
 from gapwise.functions.correlation import correlation_matrix
-from gapwise.functions.missing import (GAPS, MASK, any_missing, as_key, c, data_columns, dbl, is_internal,
-                                       normalise_missing, numeric_columns, profile, runs_name, truth_name)
+from gapwise.functions.missing import (GAPS, MASK, any_missing, as_key, c, can_hold_nan, data_columns, dbl, has_gaps,
+                                       is_internal, normalise_missing, numeric_columns, profile, runs_name, truth_name)
 from gapwise.operators.inject import inject_missing, resolve_missing
 from gapwise.plans.registry import Result, impute
 
@@ -303,7 +303,8 @@ def analyse(df: DataFrame, key: str | Sequence[str], method: str = "none", param
     df = normalise_missing(df)
     notes: list[str] = []
     columns = data_columns(df, key)
-    native = bool(profile(df, columns).missing_cells)
+    floats = can_hold_nan(df, columns)
+    native = has_gaps(df, [n for n in columns if n not in floats]) or bool(profile(df, floats).missing_cells)
     applied, before = None, df
     if missing and not native:
         applied = resolve_missing(df, key, **missing)
