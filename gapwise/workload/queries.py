@@ -359,6 +359,13 @@ def impute_em_gaps(spark, d):
     return _fills(prices_two_gaps(spark, d), "em", {}, ("net", "charge"))
 
 
+@query
+def impute_em_three(spark, d):
+    """One complete column and two with gaps: four patterns with a regression each in every round."""
+    df = prices_two_gaps(spark, d).select(*LINE_KEY, "price", "net", "charge")
+    return _fills(df, "em", {}, ("net", "charge"))
+
+
 @query
 def impute_random_forest(spark, d):
     return _fills(prices_mcar(spark, d, "price", "qty"), "random_forest", {}, ("net",))
