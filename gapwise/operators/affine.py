@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gapwise.functions.missing import c, dbl
+from gapwise.functions.missing import dbl
 from gapwise.operators.moments import pattern_column
 
 # Plain column expressions up to this many multiply-adds; above, one Arrow UDF evaluates matrices.

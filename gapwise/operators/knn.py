@@ -143,12 +143,13 @@ def nearest_donors(receivers: DataFrame, receiver_count: int, donors: DataFrame,
     x = _x(p)
     nobody = receivers.select("row", F.lit(0.0).alias("v"), F.lit(0.0).alias("d2")).limit(0)
     donors = stage(distinct_donors(donors, p, keys, k), "donors")
-    sample_rows = min(CUT_SAMPLE, DRIVER_CELLS // p)
-    sample = donors.orderBy(F.xxhash64(*keys)).limit(sample_rows).select(*x).toPandas().to_numpy(dtype=float)
+    total, sample_rows = donors.count(), min(CUT_SAMPLE, DRIVER_CELLS // p)
+    picked = donors if total <= sample_rows else donors.sample(0.9 * sample_rows / total, seed=0)
+    sample = picked.select(*x).limit(sample_rows).toPandas().to_numpy(dtype=float)
     if not len(sample):
         return nobody
-    patterns = _common_patterns(donors, sample, p, len(sample) < sample_rows)
-    layout = _Layout.of(sample, patterns, donors.count())
+    patterns = _common_patterns(donors, sample, p, total <= sample_rows)
+    layout = _Layout.of(sample, patterns, total)
     placed = layout.place(donors, p)
     boxes, cell_of_box = _boxes(placed, p)
     cell_ids, of_box = np.unique(cell_of_box, return_inverse=True)

@@ -31,7 +31,8 @@ class Runs:
         return [runs_name(n) for n in self.gaps]
 
     def shown(self) -> DataFrame:
-        return self.frame
+        """Run 0, without the other runs."""
+        return self.frame.drop(*self._run_columns())
 
     def run(self, i: int) -> DataFrame:
         """One complete data set."""

@@ -38,6 +38,7 @@ class Request:
     cols: list[str]
     seen: Profile
     notes: list[str]
+    track: bool = False
 
     def integer(self, name: str, default: int, low: int, high: int) -> int:
         try:
@@ -151,7 +152,7 @@ def _multiple(r: Request) -> Result:
     m, rounds = r.integer("m", 5, 2, 20), r.integer("max_iter", 10, 1, 30)
     runs = impute_multiple(r.df, r.key, r.cols, r.seen, m, rounds, r.seed)
     r.notes.append(f"The frame shows the first of {m} imputed data sets; their spread is in the extras.")
-    return Result(runs.shown(), extras={"m": m, "runs": runs})
+    return Result(runs.frame if r.track else runs.shown(), extras={"m": m, "runs": runs})
 
 
 def _fitted(model: Callable[[Request], object]) -> Callable[[Request], Result]:
@@ -217,7 +218,7 @@ def impute(df: DataFrame, method: str, params: dict | None = None, seed: int = 0
         notes += [f"Column '{n}' is entirely empty and is not imputed." for n in numeric if n not in cols]
     if track:
         df = with_gap_list(df, fillable)
-    request = Request(df, params or {}, seed, key, columns, cols, seen, notes)
+    request = Request(df, params or {}, seed, key, columns, cols, seen, notes, track)
     if chosen.numeric_only:
         if not cols:
             raise EngineError("no_numeric_column", "There is no numeric column with observed values.")

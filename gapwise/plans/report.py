@@ -153,26 +153,28 @@ def surviving_gap_rows(before: DataFrame, after: DataFrame, key: Sequence[str],
 
 
 def imputed_cells(tracked: DataFrame, key: Sequence[str], limit: int | None = None) -> DataFrame:
-    """(key.., column, value, truth, sd): cells that were missing and are filled now.
+    """(key.., column, value, text, truth, sd): cells that were missing and are filled now.
 
-    Needs ``__gaps`` (see ``impute(track=True)``); no join. Values are text when columns of several
-    types were filled, since they share one column here.
+    Needs ``__gaps`` (see ``impute(track=True)``); no join. ``value`` is for numbers, ``text`` for any type.
     """
     rows = head(tracked, key, limit) if limit is not None else tracked
-    numeric = set(numeric_columns(tracked, key))
+    numeric, present = set(numeric_columns(tracked, key)), set(tracked.columns)
     columns = [n for n in tracked.columns if n not in key and not is_internal(n)]
-    present = set(tracked.columns)
-    items = []
-    for n in columns:
-        truth = c(truth_name(n)) if truth_name(n) in present else F.lit(None).cast("double")
-        runs = c(runs_name(n)) if runs_name(n) in present else None
-        sd = F.lit(None).cast("double") if runs is None else _array_sd(runs)
-        number = dbl(n) if n in numeric else F.lit(None).cast("double")
-        items.append(F.struct(F.lit(n).alias("column"), number.alias("value"), c(n).cast("string").alias("text"),
-                              truth.alias("truth"), sd.alias("sd"),
-                              (F.array_contains(c(GAPS), n) & c(n).isNotNull()).alias("filled")))
-    out = rows.select(*[c(k) for k in key], F.inline(F.array(*items))).where("filled")
-    return out.drop("filled")
+
+    def pick(values: dict[str, Column], kind: str) -> Column:
+        out = F.lit(None).cast(kind)
+        for n, value in values.items():
+            out = F.when(F.col("column") == F.lit(n), value).otherwise(out)
+        return out
+
+    holes = rows.withColumn("column", F.explode(c(GAPS)))  # rows without a gap vanish here
+    cells = holes.select(
+        *[c(k) for k in key], "column",
+        pick({n: dbl(n) for n in columns if n in numeric}, "double").alias("value"),
+        pick({n: c(n).cast("string") for n in columns}, "string").alias("text"),
+        pick({n: c(truth_name(n)) for n in columns if truth_name(n) in present}, "double").alias("truth"),
+        pick({n: _array_sd(c(runs_name(n))) for n in columns if runs_name(n) in present}, "double").alias("sd"))
+    return cells.where(F.col("text").isNotNull())
 
 
 def _array_sd(v: Column) -> Column:
