@@ -131,6 +131,15 @@ def _common_patterns(donors: DataFrame, sample: np.ndarray, p: int, whole: bool)
     return [(r["pattern"], r["n"]) for r in rows]
 
 
+def _with_shares(df: DataFrame, crowded: list[tuple[int, int, int]]) -> DataFrame:
+    """Adds dn and rn: into how many shares the donors and the visitors of the row's cell are split."""
+    if not crowded:
+        return df.withColumns({"dn": F.lit(1), "rn": F.lit(1)})
+    shares = df.sparkSession.createDataFrame(crowded, "cell long, dn int, rn int")
+    return (df.join(F.broadcast(shares), "cell", "left")
+            .withColumns({n: F.coalesce(n, F.lit(1)) for n in ("dn", "rn")}))
+
+
 def nearest_donors(receivers: DataFrame, receiver_count: int, donors: DataFrame, p: int, keys: Sequence[str], k: int,
                    width: int, task_rows: int = TASK_ROWS) -> DataFrame:
     """(row, v, d2): for every receiver its k nearest donors by (rounded distance, key).
@@ -175,19 +184,17 @@ def nearest_donors(receivers: DataFrame, receiver_count: int, donors: DataFrame,
     else:
         load = {r["cell"]: r["n"] for r in visits.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
     size = np.bincount(of_box, weights=boxes.count)
-    plan = [(int(cell), max(1, math.ceil(n / task_rows)), max(1, math.ceil(load[cell] / task_rows)))
-            for cell, n in zip(cell_ids.tolist(), size.tolist()) if cell in load]
-    if not plan:
-        return nobody
-    shares = F.broadcast(spark.createDataFrame(plan, "cell long, dn int, rn int"))  # one row per cell: bounded
+    plan = [(int(cell), max(1, math.ceil(n / task_rows)), max(1, math.ceil(load.get(cell, 0) / task_rows)))
+            for cell, n in zip(cell_ids.tolist(), size.tolist())]
     units = sum(d * r for _, d, r in plan)
     tasks = min(2 * units, max(4 * spark.sparkContext.defaultParallelism, units // 8))
     meet = ["cell", "dpart", "rpart"]
-    left = (visits.join(shares, "cell")
+    crowded = [row for row in plan if row[1] > 1 or row[2] > 1]  # cells to be split; never more than there are cells
+    left = (_with_shares(visits, crowded)
             .withColumn("rpart", F.pmod(F.xxhash64("row"), F.col("rn")).cast("int"))
             .withColumn("dpart", F.explode(F.sequence(F.lit(0), F.col("dn") - 1)))
             .select(*meet, "row", "bound", *x).repartition(tasks, *meet))
-    right = (placed.join(shares, "cell")
+    right = (_with_shares(placed, crowded)
              .withColumn("dpart", F.pmod(F.xxhash64(*keys), F.col("dn")).cast("int"))
              .withColumn("rpart", F.explode(F.sequence(F.lit(0), F.col("rn") - 1)))
              .select(*meet, *x, "v", *keys).repartition(tasks, *meet))
