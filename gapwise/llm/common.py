@@ -53,3 +53,26 @@ def map_slices(df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: st
 def crc_mod(column: str, mod: int):
     """crc32 of a column's text form, modulo ``mod``; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % mod
+
+
+def add_columns(df: DataFrame, keep: list[str], text: str, work: Callable[[list], dict], shape: str, binary: bool = True) -> DataFrame:
+    """``keep`` columns of ``df`` and the columns that ``work`` makes from a list of texts, in one pass without shuffle.
+
+    The text travels under a name of its own, so clashing names do no harm; kept columns pass unchanged.
+    """
+    fields = [f for f in df.schema.fields if f.name in keep]
+    names = [f"__keep{i}" for i in range(len(fields))]
+    kept = "".join(f"{n} {f.dataType.simpleString()}, " for n, f in zip(names, fields))
+
+    def run(batch: pa.RecordBatch) -> dict:
+        texts = batch.column("__text")
+        return {n: batch.column(n) for n in names} | work(as_bytes(texts) if binary else as_text(texts))
+
+    source = df.select(*[F.col(f"`{f.name}`").alias(n) for n, f in zip(names, fields)], F.col(f"`{text}`").alias("__text"))
+    out = map_slices(source, run, f"{kept}{shape}")
+    return out.withColumnsRenamed({n: f.name for n, f in zip(names, fields)})
+
+
+def bounded_sample(df: DataFrame, rows: int, text: str = "text") -> DataFrame:
+    """At most ``rows`` rows: those that come first by a hash of their text. Same rows for any layout; null texts are left out."""
+    return df.where(F.col(text).isNotNull()).orderBy(F.xxhash64(text), text).limit(rows)

@@ -1,9 +1,11 @@
 """The registered queries of this folder: one per operator."""
 
-from gapwise.llm import bpe, langid, sharding, simhash
+from gapwise.llm import bpe, langid, pii, quality, sharding, simhash
 
 QUERIES = {
     "op1_simhash_dedup": simhash.query,
+    "op4_quality": quality.query,
+    "op5_pii": pii.query,
     "op6_bpe": bpe.query,
     "op7_langid": langid.query,
     "op8_sharding": sharding.query,
