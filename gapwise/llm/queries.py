@@ -1,6 +1,6 @@
 """The registered queries of this folder: one per operator."""
 
-from gapwise.llm import bpe, langid, pii, quality, sharding, simhash
+from gapwise.llm import bpe, html, langid, lm, pii, quality, sharding, simhash
 
 QUERIES = {
     "op1_simhash_dedup": simhash.query,
@@ -9,5 +9,7 @@ QUERIES = {
     "op6_bpe": bpe.query,
     "op7_langid": langid.query,
     "op8_sharding": sharding.query,
+    "op9_lm_score": lm.query,
+    "op10_html_extract": html.query,
 }
 ORACLES: dict[str, str] = {}
