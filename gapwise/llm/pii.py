@@ -231,15 +231,14 @@ def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
 SHAPE = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
 
 
-def find(docs: DataFrame, field: SkipChainField, keep: list[str], text: str = "text", redact: bool = False) -> DataFrame:
-    """``keep`` columns with the base counts, the digest of the base spans, and all spans; with ``redact`` also the
-    text without them (``redacted``).
+def find(docs: DataFrame, field: SkipChainField, keep: list[str], text: str = "text") -> DataFrame:
+    """``keep`` columns with the base counts, the digest of the base spans, and all spans.
 
-    Edge cases: null and empty text has no spans (redacted text of null is null only if the caller keeps it so: it is
-    empty here); repeated rows give equal rows; offsets are code points.
+    Edge cases: null and empty text has no spans; repeated rows give equal rows; offsets are code points; the time is
+    in proportion to the text's length, whatever its runs of digits or letters.
     """
     def work(texts: list[str]) -> dict:
-        out: dict[str, list] = {c.split()[0]: [] for c in SHAPE.split(", ")} | ({"redacted": []} if redact else {})
+        out: dict[str, list] = {c.split()[0]: [] for c in SHAPE.split(", ")}
         for t in texts:
             spans = base_spans(t) if MARK.search(t) else []
             more = field.further(t, spans) if MARK.search(t) else []
@@ -247,11 +246,26 @@ def find(docs: DataFrame, field: SkipChainField, keep: list[str], text: str = "t
                 out[f"n_{kind}"].append(sum(s[0] == k for s in spans))
             out["base_sha256"].append(hashlib.sha256(written(spans).encode()).hexdigest())
             out["spans"].append(written(spans + more))
-            if redact:
-                out["redacted"].append(redacted(t, spans + more))
         return out
 
-    return add_columns(docs, keep, text, work, SHAPE + (", redacted string" if redact else ""), binary=False)
+    return add_columns(docs, keep, text, work, SHAPE, binary=False)
+
+
+def redact(docs: DataFrame, field: SkipChainField, text: str = "text", length: str = "n_chars") -> DataFrame:
+    """``docs`` with every span of the text replaced by its kind, and the ``length`` column, where there is one, set to
+    the new length. Null text stays null; all other columns and rows stay as they are."""
+    def work(texts: list[str]) -> dict:
+        out = []
+        for t in texts:
+            spans = base_spans(t) if MARK.search(t) else []
+            out.append(redacted(t, spans + field.further(t, spans)) if MARK.search(t) else t)
+        return {"__redacted": out}
+
+    done = add_columns(docs, docs.columns, text, work, "__redacted string", binary=False)
+    done = done.withColumn(text, F.when(F.col(text).isNotNull(), F.col("__redacted"))).drop("__redacted")
+    if length in docs.columns:
+        done = done.withColumn(length, F.when(F.col(text).isNotNull(), F.length(text).cast(docs.schema[length].dataType)).otherwise(F.col(length)))
+    return done.select(*[f"`{c}`" for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -145,6 +145,20 @@ SHAPE = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_rep
          "content_share double, kept boolean")
 
 
+def verdicts(texts: list[bytes], field: LineField) -> list[tuple]:
+    """The columns of SHAPE for each text."""
+    out = []
+    for raw in texts:
+        words, lines = words_of(raw), lines_of(raw)
+        n, repeat = len(words), repeated_words(words)
+        failed = n < 10 or 100 * repeat > 20 * n
+        labels = field.decode(line_features(lines)) if lines else []
+        share = sum(len(w) for (_, w), good in zip(lines, labels) if good) / n if n else 0.0
+        out.append((n, len(raw.decode()) - (len(raw) - len(raw.translate(None, BLANK))), len(raw) - len(raw.translate(None, SYMBOLS)),
+                    len(lines) - len({line for line, _ in lines}), repeat, failed, share, not failed and share >= CONTENT_SHARE))
+    return out
+
+
 def judge(docs: DataFrame, field: LineField, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` columns, the counts and the verdict of every row.
 
@@ -152,22 +166,18 @@ def judge(docs: DataFrame, field: LineField, keep: list[str], text: str = "text"
     rows get equal verdicts; a text of one endless line is one line.
     """
     def work(texts: list[bytes]) -> dict:
-        out = []
-        for raw in texts:
-            words, lines = words_of(raw), lines_of(raw)
-            whole = raw.decode()
-            n, repeat = len(words), repeated_words(words)
-            failed = n < 10 or 100 * repeat > 20 * n
-            labels = field.decode(line_features(lines)) if lines else []
-            share = sum(len(w) for (_, w), good in zip(lines, labels) if good) / n if n else 0.0
-            out.append((n, len(whole) - (len(raw) - len(raw.translate(None, BLANK))), len(raw) - len(raw.translate(None, SYMBOLS)),
-                        len(lines) - len({line for line, _ in lines}), repeat, failed, share, not failed and share >= CONTENT_SHARE))
-        names = [c.split()[0] for c in SHAPE.split(", ")]
-        return {name: [o[i] for o in out] for i, name in enumerate(names)}
+        found = verdicts(texts, field)
+        return {c.split()[0]: [v[i] for v in found] for i, c in enumerate(SHAPE.split(", "))}
 
     return add_columns(docs, keep, text, work, SHAPE)
 
 
+def keep_good(docs: DataFrame, field: LineField, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that pass, with all their columns as they are."""
+    marked = add_columns(docs, docs.columns, text, lambda texts: {"__good": [v[-1] for v in verdicts(texts, field)]}, "__good boolean")
+    return marked.where("__good").drop("__good")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     field = learn(docs, table(spark, sf_dir, "labels"))

@@ -1,9 +1,11 @@
 """The registered queries of this folder: one per operator."""
 
-from gapwise.llm import bpe, html, langid, lm, pii, quality, sharding, simhash
+from gapwise.llm import bpe, decontaminate, html, langid, lm, pii, quality, sharding, simhash, suffix
 
 QUERIES = {
     "op1_simhash_dedup": simhash.query,
+    "op2_decontaminate": decontaminate.query,
+    "op3_suffix_dedup": suffix.query,
     "op4_quality": quality.query,
     "op5_pii": pii.query,
     "op6_bpe": bpe.query,
