@@ -17,11 +17,16 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: difference, so every pair within the radius is found. At similarity 0.8 about 10 of 64 bits differ (spread 3).
 RADIUS = 20
 BLOCKS = RADIUS + 1
-#: Up to so many item shingles (16 bytes each) go to every task; more are joined by a shuffle.
-BROADCAST_SHINGLES = 500_000
+#: A written table of a few numbers a row goes to every task if it has at most so many rows; else it is joined by a shuffle.
+BROADCAST_ROWS = 500_000
 CUT = "[\\x20\\x09-\\x0D]+"
 
 
+def sized(written: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast only if its counted rows allow it."""
+    return F.broadcast(written) if written.count() <= BROADCAST_ROWS else written
+
+
 def words(text: str) -> Column:
     """Lower-case words of a text column; null has none."""
     return F.array_remove(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), CUT), "")
@@ -68,9 +73,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
     item = write_stage(item, "items").frame
     seeds = item.select("size", F.posexplode("item_shingles").alias("place", "s")).select(F.xxhash64("s").alias("h"), "size", "place").distinct()
     short = [r[0] for r in item.where(F.col("size") < SHINGLE).select("size").distinct().collect()]  # at most four values
-    seeds = write_stage(seeds, "seeds").frame
-    if seeds.count() <= BROADCAST_SHINGLES:
-        seeds = F.broadcast(seeds)
+    seeds = sized(write_stage(seeds, "seeds").frame)
     body = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("text_hash"), words(text).alias("w"))
     found = []
     for size in (SHINGLE, *short):
@@ -80,8 +83,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
     for more in found[1:]:
         places = places.unionByName(more)
     start = F.greatest(F.lit(0), F.least(F.col("at") - F.col("place"), F.col("length") - F.col("size")))
-    places = places.select("text_hash", "size", start.alias("start")).distinct()
-    windows = body.join(places, "text_hash").select("key", "text_hash", "size", "start", F.expr("slice(w, start + 1, size)").alias("w"))
+    places = sized(write_stage(places.select("text_hash", "size", start.alias("start")).distinct(), "places").frame)
+    windows = (docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("body")).join(places, "text_hash")
+               .withColumn("w", words("body")).select("key", "text_hash", "size", "start", F.expr("slice(w, start + 1, size)").alias("w")))
     windows = write_stage(windows.withColumn("window", F.array_join("w", " ")).drop("w"), "windows").frame
     distinct = windows.select("size", "window").distinct().withColumn("own", F.concat_ws(":", "size", "window"))
     distinct = distinct.withColumn("ww", F.split("window", " ")).withColumn("window_shingles", shingles("ww")).drop("ww")
@@ -106,6 +110,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the rows that hold an item; all others stay as they are."""
     bad = matches(docs, benchmark, key, text).select(F.col(key).alias("__bad_key"), F.col("text_hash").alias("__bad_hash")).distinct()
+    bad = sized(write_stage(bad, "contaminated").frame)
     return docs.join(bad, F.col(key).eqNullSafe(F.col("__bad_key")) & (F.xxhash64(text) == F.col("__bad_hash")), "left_anti")
 
 

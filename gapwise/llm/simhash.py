@@ -168,18 +168,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         key, F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", similar=None) -> DataFrame:
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each component: one that has the smallest key. All columns stay as they are.
 
-    The winner's fingerprint names the row, so the documents are shuffled once, on their fingerprint.
+    The winner's fingerprint and key name the row, so the documents are shuffled once, on both; copies of one text spread
+    over the tasks by their keys, and rows repeated in full meet in one.
     """
     names = docs.columns
     prints = write_stage(fingerprints(docs, [key], text), "fingerprints").frame
-    best = (classes(prints, key).where(F.col("own_id").eqNullSafe(F.col("component_id"))).groupBy("label")
-            .agg(F.min("fingerprint").alias("fingerprint"), F.first("own_id").alias("__first")).select("fingerprint", "__first"))
-    marked = fingerprints(docs, names, text).withColumnRenamed("fingerprint", "__print")
-    won = marked.join(best, (marked["__print"] == best["fingerprint"]) & marked[key].eqNullSafe(best["__first"]))
-    return won.dropDuplicates(["__print"]).select(*[f"`{n}`" for n in names])
+    won = classes(prints, key).where(F.col("own_id").eqNullSafe(F.col("component_id")))
+    best = won.groupBy("label").agg(F.min("fingerprint").alias("__print"), F.first("own_id").alias("__first"))
+    best = best.select("__print", F.xxhash64("__first").alias("__key"), "__first").hint("merge")
+    marked = fingerprints(docs, names, text).withColumnRenamed("fingerprint", "__print").withColumn("__key", F.xxhash64(F.col(f"`{key}`")))
+    kept = marked.join(best, ["__print", "__key"]).where(F.col(f"`{key}`").eqNullSafe(F.col("__first")))
+    return kept.dropDuplicates(["__print", "__key"]).select(*[f"`{n}`" for n in names])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
