@@ -73,6 +73,24 @@ def add_columns(df: DataFrame, keep: list[str], text: str, work: Callable[[list]
     return out.withColumnsRenamed({n: f.name for n, f in zip(names, fields)})
 
 
-def bounded_sample(df: DataFrame, rows: int, text: str = "text") -> DataFrame:
-    """At most ``rows`` rows: those that come first by a hash of their text. Same rows for any layout; null texts are left out."""
-    return df.where(F.col(text).isNotNull()).orderBy(F.xxhash64(text), text).limit(rows)
+SHARES = 1 << 24
+
+
+def hash_share(rank, rows: int, total: int):
+    """True for about ``rows`` of ``total`` different values of the hash column ``rank``; for all where there are fewer."""
+    return F.pmod(F.shiftrightunsigned(rank, 7), F.lit(SHARES)) < int(min(1.0, rows / max(1, total)) * SHARES)
+
+
+def bounded_sample(df: DataFrame, rows: int, text: str = "text") -> list[str]:
+    """At most ``rows`` different texts, chosen by a hash of the text: the same ones for any layout.
+
+    Tasks send only texts whose hash falls into the share that holds about ``rows`` texts, each once, so
+    what reaches the driver does not grow with the table or with the number of tasks.
+    """
+    return distinct_texts(df.where(hash_share(F.xxhash64(text), rows, df.count())), rows, text)
+
+
+def distinct_texts(df: DataFrame, rows: int, text: str = "text") -> list[str]:
+    """The different texts of a small table, at most ``rows``, in an order of their own; nulls are left out."""
+    known = df.where(F.col(text).isNotNull()).groupBy(F.xxhash64(text).alias("rank")).agg(F.min(text).alias("text"))
+    return [r["text"] for r in known.orderBy("rank").limit(rows).collect()]

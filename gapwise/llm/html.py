@@ -276,7 +276,7 @@ def train(pages: list[str], seed: int = 9) -> BlockLabeller:
 
 
 def learn(pages: DataFrame, column: str = "html", rows: int = SAMPLE_PAGES) -> BlockLabeller:
-    return train([r[0] for r in bounded_sample(pages.select(column), rows, column).collect()])
+    return train(bounded_sample(pages.select(column), rows, column))
 
 
 def extract(pages: DataFrame, model: BlockLabeller, keep: list[str], column: str = "html") -> DataFrame:

@@ -10,9 +10,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from gapwise.llm.common import as_bytes, crc_mod, map_slices, table, words_of
+from gapwise.llm.common import as_bytes, crc_mod, distinct_texts, hash_share, map_slices, table, words_of
 
 #: Bounds of the labelled sample that the automata are built from: rows and characters of each language.
 SAMPLE_ROWS = 400
@@ -111,19 +110,20 @@ class Model:
 
 
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> dict[str, str]:
-    """Text per language from a bounded sample: the ``rows`` rows of each language that come first by a hash of their
-    text, lower-cased letter runs padded by spaces, until ``chars`` characters. Rows without label or text are left out."""
-    body = F.substring(F.col(text), 1, chars).alias("body")
-    order = Window.partitionBy("lang").orderBy("rank", "body")
-    sample = (labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-              .select(F.col(lang).alias("lang"), body, F.xxhash64(F.col(text)).alias("rank"))
-              .withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows).orderBy("lang", "n").select("lang", "body"))
+    """Text per language from a bounded sample: about ``rows`` different texts of each language, chosen by a hash of the
+    text, as lower-case letter runs padded by spaces, until ``chars`` characters. Rows without label or text are left out.
+    """
+    known = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     texts: dict[str, str] = {}
-    for row in sample.toLocalIterator():
-        have = texts.get(row["lang"], "")
-        if len(have) < chars:
-            texts[row["lang"]] = (have + " " + " ".join(LETTERS.findall(row["body"].lower())) + " ")[:chars]
-    return {k: v for k, v in texts.items() if v.strip()}
+    for row in sorted(known.groupBy("lang").count().collect()):
+        own, have = known.where(F.col("lang") == row["lang"]), ""
+        chosen = own.where(hash_share(F.xxhash64("text"), rows, row["count"])).select(F.substring("text", 1, chars).alias("text"))
+        for body in distinct_texts(chosen, 2 * rows):
+            if len(have) < chars:
+                have = (have + " " + " ".join(LETTERS.findall(body.lower())) + " ")[:chars]
+        if have.strip():
+            texts[row["lang"]] = have
+    return texts
 
 
 _BUILT: dict[int, Model] = {}

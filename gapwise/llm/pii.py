@@ -208,8 +208,7 @@ def train(texts: list[str]) -> SkipChainField:
 
 def learn(docs: DataFrame, text: str = "text", rows: int = SAMPLE_DOCS) -> SkipChainField:
     """Fit on a bounded sample of documents that hold a digit, an @ or a plus sign."""
-    sample = bounded_sample(docs.where(F.col(text).rlike("[0-9@+]")).select(text), rows, text)
-    return train([r[0] for r in sample.collect()])
+    return train(bounded_sample(docs.where(F.col(text).rlike("[0-9@+]")).select(text), rows, text))
 
 
 def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapwise.llm.common import add_columns, bounded_sample, table, words_of
+from gapwise.llm.common import add_columns, distinct_texts, hash_share, table, words_of
 
 #: Bounds of the training sample, in documents of each label; longer documents are cut into chains of CHAIN lines for training.
 SAMPLE_DOCS = 500
@@ -132,12 +132,16 @@ def train(documents: list[tuple[bytes, int]]) -> LineField:
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_DOCS) -> LineField:
-    """Fit on a bounded sample of labelled documents: at most ``rows`` of each label. Null labels and texts are left out."""
-    known = docs.select("doc_id", "text").join(labels.where(F.col("quality").isNotNull()).select("doc_id", "quality"), "doc_id")
+    """Fit on a bounded sample of labelled documents: about ``rows`` of each label, chosen by a hash of their id.
+
+    Only the chosen ids (a bounded number) go to the documents; null labels, ids and texts are left out.
+    """
     sample = []
     for good in (0, 1):
-        part = bounded_sample(known.where(F.col("quality") == good), rows)
-        sample += [(r["text"].encode(), good) for r in part.collect()]
+        known = labels.where((F.col("quality") == good) & F.col("doc_id").isNotNull()).select("doc_id")
+        chosen = known.where(hash_share(F.xxhash64("doc_id"), rows, known.count())).distinct().limit(2 * rows)
+        texts = docs.join(F.broadcast(chosen), "doc_id").select("text")
+        sample += [(t.encode(), good) for t in distinct_texts(texts, 2 * rows)]
     return train(sample)
 
 
