@@ -15,6 +15,11 @@ from gapwise.operators.linear import LinearFit, least_squares
 from gapwise.operators.moments import PatternStats, centred, pattern_stats
 
 
+def noise_salt(column: str) -> str:
+    """The noise has draws of its own: a mask made with the same seed must not tell anything about it."""
+    return f"{column}:noise"
+
+
 @dataclass(frozen=True)
 class RegressionFill:
     cols: list[str]
@@ -32,7 +37,7 @@ class RegressionFill:
                 if fit.coef[j + 1] != 0.0:
                     value = value + F.lit(float(fit.coef[j + 1])) * centred(other, self.shift[j])
             if self.noise_key:
-                value = value + F.lit(fit.residual_sd) * hash_normal(self.noise_key, name, self.seed)
+                value = value + F.lit(fit.residual_sd) * hash_normal(self.noise_key, noise_salt(name), self.seed)
             out[name] = F.coalesce(dbl(name), value)
         return df.withColumns(out) if out else df
 

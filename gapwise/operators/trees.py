@@ -22,17 +22,17 @@ TRAIN_ROWS = 500_000  # training rows per partition
 FEATURES, LABEL, PREDICTION = "__features", "__label", "__prediction"
 
 
-def random_forest(trees: int, seed: int, max_depth: int = 10) -> Learner:
+def random_forest(trees: int, seed: int, max_depth: int = 10, max_bins: int = 64) -> Learner:
     """Bagged regression trees that may use every column at every split.
 
     Growing level by level exchanges statistics per open node, twice as many with every level; the
-    depth bounds that traffic independently of the table's length.
+    depth bounds that traffic independently of the table's length. Spark ML allows up to 30 levels.
     """
 
     def learn(train: DataFrame) -> Model:
         return RandomForestRegressor(
             featuresCol=FEATURES, labelCol=LABEL, predictionCol=PREDICTION, numTrees=trees, maxDepth=max_depth,
-            featureSubsetStrategy="all", maxBins=64, seed=seed, maxMemoryInMB=1024).fit(train)
+            featureSubsetStrategy="all", maxBins=max_bins, seed=seed, maxMemoryInMB=1024).fit(train)
 
     return learn
 

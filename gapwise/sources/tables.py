@@ -18,6 +18,9 @@ MISSING_TOKENS = [
     "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "None", "n/a",
 ]
 DELIMITERS = ",;\t|"
+#: What counts as a number: no type suffix, so codes such as 12d or 3f stay text.
+NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$|^\s*[+-]?(Infinity|inf|Inf)\s*$"
+BROKEN = "__broken_row"
 
 
 def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
@@ -27,27 +30,27 @@ def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
     return stage(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
 
 
+def _refuse(wrong: bool, code: str, message: str) -> None:
+    if wrong:
+        raise EngineError(code, message)
+
+
 def validate_frame(df: DataFrame, key: Sequence[str] = (), max_rows: int | None = None,
                    max_columns: int | None = None) -> DataFrame:
-    """Rules every table must meet. Row and column limits are optional; Spark needs none."""
-    if not df.columns or df.isEmpty():
-        raise EngineError("empty_table", "The table has no data rows.")
-    if max_columns is not None and len(df.columns) > max_columns:
-        raise EngineError("too_many_columns", f"Too many columns: {len(df.columns)} (allowed: {max_columns}).")
-    if max_rows is not None and df.limit(max_rows + 1).count() > max_rows:
-        raise EngineError("too_many_rows", f"Too many rows (allowed: {max_rows}).")
+    """The rules for tables: distinct names, some rows, a numeric column, and limits only where the caller sets them."""
     _check_names(df.columns)
-    df = normalise_missing(df)
-    if not numeric_columns(df, key):
-        raise EngineError("no_numeric_column", "At least one numeric column is needed.")
-    return df
+    width = len(df.columns)
+    _refuse(max_columns is not None and width > max_columns, "too_many_columns", f"{width} columns, {max_columns} at most.")
+    _refuse(not width or df.isEmpty(), "empty_table", "No row to work on.")
+    _refuse(max_rows is not None and df.limit(max_rows + 1).count() > max_rows, "too_many_rows", f"Over {max_rows} rows.")
+    clean = normalise_missing(df)
+    _refuse(not numeric_columns(clean, key), "no_numeric_column", "No column holds numbers.")
+    return clean
 
 
 def _check_names(names: Sequence[str]) -> None:
-    if len(set(names)) != len(names):
-        raise EngineError("duplicate_columns", "Column names must be unique.")
-    if any(not n or n.startswith("Unnamed:") for n in names):
-        raise EngineError("missing_header", "The file needs a header line with column names.")
+    _refuse(any(not n or n.startswith("Unnamed:") for n in names), "missing_header", "Every column needs a name in the first line.")
+    _refuse(len({*names}) < len(names), "duplicate_columns", "Two columns have one name.")
 
 
 def _sniff(line: str) -> str:
@@ -61,7 +64,8 @@ def _typed(df: DataFrame) -> DataFrame:
     aggs = []
     for i, n in enumerate(df.columns):
         aggs.append(F.count(c(n)).alias(f"n{i}"))
-        aggs += [F.count(c(n).try_cast(k)).alias(f"{k}{i}") for k in kinds]
+        aggs += [F.count(F.when(c(n).rlike(NUMBER), c(n).try_cast(k)) if k == "double" else c(n).try_cast(k)).alias(f"{k}{i}")
+                 for k in kinds]
         aggs.append(F.count_if(F.lower(c(n)).isin("true", "false")).alias(f"word{i}"))
         aggs.append(F.count_if(c(n).rlike(r"^[+-]?\d+$")).alias(f"digits{i}"))
     row = df.agg(*aggs).first()
@@ -79,26 +83,46 @@ def _typed(df: DataFrame) -> DataFrame:
     return normalise_missing(df.withColumns(out) if out else df)
 
 
-def read_csv_table(spark: SparkSession, path: str | list[str], sep: str | None = None, max_rows: int | None = None,
-                   max_columns: int | None = None) -> DataFrame:
-    """Delimited text with a header. The separator is found from the header line if not given."""
+def _header(spark: SparkSession, path: str | list[str]) -> str:
+    """The first line, the same in all files of the path."""
     lines = spark.read.text(path)
-    first = next((r["value"] for r in lines.where(F.trim("value") != "").limit(1).collect()), None)
-    if first is None:
-        raise EngineError("empty_file", "The file is empty.")
-    first = first.lstrip("﻿")
+    if len(lines.inputFiles()) > 1:
+        placed = lines.where(F.trim("value") != "").select(
+            "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+        firsts = placed.groupBy("file").agg(F.min_by("value", F.struct("block", "at")).alias("line")).select("line").distinct().limit(2).collect()
+        _refuse(len(firsts) > 1, "parse_error", "The files of this path have different header lines.")
+        found = firsts[0]["line"] if firsts else None
+    else:
+        found = next((r["value"] for r in lines.where(F.trim("value") != "").limit(1).collect()), None)
+    _refuse(found is None, "empty_file", "There is nothing in the file.")
+    return found.lstrip("\ufeff")
+
+
+def read_csv_table(spark: SparkSession, path: str | list[str], sep: str | None = None, max_rows: int | None = None,
+                   max_columns: int | None = None, multiline: bool = False) -> DataFrame:
+    """Delimited text with a header line, quoted as spreadsheets do it (a quote inside quotes is doubled).
+
+    The separator is found from the header line if not given. Line breaks inside quotes need ``multiline``, since
+    files are then not split. A row that does not have the header's number of cells, or ends inside quotes, is a
+    ``parse_error``: nothing is cut or filled up. Blanks around a token do not matter ("NA " is missing).
+    """
+    first = _header(spark, path)
     sep = sep or _sniff(first)
-    try:
-        header = [h.strip() for h in next(csv.reader([first], delimiter=sep, skipinitialspace=True))]
-    except csv.Error as exc:
-        raise EngineError("parse_error", f"The file could not be read as CSV: {exc}") from exc
+    header = [h.strip() for h in next(csv.reader([first], delimiter=sep, skipinitialspace=True))]
     _check_names(header)
-    schema = T.StructType([T.StructField(h, T.StringType()) for h in header])
+    schema = T.StructType([T.StructField(h, T.StringType()) for h in [*header, BROKEN]])
     text = (spark.read.schema(schema)
-            .options(sep=sep, header=True, enforceSchema=True, ignoreLeadingWhiteSpace=True).csv(path))
+            .options(sep=sep, header=True, enforceSchema=True, ignoreLeadingWhiteSpace=True, quote='"', escape='"',
+                     multiLine=multiline, mode="PERMISSIVE", columnNameOfCorruptRecord=BROKEN).csv(path))
+    wrong = c(BROKEN).isNotNull()
+    if not multiline:  # a quoted cell that goes on in the next line
+        lines = spark.read.text(path)
+        quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+        _refuse(not lines.where(quotes % 2 == 1).isEmpty(), "parse_error", "A quoted cell does not end in its line; multiline reads such files.")
+    bad = text.where(wrong).limit(1).collect()
+    _refuse(bool(bad), "parse_error", f"A row does not fit the {len(header)} columns of the header: {bad[0][BROKEN][:200]!r}" if bad else "")
     cleaned = text.select(*[F.when(~F.trim(c(n)).isin(MISSING_TOKENS), c(n)).alias(n) for n in header])
-    if cleaned.isEmpty():
-        raise EngineError("empty_table", "The table has no data rows.")
+    _refuse(cleaned.isEmpty(), "empty_table", "There is only a header line.")
     return validate_frame(_typed(cleaned), max_rows=max_rows, max_columns=max_columns)
 
 

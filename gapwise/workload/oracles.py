@@ -364,6 +364,7 @@ ORACLES: dict[str, str] = {
                     "UNION ALL SELECT 'drop_columns', count(*), 3 FROM dl",
     "csv_tokens": "SELECT event_id, user_id, CASE WHEN event_type <> 'click' THEN event_type END AS event_type, "
                   "CASE WHEN event_type NOT IN ('error', 'signup') THEN value END AS value FROM events",
+    "csv_texts": "SELECT doc_id, text, lang, source, n_chars FROM documents",
     "mask_by_rule": "SELECT event_id, event_type, CASE WHEN event_type <> 'error' THEN value END AS value FROM events",
     "inject_mcar": f"WITH {ORDERS} {INJECTED}",
     "inject_mar": f"WITH RECURSIVE {bisection('o_custkey')} {INJECTED}",
@@ -402,7 +403,7 @@ ORACLES: dict[str, str] = {
     "impute_regression_noise":
         f"WITH {PRICES_MCAR}, f AS (SELECT regr_slope(net, price) AS b1, regr_intercept(net, price) AS b0 FROM x), "
         "g AS (SELECT sqrt(avg((net - b0 - b1 * price) ** 2)) AS sd FROM x, f WHERE net IS NOT NULL) "
-        f"SELECT {KEYS}, coalesce(net, {r('b0 + b1 * price + sd * ' + normal(LINE_KEY, 'net'), 1)}) AS net FROM x, f, g",
+        f"SELECT {KEYS}, coalesce(net, {r('b0 + b1 * price + sd * ' + normal(LINE_KEY, 'net:noise'), 1)}) AS net FROM x, f, g",
     "impute_iterative": f"WITH RECURSIVE {PRICES_MCAR}, {ridge('net', 'price')} "
                         f"SELECT {KEYS}, coalesce(net, {r('ym + slope * (price - xm)', 1)}) AS net FROM x, f",
     "impute_em": EM,

@@ -142,6 +142,15 @@ def csv_tokens(spark, d):
     return read_csv_table(spark, path)
 
 
+@query
+def csv_texts(spark, d):
+    """Whole documents written as quoted text (separators, quotes and line breaks inside) and read back."""
+    path = f"{shared_dir(spark).rstrip('/')}/text-{uuid.uuid4().hex}"
+    table(spark, d, "documents").select("doc_id", "text", "lang", "source", "n_chars").write.options(
+        header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return read_csv_table(spark, path, multiline=True)
+
+
 @query
 def mask_by_rule(spark, d):
     df = mask_where(table(spark, d, "events").select("event_id", "event_type", "value"), "value",

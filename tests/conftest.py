@@ -22,11 +22,18 @@ def spark(tmp_path_factory):
     session.stop()
 
 
-def correlated(n=300, seed=1):
-    """y follows x, z is noise."""
-    rng = np.random.default_rng(seed)
-    x = rng.normal(50, 10, n)
-    return pd.DataFrame({"id": np.arange(n), "x": x, "y": 2 * x + rng.normal(0, 5, n), "z": rng.normal(0, 1, n)})
+@pytest.fixture(scope="session")
+def orders(spark):
+    """Order key, customer and price of the smallest test tables."""
+    return spark.read.parquet(f"{SF}/orders.parquet").select("o_orderkey", "o_custkey", "o_totalprice").cache()
+
+
+@pytest.fixture(scope="session")
+def lines(spark):
+    """Line items with a key of their own; net follows price closely, charge follows net."""
+    return spark.read.parquet(f"{SF}/lineitem.parquet").selectExpr(
+        "concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS line", "l_quantity AS qty", "l_extendedprice AS price",
+        "l_extendedprice * (1 - l_discount) AS net", "l_extendedprice * (1 - l_discount) * (1 + l_tax) AS charge").dropDuplicates(["line"]).cache()
 
 
 def to_spark(spark, pdf, schema=None):
@@ -40,3 +47,8 @@ def to_spark(spark, pdf, schema=None):
 def collect(df, key="id"):
     out = df.toPandas()
     return out.sort_values(key).reset_index(drop=True) if key in out else out
+
+
+def rmse(out, name):
+    hit = out["__mask"]
+    return float(np.sqrt(((out.loc[hit, name] - out.loc[hit, f"__truth_{name}"]) ** 2).mean()))

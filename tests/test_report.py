@@ -1,117 +1,102 @@
+"""Reports on the orders and on labelled documents."""
+
 import numpy as np
-import pandas as pd
 import pytest
-from conftest import collect, correlated, to_spark
+from conftest import SF, collect, rmse
 from pyspark.sql import functions as F
 
-from gapwise import EngineError, METHODS, analyse, compare_methods, inject_missing
+from gapwise import EngineError, analyse, compare_methods, inject_missing
 from gapwise.functions.correlation import correlation_matrix
 from gapwise.plans.report import BINS, describe, shared_histogram
 
+KEY = "o_orderkey"
+ASK = {"mechanism": "MNAR", "rate": 0.25, "target": "o_totalprice"}
 
-def survey(spark):
-    rng = np.random.default_rng(0)
-    return to_spark(spark, pd.DataFrame({
-        "id": np.arange(100), "Age": rng.integers(18, 60, 100).astype(float),
-        "Income": rng.integers(20000, 100000, 100).astype(float), "Satisfaction": rng.integers(1, 6, 100).astype(float)}))
-
-
-def test_full_report_with_truth(spark):
-    r = analyse(survey(spark), "id", "knn", {"n_neighbors": 3},
-                {"mechanism": "MAR", "rate": 0.3, "target": "Income", "driver": "Age"}, seed=1)
-    assert r.has_truth and not r.has_native_missing and r.column == "Income"
-    before, after = r.missing_cells()
-    cells = r.cells(None).collect()
-    assert after == 0 and len(cells) == before and all(x["truth"] is not None for x in cells)
-    stats = {x["column"]: x for x in r.stats().collect()}
-    assert stats["Income"]["rmse"] > 0 and stats["Income"]["truth_n"] == 100 and stats["Age"]["rmse"] is None
-    hist = r.histogram().toPandas()
-    assert set(hist["series"]) == {"before", "after", "truth"} and len(hist) == 3 * BINS
-    assert r.corr_before().count() == r.corr_after().count() == r.corr_truth().count() == 9
-    assert r.shape_before() == r.shape_after() == (100, 3) and r.dropped().isEmpty()
-
-
-def test_native_gaps_and_listwise(spark):
-    levels = ["Low", "Medium", "High"]
-    pdf = pd.DataFrame({"id": np.arange(23), "Age": np.arange(23) + 20.0, "Stress": [levels[i % 3] for i in range(23)],
-                        "Job": np.arange(23) % 5 + 1.0})
-    pdf.loc[pdf["Stress"] == "Low", "Job"] = np.nan
-    r = analyse(to_spark(spark, pdf), "id", "listwise", missing={"mechanism": "MCAR", "rate": 0.3, "target": "Age"})
-    assert r.has_native_missing and not r.has_truth and r.notes and r.column == "Job"
-    assert r.shape_after()[0] == 15 and r.dropped().count() == 8 == r.dropped(None).count()
-    assert all(x["rmse"] is None for x in r.stats().collect())
-    assert set(r.histogram().toPandas()["series"]) == {"before", "after"}
-
-
-@pytest.mark.parametrize("method", ["none", "listwise", "drop_columns", "pairwise", "mean", "em", "multiple"])
-def test_reports_for_methods(spark, method):
-    r = analyse(survey(spark), "id", method, missing={"rate": 0.3})
-    stats = {x["column"]: x for x in r.stats().collect()}
-    assert r.missing_applied["target"] == "Satisfaction" and stats["Satisfaction"]["missing"] > 0
-    if method in ("none", "listwise", "pairwise"):
-        assert stats["Satisfaction"]["rmse"] is None
-    if method in ("mean", "em", "multiple"):
-        assert stats["Satisfaction"]["rmse"] > 0
-    if method == "multiple":
-        assert all(x["sd"] > 0 for x in r.cells().collect())
-
-
-def test_dropped_target_column(spark):
-    r = analyse(survey(spark), "id", "drop_columns", {"max_missing_pct": 10}, {"rate": 0.3, "target": "Income"})
-    assert "Income" not in r.after.columns
-    stats = {x["column"]: x for x in r.stats().collect()}
-    assert stats["Income"]["after_n"] is None and stats["Income"]["rmse"] is None
-    assert set(r.histogram().toPandas()["series"]) == {"before", "truth"}
+
+@pytest.fixture(scope="module")
+def labelled(spark):
+    """Documents with the labels that some of them have: native gaps."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang", "n_chars")
+    return docs.join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id", "left").cache()
+
+
+def test_report_with_truth_agrees_with_pandas(orders):
+    r = analyse(orders, KEY, "median", {}, ASK, seed=3)
+    before, after = collect(r.before, KEY), collect(r.after, KEY)
+    gaps = int(before["o_totalprice"].isna().sum())
+    assert r.has_truth and r.column == "o_totalprice" and r.missing_cells() == (gaps, 0)
+    row = {x["column"]: x for x in r.stats().collect()}["o_totalprice"]
+    assert row["rmse"] == pytest.approx(rmse(before.assign(o_totalprice=after["o_totalprice"]), "o_totalprice"))
+    assert row["missing"] == gaps and row["truth_n"] == len(before)
+    cells = r.cells(None).toPandas()
+    assert len(cells) == gaps and sorted(cells["truth"]) == pytest.approx(sorted(before.loc[before["__mask"], "__truth_o_totalprice"]))
+    hist = r.histogram().toPandas().groupby("series")["n"].sum()
+    assert hist["truth"] == hist["after"] == len(before) == hist["before"] + gaps
+    assert r.corr_before().count() == r.corr_truth().count() == 4 and r.dropped().isEmpty()
 
 
-def test_seed_must_be_a_number(spark):
-    with pytest.raises(EngineError) as err:
-        analyse(survey(spark), "id", seed="abc")
-    assert err.value.code == "bad_param"
-    analyse(survey(spark), "id", seed="")
+def test_native_gaps_are_not_added_to(labelled):
+    r = analyse(labelled, "doc_id", "listwise", missing=ASK | {"target": "n_chars"})
+    unlabelled = labelled.where("quality IS NULL").count()
+    assert r.has_native_missing and not r.has_truth and r.applied is None if hasattr(r, "applied") else r.missing_applied is None
+    assert r.notes and r.column == "quality" and r.dropped(None).count() == unlabelled
+    assert r.shape_after()[0] == labelled.count() - unlabelled
+    assert {x["rmse"] for x in r.stats().collect()} == {None}
 
 
-def test_all_methods_are_registered():
-    assert set(METHODS) == {"none", "listwise", "drop_columns", "pairwise", "mean", "median", "most_frequent", "constant",
-                            "knn", "regression", "iterative", "random_forest", "gradient_boosting", "em", "multiple"}
+def test_focus_follows_the_question(labelled):
+    assert analyse(labelled, "doc_id", column="toxic").column == "toxic"
+    assert analyse(labelled, "doc_id", column="lang").column == "quality"
+    assert analyse(labelled.select("doc_id", "lang", "n_chars"), "doc_id").column == "n_chars"
+
+
+def test_runs_show_the_spread_of_cells(orders):
+    r = analyse(orders, KEY, "multiple", {"m": 3, "max_iter": 2}, ASK)
+    assert all(x["sd"] > 0 for x in r.cells(None).collect())
+
+
+def test_a_target_that_is_dropped_has_no_after(orders):
+    r = analyse(orders, KEY, "drop_columns", {"max_missing_pct": 1}, ASK)
+    row = {x["column"]: x for x in r.stats().collect()}["o_totalprice"]
+    assert row["after_n"] is None and row["rmse"] is None and "o_totalprice" not in r.after.columns
+    assert set(r.histogram().toPandas()["series"]) == {"before", "truth"}
 
 
-def test_histogram_matches_numpy_and_flat_columns(spark):
-    rng = np.random.default_rng(2)
-    a, b = np.round(rng.normal(size=500), 1), rng.normal(size=500) * 3
-    df = to_spark(spark, pd.DataFrame({"id": np.arange(500), "a": a, "b": b}))
-    hist = shared_histogram({"a": (df, F.col("a")), "b": (df, F.col("b"))}).toPandas()
-    edges = np.linspace(min(a.min(), b.min()), max(a.max(), b.max()), 21)
-    for name, v in (("a", a), ("b", b)):
-        part = hist[hist["series"] == name].sort_values("bin")
-        assert part["n"].tolist() == np.histogram(v, bins=edges)[0].tolist()
-    flat = shared_histogram({"a": (df, F.lit(2.0))}).toPandas()
-    assert flat["low"].min() == 1.5 and flat["high"].max() == 2.5 and flat["n"].sum() == 500
-    assert shared_histogram({"a": (df, F.lit(None).cast("double"))}) is None
+def test_nothing_left(orders):
+    bare = orders.withColumns({"o_custkey": F.when(F.col(KEY) > 5, F.col("o_custkey")), "o_totalprice": F.when(F.col(KEY) <= 5, F.col("o_totalprice"))})
+    r = analyse(bare, KEY, "listwise")
+    assert r.shape_after()[0] == 0 and r.stats().count() == 2 and r.notes
 
 
-def test_constant_columns_have_no_correlation(spark):
-    df = to_spark(spark, correlated(30)).withColumn("c", F.lit(1.0))
-    got = {(r["col_a"], r["col_b"]): r["value"] for r in correlation_matrix(df, ["x", "c"]).collect()}
-    assert got[("x", "x")] == 1.0 and got[("x", "c")] is None and got[("c", "c")] is None
+@pytest.mark.parametrize("seed", ["one", 1.5])
+def test_seeds_are_whole_numbers(orders, seed):
+    with pytest.raises(EngineError) as caught:
+        analyse(orders, KEY, seed=seed)
+    assert caught.value.code == "bad_param"
 
 
-def test_describe_single_value(spark):
-    r = describe(spark.createDataFrame([(1.0, None), (None, None)], "a double, b double"), ["a", "b"]).collect()
-    assert (r[0]["n"], r[0]["std"], r[0]["mean"]) == (1, None, 1.0) and (r[1]["n"], r[1]["mean"]) == (0, None)
+def test_histogram_bins(orders):
+    pdf = collect(orders, KEY)
+    half = orders.select((F.col("o_totalprice") / 2).alias("half"))
+    got = shared_histogram({"all": (orders, F.col("o_totalprice")), "half": (half, F.col("half"))}).toPandas()
+    both = np.r_[pdf["o_totalprice"], pdf["o_totalprice"] / 2]
+    edges = np.linspace(both.min(), both.max(), BINS + 1)
+    for name, values in (("all", pdf["o_totalprice"]), ("half", pdf["o_totalprice"] / 2)):
+        assert got[got["series"] == name].sort_values("bin")["n"].tolist() == np.histogram(values, bins=edges)[0].tolist()
+    flat = shared_histogram({"one": (orders, F.lit(-3.0))}).toPandas()
+    assert (flat["low"].min(), flat["high"].max(), flat["n"].sum()) == (-3.5, -2.5, len(pdf))
+    assert shared_histogram({"none": (orders, F.lit(None).cast("double"))}) is None
 
 
-def test_comparison(spark):
-    masked = inject_missing(to_spark(spark, correlated(300)), "id", "y", seed=1)
-    rows = {r["label"]: r for r in compare_methods(masked, "id", "y", {
-        "mean": ("mean", {}), "line": ("regression", {}), "drop": ("listwise", {})}).collect()}
-    assert rows["line"]["rmse"] < 0.6 * rows["mean"]["rmse"] and rows["drop"]["rmse"] is None
+def test_undefined_statistics_are_null(orders):
+    got = {(r["col_a"], r["col_b"]): r["value"] for r in correlation_matrix(orders.withColumn("same", F.lit(2.0)), ["o_totalprice", "same"]).collect()}
+    assert got["o_totalprice", "o_totalprice"] == 1.0 and got["same", "same"] is None is got["o_totalprice", "same"]
+    row = describe(orders.orderBy(KEY).limit(1), ["o_totalprice"]).first()
+    assert row["n"] == 1 and row["std"] is None
 
 
-def test_everything_dropped(spark):
-    pdf = correlated(30)
-    pdf["z"] = np.nan
-    pdf.loc[0, "z"], pdf.loc[0, "x"] = 1.0, np.nan
-    r = analyse(to_spark(spark, pdf), "id", "listwise")
-    assert r.shape_after()[0] == 0 and r.stats().count() == 3
-    assert all(x["value"] is None for x in r.corr_after().collect())
+def test_comparison_ranks_methods(lines):
+    df = inject_missing(lines.select("line", "price", "net"), "line", "net", seed=9)
+    rows = {r["label"]: r["rmse"] for r in compare_methods(df, "line", "net", {
+        "flat": ("median", {}), "line": ("regression", {}), "whole rows": ("listwise", {})}).collect()}
+    assert rows["line"] < 0.5 * rows["flat"] and rows["whole rows"] is None
