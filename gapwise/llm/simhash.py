@@ -171,7 +171,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each component: one that has the smallest key. All columns stay as they are.
 
-    The winner's fingerprint and key name the row, so the documents are shuffled once, on both; copies of one text spread
+    The winner's fingerprint and key name the row, so the documents are shuffled on both; copies of one text spread
     over the tasks by their keys, and rows repeated in full meet in one.
     """
     names = docs.columns
