@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from gapwise.functions.missing import Profile, c, dbl
 from gapwise.operators.cells import DECIMALS, Boxes, Splits, cut_sample, nearest, reachable
 from gapwise.operators.incomplete import ROW, fill_name, join_fills, split_rows
-from gapwise.session import stage, tasks_for
+from gapwise.session import StagedTable, stage, tasks_for, write_stage
 
 BOX_ROWS = 64          # donors aimed at per box; boxes give the distance bounds
 MAX_BOXES = 8192       # so a box holds more donors in a long table; twice this plus one per pattern at most
@@ -141,17 +141,19 @@ def _with_shares(df: DataFrame, crowded: list[tuple[int, int, int]]) -> DataFram
 
 
 def nearest_donors(receivers: DataFrame, receiver_count: int, donors: DataFrame, p: int, keys: Sequence[str], k: int,
-                   width: int, task_rows: int = TASK_ROWS) -> DataFrame:
+                   width: int, held: list[StagedTable], task_rows: int = TASK_ROWS) -> DataFrame:
     """(row, v, d2): for every receiver its k nearest donors by (rounded distance, key).
 
     ``receivers`` has ``row`` and x0..; ``donors`` has x0.., ``v`` and the key columns. ``width`` is
-    the p of the distance formula (all columns, the target included).
+    the p of the distance formula (all columns, the target included). Written copies that the result
+    reads are added to ``held``; the caller drops them once it has used the result.
     """
     spark = receivers.sparkSession
     parallel = tasks_for(spark, receiver_count, SEARCH_ROWS)
     x = _x(p)
     nobody = receivers.select("row", F.lit(0.0).alias("v"), F.lit(0.0).alias("d2")).limit(0)
-    donors = stage(distinct_donors(donors, p, keys, k), "donors")
+    held.append(write_stage(distinct_donors(donors, p, keys, k), "donors"))
+    donors = held[-1].frame
     total, sample_rows = donors.count(), min(CUT_SAMPLE, DRIVER_CELLS // p)
     picked = donors if total <= sample_rows else donors.sample(0.9 * sample_rows / total, seed=0)
     sample = picked.select(*x).limit(sample_rows).toPandas().to_numpy(dtype=float)
@@ -181,7 +183,9 @@ def nearest_donors(receivers: DataFrame, receiver_count: int, donors: DataFrame,
         T.StructField("cell", T.LongType()), T.StructField("bound", T.DoubleType())]))
     if receiver_count <= task_rows:  # no cell can be visited more often than that
         load = dict.fromkeys(cell_ids.tolist(), receiver_count)
-    else:
+    else:  # counted from a copy, so the cells are looked up once
+        held.append(write_stage(visits, "visits"))
+        visits = held[-1].frame
         load = {r["cell"]: r["n"] for r in visits.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
     size = np.bincount(of_box, weights=boxes.count)
     plan = [(int(cell), max(1, math.ceil(n / task_rows)), max(1, math.ceil(load.get(cell, 0) / task_rows)))
@@ -247,11 +251,13 @@ def impute_knn(df: DataFrame, key: Sequence[str], cols: Sequence[str], seen: Pro
         donors = df.where(c(target).isNotNull()).select(
             *vector, dbl(target).alias("v"), *[c(n).alias(a) for n, a in zip(key, keys)])
         receivers = incomplete.where(c(target).isNull()).select(c(ROW).alias("row"), *vector)
+        held: list[StagedTable] = []
         chosen = nearest_donors(receivers, seen.columns[target].missing, donors, len(others), keys, n_neighbors,
-                                len(cols))
-        part = neighbour_mean(chosen, weights).select(F.col("row").alias(ROW), F.lit(i).alias("i"), "fill")
-        if len(gaps) > 1:  # one column at a time, instead of one plan that searches for all of them at once
-            part = stage(part, "neighbours")
+                                len(cols), held)
+        # written once: every use of the filled table reads the fills instead of searching again
+        part = stage(neighbour_mean(chosen, weights).select(F.col("row").alias(ROW), F.lit(i).alias("i"), "fill"), "neighbours")
+        for copy in held:
+            copy.drop()
         fills = part if fills is None else fills.unionByName(part)
     wide = fills.groupBy(ROW).agg(*[F.max(F.when(F.col("i") == i, F.col("fill"))).alias(fill_name(i))
                                     for i in range(len(gaps))])

@@ -95,24 +95,26 @@ def _single_column(df: DataFrame, key: Sequence[str], cols: Sequence[str], at: i
 
 def _rounds(df: DataFrame, key: Sequence[str], cols: Sequence[str], gaps: Sequence[str], means: dict[str, float],
             order: Sequence[int], learn: Learner, max_iter: int, seen: Profile) -> DataFrame:
-    """Rounds over several columns. Only rows with gaps are rewritten; complete rows are read as they are."""
+    """Rounds over several columns. Only rows with gaps are rewritten and spread again; complete rows are spread and
+    written once, before the first round, and read as they are by every training."""
     complete, incomplete = split_rows(df, gaps)
     inputs = [f"x{i}" for i in range(len(cols))]
     missing = [f"m{i}" for i in range(len(cols))]
     ids = [f"k{i}" for i in range(len(key))]
     named = [c(k).alias(i) for k, i in zip(key, ids)]
-    whole = complete.select(*named, *[dbl(n).alias(x) for n, x in zip(cols, inputs)])
+    whole = write_stage(_spread(complete.select(*named, *[dbl(n).alias(x) for n, x in zip(cols, inputs)]), ids, seen.rows), "complete")
     table = write_stage(incomplete.select(
         ROW, *named, *[F.coalesce(dbl(n), F.lit(means.get(n, 0.0))).alias(x) for n, x in zip(cols, inputs)],
         *[c(n).isNull().alias(m) for n, m in zip(cols, missing)]), "round")
     limit = STOP_SHARE * max(max(abs(seen.columns[n].low), abs(seen.columns[n].high)) for n in cols)
+    open_rows = table.frame.count()
     for _ in range(max_iter):
         state, before = table.frame, [f"p{i}" for i in order]
         now = state.select(ROW, *ids, *inputs, *missing).withColumns({f"p{i}": F.col(f"x{i}") for i in order})
         for at in order:
             others = [x for i, x in enumerate(inputs) if i != at]
-            rows = now.where(~F.col(missing[at])).select(*ids, *inputs).unionByName(whole)
-            model = learn(_assembled(_spread(rows, ids, seen.columns[cols[at]].n), others).select(FEATURES, F.col(inputs[at]).alias(LABEL)))
+            rows = whole.frame.unionByName(_spread(now.where(~F.col(missing[at])).select(*ids, *inputs), ids, open_rows))
+            model = learn(_assembled(rows, others).select(FEATURES, F.col(inputs[at]).alias(LABEL)))
             now = (model.transform(_assembled(now, others))
                    .withColumn(inputs[at], F.when(F.col(missing[at]), F.col(PREDICTION)).otherwise(F.col(inputs[at])))
                    .select(ROW, *ids, *inputs, *missing, *before))
@@ -122,5 +124,6 @@ def _rounds(df: DataFrame, key: Sequence[str], cols: Sequence[str], gaps: Sequen
         moved = sum((F.abs(F.col(f"x{i}") - F.col(f"p{i}")) for i in order), F.lit(0.0))
         if (state.agg(F.max(moved)).first()[0] or 0.0) < limit:
             break
+    whole.drop()
     fills = table.frame.select(ROW, *[F.col(f"x{cols.index(n)}").alias(fill_name(i)) for i, n in enumerate(gaps)])
     return join_fills(complete, incomplete, fills, gaps, means)

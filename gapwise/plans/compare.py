@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -19,15 +18,21 @@ def compare_methods(masked: DataFrame, key: str | Sequence[str], target: str,
     """(label, rmse, mean, std) per method on one masked frame (from ``inject_missing``).
 
     ``methods`` maps a label to (method, parameters). The frame is read many times, so it is kept in
-    memory, or on disk where memory is short; a lost block is simply computed again.
+    memory, or on disk where memory is short; a lost block is simply computed again. The result is one
+    small row per method, computed here, so the kept frame is released on return.
     """
     key = as_key(key)
+    spark = masked.sparkSession
     if persist:
         masked = masked.persist(StorageLevel.MEMORY_AND_DISK)
     rows = []
-    for label, (method, params) in methods.items():
-        frame = impute(masked, method, params, seed, key).frame
-        x = dbl(target)
-        rows.append(frame.agg(finite(rmse_value(target)).alias("rmse"), finite(F.avg(x)).alias("mean"),
-                              finite(F.stddev_samp(x)).alias("std")).select(F.lit(label).alias("label"), "*"))
-    return reduce(DataFrame.unionByName, rows)
+    try:
+        for label, (method, params) in methods.items():
+            x = dbl(target)
+            found = impute(masked, method, params, seed, key).frame.agg(
+                finite(rmse_value(target)).alias("rmse"), finite(F.avg(x)).alias("mean"), finite(F.stddev_samp(x)).alias("std"))
+            rows.append((label, *found.first()))
+    finally:
+        if persist:
+            masked.unpersist()
+    return spark.createDataFrame(rows, "label string, rmse double, mean double, std double")

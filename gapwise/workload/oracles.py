@@ -408,8 +408,19 @@ ORACLES: dict[str, str] = {
                         f"SELECT {KEYS}, coalesce(net, {r('ym + slope * (price - xm)', 1)}) AS net FROM x, f",
     "impute_em": EM,
     "impute_em_three": _em_three(),
+    "forest_squares": f"SELECT p_partkey, p_size, (p_size * p_size)::DOUBLE AS area, {uniform(['p_partkey'], 'area')} < 0.3 AS mask FROM part",
+    "boosting_groups": f"WITH m AS (SELECT p_partkey, p_size % 5 AS level, p_partkey::DOUBLE AS truth, "
+                       f"{uniform(['p_partkey'], 'number')} < 0.3 AS mask FROM part) SELECT p_partkey, level, "
+                       f"{r('CASE WHEN mask THEN avg(truth) FILTER (NOT mask) OVER (PARTITION BY level) ELSE truth END', 4)} AS number FROM m",
+    "forest_two_gaps": "SELECT count(*) AS n_rows, 0::BIGINT AS gaps_left, 0::BIGINT AS changed, TRUE AS better_than_mean FROM lineitem",
     "impute_multiple": MULTIPLE,
     "pooled": POOLED,
+    "report_cells": f"{_draws()} SELECT doc_id, 'n_words' AS \"column\", {r('d0', 3)} AS value, {r('truth', 3)} AS truth, "
+                    f"{r(_SD_RUNS, 3)} AS sd FROM d JOIN w USING (doc_id) WHERE mask",
+    "report_notes": f"WITH {EVENTS} SELECT 'focus' AS part, CASE WHEN count(user_id) < count(*) THEN 'user_id' "
+                    "WHEN count(value) < count(*) THEN 'value' WHEN count(k) < count(*) THEN 'k' ELSE 'user_id' END AS text FROM e "
+                    "UNION ALL SELECT 'note', 'No values were removed, because the table has gaps of its own.' UNION ALL SELECT 'note', "
+                    "'This method works on numeric columns only; gaps in ''event_type'' remain.' FROM e HAVING count(event_type) < count(*)",
     "describe_before_after": _describe_all(),
     "histogram_shared": HISTOGRAM,
     "rmse_truth": f"WITH {ORDERS}, a AS (SELECT avg(o_totalprice) AS am, median(o_totalprice) AS md FROM m) "

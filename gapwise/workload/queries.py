@@ -385,6 +385,42 @@ def impute_gradient_boosting(spark, d):
     return _fills(prices_mcar(spark, d, "price", "qty"), "gradient_boosting", {}, ("net",))
 
 
+@query
+def forest_squares(spark, d):
+    """A forest whose answer is known: the square of a number with 50 values, so every filled cell equals the truth."""
+    df = table(spark, d, "part").select("p_partkey", "p_size", (F.col("p_size") * F.col("p_size")).cast("double").alias("area"))
+    df = inject_missing(df, "p_partkey", "area", "MCAR", 0.3, seed=SEED)
+    out = impute(df, "random_forest", key="p_partkey").frame
+    return out.select("p_partkey", "p_size", rounded("area").alias("area"), c(MASK).alias("mask"))
+
+
+@query
+def boosting_groups(spark, d):
+    """Boosting whose answer is known: five predictor values, so a filled cell is the mean of its observed group."""
+    df = table(spark, d, "part").select("p_partkey", (F.col("p_size") % 5).alias("level"), F.col("p_partkey").cast("double").alias("number"))
+    df = inject_missing(df, "p_partkey", "number", "MCAR", 0.3, seed=SEED)
+    out = impute(df, "gradient_boosting", key="p_partkey").frame
+    return out.select("p_partkey", "level", rounded("number", 4).alias("number"))
+
+
+@query
+def forest_two_gaps(spark, d):
+    """Rounds over two columns with gaps: no gap stays, no observed cell changes, the error is well below the mean's."""
+    before = prices_two_gaps(spark, d)
+    names = ("net", "charge")
+    out = impute(before, "random_forest", {"n_estimators": 5, "max_iter": 2}, key=LINE_KEY, track=True).frame
+    truth = prices(spark, d).select(*LINE_KEY, *[c(n).alias(f"{n}_truth") for n in names])
+    seen = before.agg(*[F.avg(n).alias(n) for n in names]).first()
+    parts, better = [], F.lit(True)
+    for n in names:
+        gap, exact = F.array_contains(c(GAPS), n), c(f"{n}_truth")
+        parts += [F.count_if(c(n).isNull()), F.count_if(~gap & (c(n) != exact))]
+        error = F.sum(F.when(gap, F.pow(c(n) - exact, F.lit(2.0))))
+        better = better & (F.sqrt(error) < 0.6 * F.sqrt(F.sum(F.when(gap, F.pow(F.lit(seen[n]) - exact, F.lit(2.0))))))
+    return out.join(truth, LINE_KEY).agg(F.count(F.lit(1)).alias("n_rows"), (parts[0] + parts[2]).alias("gaps_left"),
+                                         (parts[1] + parts[3]).alias("changed"), better.alias("better_than_mean"))
+
+
 @query
 def impute_multiple(spark, d):
     runs = impute(document_sizes_mcar(spark, d), "multiple", seed=SEED, key="doc_id").extras["runs"]
@@ -520,6 +556,21 @@ def method_comparison(spark, d):
     return out.select("label", *[rounded(s, 4).alias(s) for s in ("rmse", "mean", "std")])
 
 
+@query
+def report_cells(spark, d):
+    """The filled cells of a report on multiple imputation, with truth and spread between the runs."""
+    report = analyse(document_sizes(spark, d), "doc_id", "multiple", missing={
+        "mechanism": "MCAR", "rate": 0.3, "target": "n_words"}, seed=SEED)
+    return report.cells(limit=None).select("doc_id", "column", *[rounded(n, 3).alias(n) for n in ("value", "truth", "sd")])
+
+
+@query
+def report_notes(spark, d):
+    """Focus column and notes of a report on a table that has gaps of its own, in numbers and in text."""
+    report = analyse(gappy_events(spark, d), "event_id", "mean", missing={"mechanism": "MCAR", "rate": 0.3, "target": "k"})
+    return spark.createDataFrame([("focus", report.column), *[("note", n) for n in report.notes]], "part string, text string")
+
+
 @query
 def full_report(spark, d):
     report = analyse(orders(spark, d), "o_orderkey", "mean", missing={
