@@ -240,54 +240,86 @@ f AS (SELECT f0, f1 FROM em ORDER BY i DESC LIMIT 1)
 SELECT {KEYS}, coalesce(net, {r('nm + f0 + f1 * (price - pm)', 1)}) AS net FROM x, f, c"""
 
 
-def _em_three() -> str:
-    """EM for price (complete), net and charge (gaps), variables 0, 1, 2, from sums per missing pattern."""
-    pairs = ["00", "01", "02", "11", "12", "22"]
-    patterns = {"a": "NOT g1 AND NOT g2", "b": "g1 AND NOT g2", "c": "NOT g1 AND g2", "d": "g1 AND g2"}
-    sums = []
-    for k, where in patterns.items():
-        sums.append(f"count(*) FILTER ({where})::DOUBLE AS {k}n")
-        sums += [f"coalesce(sum(x{i}) FILTER ({where}), 0) AS {k}s{i}" for i in range(3)]
-        sums += [f"coalesce(sum(x{i} * x{j}) FILTER ({where}), 0) AS {k}q{i}{j}" for i, j in pairs]
-    # pattern b: x1 = b0 + b1 x0 + b2 x2; pattern c: x2 = c0 + c1 x0 + c2 x1; pattern d: both from x0
-    slopes = """(v01 * v22 - v12 * v02) / (v00 * v22 - v02 * v02) AS b1, (v12 * v00 - v01 * v02) / (v00 * v22 - v02 * v02) AS b2,
-        (v02 * v11 - v12 * v01) / (v00 * v11 - v01 * v01) AS c1, (v12 * v00 - v02 * v01) / (v00 * v11 - v01 * v01) AS c2,
-        v01 / v00 AS d1, v02 / v00 AS e1"""
-    starts = """m1 - b1 * m0 - b2 * m2 AS b0, m2 - c1 * m0 - c2 * m1 AS c0, m1 - d1 * m0 AS d0, m2 - e1 * m0 AS e0"""
-    first = """b0 * bn + b1 * bs0 + b2 * bs2 AS bf1, b0 * bs0 + b1 * bq00 + b2 * bq02 AS bf01, b0 * bs2 + b1 * bq02 + b2 * bq22 AS bf12,
-        c0 * cn + c1 * cs0 + c2 * cs1 AS cf2, c0 * cs0 + c1 * cq00 + c2 * cq01 AS cf02, c0 * cs1 + c1 * cq01 + c2 * cq11 AS cf12,
-        d0 * dn + d1 * ds0 AS df1, d0 * ds0 + d1 * dq00 AS df01, e0 * dn + e1 * ds0 AS df2, e0 * ds0 + e1 * dq00 AS df02"""
-    means = """(as0 + bs0 + cs0 + ds0) / n AS w0, (as1 + bf1 + cs1 + df1) / n AS w1, (as2 + bs2 + cf2 + df2) / n AS w2"""
-    spread = """(aq00 + bq00 + cq00 + dq00) / n - w0 * w0 AS u00, (aq01 + bf01 + cq01 + df01) / n - w0 * w1 AS u01,
-        (aq02 + bq02 + cf02 + df02) / n - w0 * w2 AS u02,
-        (aq11 + b0 * bf1 + b1 * bf01 + b2 * bf12 + cq11 + d0 * df1 + d1 * df01
-         + bn * (v11 - b1 * v01 - b2 * v12) + dn * (v11 - d1 * v01)) / n - w1 * w1 AS u11,
-        (aq12 + bf12 + cf12 + d0 * df2 + d1 * df02 + dn * (v12 - d1 * v02)) / n - w1 * w2 AS u12,
-        (aq22 + bq22 + c0 * cf2 + c1 * cf02 + c2 * cf12 + e0 * df2 + e1 * df02
-         + cn * (v22 - c1 * v02 - c2 * v12) + dn * (v22 - e1 * v02)) / n - w2 * w2 AS u22"""
-    state = [f"m{i}" for i in range(3)] + [f"v{p}" for p in pairs]
-    following = [f"w{i}" for i in range(3)] + [f"u{p}" for p in pairs]
-    fit = ["b0", "b1", "b2", "c0", "c1", "c2", "d0", "d1", "e0", "e1"]
-    moved = ", ".join(f"abs({a} - {b})" for a, b in zip(following, state))
-    size = ", ".join(f"abs({v})" for v in state[3:])
-    begin = ", ".join(f"(aq{p} + bq{p} + cq{p} + dq{p}) / n{' + 1e-8' if p[0] == p[1] else ''}" for p in pairs)
+def _em_gaps(cols: list[str]) -> str:
+    """EM for net and charge (gaps) among ``cols`` (the others complete), from sums per missing pattern.
+
+    The regressions of a round come from sweeping the covariance matrix: first on the complete columns (pattern d, both
+    missing), then on charge (pattern b, net missing) or on net (pattern c, charge missing).
+    """
+    p, net, charge = len(cols), cols.index("net"), cols.index("charge")
+    complete = [i for i in range(p) if i not in (net, charge)]
+    key = lambda i, j: f"{min(i, j)}{max(i, j)}"
+    pairs = [key(i, j) for i in range(p) for j in range(i, p)]
+    gaps = {"a": [], "b": [net], "c": [charge], "d": [net, charge]}
+    where = {"a": "NOT g1 AND NOT g2", "b": "g1 AND NOT g2", "c": "NOT g1 AND g2", "d": "g1 AND g2"}
+    seen = {k: [i for i in range(p) if i not in g] for k, g in gaps.items()}
+
+    def sweep(old: str, new: str, at: int) -> str:
+        pivot, out = f"{old}{key(at, at)}", []
+        for i in range(p):
+            for j in range(i, p):
+                a = f"{old}{key(i, j)}"
+                value = (f"-1 / {pivot}" if i == j == at else f"{a} / {pivot}" if at in (i, j)
+                         else f"{a} - {old}{key(i, at)} * {old}{key(at, j)} / {pivot}")
+                out.append(f"{value} AS {new}{key(i, j)}")
+        return ", ".join(out)
+
+    levels, at = [], "v"
+    for step, column in enumerate(complete):
+        name = "rd" if column == complete[-1] else f"r{step}_"
+        levels.append(sweep(at, name, column))
+        at = name
+    levels.append(sweep("rd", "rb", charge) + ", " + sweep("rd", "rc", net))
+    sums, starts, first, second, fit = [], [], [], [], []
+    for k, g in gaps.items():
+        sums.append(f"count(*) FILTER ({where[k]})::DOUBLE AS {k}n")
+        sums += [f"coalesce(sum(x{i}) FILTER ({where[k]}), 0) AS {k}s{i}" for i in range(p)]
+        sums += [f"coalesce(sum(x{q[0]} * x{q[1]}) FILTER ({where[k]}), 0) AS {k}q{q}" for q in pairs]
+        for m in g:
+            slope = {o: f"r{k}{key(m, o)}" for o in seen[k]}
+            fit += [f"{k}i{m}", *slope.values()]
+            starts.append(f"m{m} - " + " - ".join(f"{w} * m{o}" for o, w in slope.items()) + f" AS {k}i{m}")
+            first.append(" + ".join([f"{k}i{m} * {k}n", *(f"{w} * {k}s{o}" for o, w in slope.items())]) + f" AS {k}f{m}")
+            first += [" + ".join([f"{k}i{m} * {k}s{j}", *(f"{w} * {k}q{key(o, j)}" for o, w in slope.items())]) + f" AS {k}f{m}_{j}" for j in seen[k]]
+            second += [" + ".join([f"{k}i{m} * {k}f{l}", *(f"{w} * {k}f{l}_{o}" for o, w in slope.items()), f"{k}n * r{k}{key(m, l)}"])
+                       + f" AS {k}e{key(m, l)}" for l in g if l >= m]
+    single = lambda i: " + ".join(f"{k}s{i}" if i in seen[k] else f"{k}f{i}" for k in gaps)
+
+    def product(i: int, j: int) -> str:
+        parts = []
+        for k, g in gaps.items():
+            missing = [x for x in (i, j) if x in g]
+            parts.append(f"{k}q{key(i, j)}" if not missing else f"{k}e{key(i, j)}" if len(missing) == 2 or i == j
+                         else f"{k}f{missing[0]}_{j if missing[0] == i else i}")
+        return " + ".join(parts)
+
+    means = ", ".join(f"({single(i)}) / n AS w{i}" for i in range(p))
+    spread = ", ".join(f"({product(i, j)}) / n - w{i} * w{j} AS u{key(i, j)}" for i in range(p) for j in range(i, p))
+    levels += [", ".join(x) for x in (starts, first, second)] + [means, spread]
+    state, following = [f"m{i}" for i in range(p)] + [f"v{q}" for q in pairs], [f"w{i}" for i in range(p)] + [f"u{q}" for q in pairs]
+    fit = list(dict.fromkeys(fit))
+    moved = ", ".join(f"abs({x} - {y})" for x, y in zip(following, state))
+    size = ", ".join(f"abs({v})" for v in state[p:])
+    begin = ", ".join(f"(aq{q} + bq{q} + cq{q} + dq{q}) / n{' + 1e-8' if q[0] == q[1] else ''}" for q in pairs)
+    work = f"SELECT em.i, {', '.join('em.' + v for v in state)}, s.* FROM em, s WHERE NOT em.stop AND em.i < 100"
+    for level in levels:
+        work = f"SELECT *, {level} FROM ({work})"
+
+    def filled(m: int, k: str) -> str:
+        return " + ".join([f"k_{k}i{m}", *(f"k_r{k}{key(m, o)} * ({cols[o]} - h{o})" for o in seen[k])])
+
     return f"""WITH RECURSIVE {PRICES_GAPS},
-h AS (SELECT avg(price) AS h0, avg(net) AS h1, avg(charge) AS h2 FROM x),
-y AS (SELECT net IS NULL AS g1, charge IS NULL AS g2, price - h0 AS x0, coalesce(net - h1, 0) AS x1,
-             coalesce(charge - h2, 0) AS x2 FROM x, h),
+h AS (SELECT {', '.join(f'avg({n}) AS h{i}' for i, n in enumerate(cols))} FROM x),
+y AS (SELECT net IS NULL AS g1, charge IS NULL AS g2, {', '.join(f'coalesce({n} - h{i}, 0) AS x{i}' for i, n in enumerate(cols))} FROM x, h),
 s AS (SELECT count(*)::DOUBLE AS n, {', '.join(sums)} FROM y),
 em(i, stop, {', '.join(state)}, {', '.join(f'k_{f}' for f in fit)}) AS (
-  SELECT 0, FALSE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, {begin}, {', '.join(['NULL::DOUBLE'] * len(fit))} FROM s
+  SELECT 0, FALSE, {', '.join(['0.0::DOUBLE'] * p)}, {begin}, {', '.join(['NULL::DOUBLE'] * len(fit))} FROM s
   UNION ALL
-  SELECT i + 1, greatest({moved}) / greatest(1, {size}) < 1e-6, {', '.join(following)}, {', '.join(fit)}
-  FROM (SELECT *, {spread} FROM (SELECT *, {means} FROM (SELECT *, {first} FROM (SELECT *, {starts} FROM (
-        SELECT em.i, {', '.join('em.' + v for v in state)}, s.*, {slopes} FROM em, s WHERE NOT em.stop AND em.i < 100)))))),
+  SELECT i + 1, greatest({moved}) / greatest(1, {size}) < 1e-6, {', '.join(following)}, {', '.join(fit)} FROM ({work})),
 f AS (SELECT * FROM em ORDER BY i DESC LIMIT 1)
 SELECT {KEYS},
-       coalesce(net, {r('h1 + CASE WHEN charge IS NULL THEN k_d0 + k_d1 * (price - h0) '
-                        'ELSE k_b0 + k_b1 * (price - h0) + k_b2 * (charge - h2) END', 1)}) AS net,
-       coalesce(charge, {r('h2 + CASE WHEN net IS NULL THEN k_e0 + k_e1 * (price - h0) '
-                           'ELSE k_c0 + k_c1 * (price - h0) + k_c2 * (net - h1) END', 1)}) AS charge
+       coalesce(net, {r(f'h{net} + CASE WHEN charge IS NULL THEN {filled(net, "d")} ELSE {filled(net, "b")} END', 1)}) AS net,
+       coalesce(charge, {r(f'h{charge} + CASE WHEN net IS NULL THEN {filled(charge, "d")} ELSE {filled(charge, "c")} END', 1)}) AS charge
 FROM x, f, h"""
 
 
@@ -407,12 +439,15 @@ ORACLES: dict[str, str] = {
     "impute_iterative": f"WITH RECURSIVE {PRICES_MCAR}, {ridge('net', 'price')} "
                         f"SELECT {KEYS}, coalesce(net, {r('ym + slope * (price - xm)', 1)}) AS net FROM x, f",
     "impute_em": EM,
-    "impute_em_three": _em_three(),
+    "impute_em_three": _em_gaps(["price", "net", "charge"]),
+    "impute_em_gaps": _em_gaps(["price", "net", "charge", "qty"]),
     "forest_squares": f"SELECT p_partkey, p_size, (p_size * p_size)::DOUBLE AS area, {uniform(['p_partkey'], 'area')} < 0.3 AS mask FROM part",
     "boosting_groups": f"WITH m AS (SELECT p_partkey, p_size % 5 AS level, p_partkey::DOUBLE AS truth, "
                        f"{uniform(['p_partkey'], 'number')} < 0.3 AS mask FROM part) SELECT p_partkey, level, "
                        f"{r('CASE WHEN mask THEN avg(truth) FILTER (NOT mask) OVER (PARTITION BY level) ELSE truth END', 4)} AS number FROM m",
-    "forest_two_gaps": "SELECT count(*) AS n_rows, 0::BIGINT AS gaps_left, 0::BIGINT AS changed, TRUE AS better_than_mean FROM lineitem",
+    **{f"{method}_two_gaps": "SELECT count(*) AS n_rows, 0::BIGINT AS gaps_left, 0::BIGINT AS changed, TRUE AS better_than_mean FROM lineitem"
+       for method in ("forest", "chain")},
+    "spread_two_gaps": "SELECT count(*) AS n_rows, 0::BIGINT AS spread_on_observed, 0::BIGINT AS gaps_without_spread FROM lineitem",
     "impute_multiple": MULTIPLE,
     "pooled": POOLED,
     "report_cells": f"{_draws()} SELECT doc_id, 'n_words' AS \"column\", {r('d0', 3)} AS value, {r('truth', 3)} AS truth, "

@@ -14,7 +14,7 @@ QUICK = ["missing_profile", "usable_columns", "csv_tokens", "mask_by_rule", "inj
          "pattern_statistics", "impute_regression_2", "impute_regression_gaps", "impute_regression_noise",
          "impute_iterative", "impute_em", "impute_em_three", "impute_multiple", "pooled", "histogram_shared", "rmse_truth",
          "dropped_shown", "imputed_values", "gaps_on_top", "method_comparison", "full_report", "forest_squares", "boosting_groups",
-         "report_cells", "report_notes"]
+         "report_cells", "report_notes", "impute_em_gaps", "chain_two_gaps"]
 
 
 @pytest.fixture(scope="module")
