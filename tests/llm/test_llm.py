@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from gapwise.llm import bpe, decontaminate, html, langid, lm, pii, quality, sharding, simhash, suffix
+from gapwise.llm import bpe, decontaminate, html, langid, lm, overlap, pii, quality, sharding, simhash, suffix
 
 WORD = re.compile("[^\\x20\\x09-\\x0D]+")
 
@@ -92,6 +92,43 @@ def test_chain_of_links_is_one_component(spark):
     assert {r["component_id"] for r in simhash.classes(prints).collect()} == {0}
 
 
+def shingle_groups(texts):
+    """Brute force: a label per text, equal where a chain of texts with a five-word similarity of 0.8 connects them."""
+    sets = [set(shingle_counts(WORD.findall(lowered(t)))) if WORD.search(t or "") else {""} for t in texts]
+    label = list(range(len(sets)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if label[i] != label[j] and min(len(x), len(sets[j])) >= 0.8 * max(len(x), len(sets[j])) and len(x & sets[j]) >= 0.8 * len(x | sets[j]) - 1e-9:
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if v == old else v for v in label]
+    return label
+
+
+@pytest.mark.parametrize("crowded", [overlap.CROWDED, 2])
+def test_pipeline_dedup_equals_brute_force(spark, documents, sf, crowded, monkeypatch):
+    monkeypatch.setattr(overlap, "CROWDED", crowded)
+    rng = random.Random(5)
+    made = []
+    for group in range(4):
+        base = [f"g{group}w{rng.randrange(10 ** 6)}" for _ in range(150)]
+        for k in (0, 1, 2, 3, 4, 6, 9, 14):  # changed words: from near copies to texts below 0.8
+            changed = list(base)
+            for at in rng.sample(range(150), k):
+                changed[at] = f"n{rng.randrange(10 ** 6)}"
+            made.append((600000 + len(made), " ".join(changed), "en", "x", 1, "mine"))
+    passage = " ".join(f"p{i}" for i in range(40))
+    made += [(610000 + i, passage + " " + " ".join(f"r{rng.randrange(10 ** 6)}" for _ in range(60)), "en", "x", 1, "mine") for i in range(20)]
+    docs = documents.unionByName(spark.createDataFrame(made, documents.schema))
+    all_rows = docs.collect()
+    label, least = shingle_groups([r["text"] for r in all_rows]), {}
+    for r, l in zip(all_rows, label):
+        if r["doc_id"] is not None:
+            least[l] = min(least.get(l, r["doc_id"]), r["doc_id"])
+    want = sorted([str(v) for v in least.values()] + ["None" for l in set(label) if l not in least])
+    kept = corpus_pipeline.near_dedup(spark, docs, sf)
+    assert kept.columns == docs.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == want
+
+
 # ------------------------------------------------------------------ 2, benchmark decontamination
 
 def shingle_counts(words):
