@@ -57,13 +57,28 @@ def blocks(print_column: str) -> Column:
     return F.explode(F.array(*parts))
 
 
+def starts(seeded: DataFrame) -> DataFrame:
+    """(text_hash, size, start) of all windows with enough shingles of one item, from (text_hash, length, size, of, at) per shared shingle.
+
+    Of two sets of n and m shingles SIMILARITY / (1 + SIMILARITY) * (n + m) are shared at least. With the places sorted, a
+    window that holds that many starts between the last of them less a window's length and the first of them.
+    """
+    at = seeded.groupBy("text_hash", "length", "size", "of").agg(F.sort_array(F.collect_set("at")).alias("p"))
+    count = f"greatest(1, size - {SHINGLE - 1})"
+    at = at.withColumn("k", F.expr(f"least({count}, greatest(1, length - {SHINGLE - 1}))"))
+    at = at.withColumn("need", F.expr(f"cast(greatest(1, ceil({SIMILARITY / (1 + SIMILARITY)}D * (k + {count}) - 1e-9D)) as int)")).where("size(p) >= need")
+    laid = ("flatten(transform(sequence(0, size(p) - need), j -> if(p[j + need - 1] - p[j] < k, "
+            "sequence(greatest(0, p[j + need - 1] - k + 1), greatest(0, least(p[j], length - size))), cast(array() as array<int>))))")
+    return at.select("text_hash", "size", F.explode(F.array_distinct(F.expr(laid))).alias("start")).distinct()
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text",
             item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """(key, item key, start word, similarity, text_hash): the best window per row key and item, where similarity is enough.
 
-    A window without a shingle of the item has similarity nil, so windows are laid only where a document has a
-    shingle of some item: with the item's number of words, and so that the shingle has the item's place in it (kept
-    inside the text). Equal windows are compared once, whatever the number of copies.
+    Windows have the item's number of words (the whole text where it is shorter) and may start at any word. Those that hold
+    too few shingles of the item to reach SIMILARITY, in whatever order, are not laid. Equal windows are compared once,
+    whatever the number of copies.
     Edge cases: null, empty and blank texts and items match nothing; an item shorter than a shingle is one shingle;
     repeated rows of a key give one result; a null key is kept as a key; empty tables give no rows.
     """
@@ -71,7 +86,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
     item = item.groupBy("w").agg(F.collect_set("item").alias("items")).withColumn("size", F.size("w"))
     item = with_fingerprint(item.withColumn("item_no", F.array_join("w", " ")).withColumn("item_shingles", shingles("w")), "item_no", "item_shingles")
     item = write_stage(item, "items").frame
-    seeds = item.select("size", F.posexplode("item_shingles").alias("place", "s")).select(F.xxhash64("s").alias("h"), "size", "place").distinct()
+    seeds = item.select("size", F.xxhash64("item_no").alias("of"), F.explode("item_shingles").alias("s")).select(F.xxhash64("s").alias("h"), "size", "of").distinct()
     short = [r[0] for r in item.where(F.col("size") < SHINGLE).select("size").distinct().collect()]  # at most four values
     seeds = sized(write_stage(seeds, "seeds").frame)
     body = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("text_hash"), words(text).alias("w"))
@@ -82,8 +97,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
     places = found[0]
     for more in found[1:]:
         places = places.unionByName(more)
-    start = F.greatest(F.lit(0), F.least(F.col("at") - F.col("place"), F.col("length") - F.col("size")))
-    places = sized(write_stage(places.select("text_hash", "size", start.alias("start")).distinct(), "places").frame)
+    places = sized(write_stage(starts(places), "places").frame)
     windows = (docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("body")).join(places, "text_hash")
                .withColumn("w", words("body")).select("key", "text_hash", "size", "start", F.expr("slice(w, start + 1, size)").alias("w")))
     windows = write_stage(windows.withColumn("window", F.array_join("w", " ")).drop("w"), "windows").frame

@@ -161,6 +161,31 @@ def test_decontamination_finds_exact_and_near_items(spark, documents, sf):
     assert clean.columns == docs.columns and clean.count() == docs.count() - len([1 for d, _ in texts if d in {x for x, _ in want}])
 
 
+def test_decontamination_finds_items_in_another_order(spark):
+    rng = random.Random(11)
+    item = [f"i{k}" for k in range(60)]
+    a, b = [f"x{k}" for k in range(100)], [f"y{k}" for k in range(100)]
+    texts = {1: a + item[30:] + item[:30] + b, 2: a + item[20:40] + item[:20] + b + item[40:], 3: item[:50] + a, 4: a + item + b, 5: item[30:] + item[:27]}
+    for doc in range(6, 30):  # pieces in any order, repeats and foreign words between
+        cuts = [0, *sorted(rng.sample(range(60), rng.choice((1, 1, 2)))), 60]
+        parts = [item[i:j] for i, j in zip(cuts, cuts[1:])] + [[f"z{rng.randrange(9)}"] * rng.choice((0, 0, 1))]
+        rng.shuffle(parts)
+        texts[doc] = a[:rng.choice((0, 3, 70))] + sum(parts, []) + b[:rng.choice((0, 2, 70))]
+    mine, want = shingle_counts(item), {}
+    for doc, words in texts.items():
+        for s in range(max(1, len(words) - 59)):
+            there = shingle_counts(words[s:s + 60])
+            value = sum((mine & there).values()) / sum((mine | there).values())
+            if value >= 0.8 and value > want.get(doc, (0, 0))[0] + 1e-12:
+                want[doc] = (value, s)
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in texts.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, "nothing of the kind in any of these texts")], "item_id long, text string")
+    got = {r["doc_id"]: (r["similarity"], r["start"]) for r in decontaminate.matches(docs, bench).collect()}
+    assert {1, 4} <= want.keys() and {d: s for d, (_, s) in got.items()} == {d: s for d, (_, s) in want.items()}
+    assert all(abs(got[d][0] - want[d][0]) < 1e-9 for d in want) and abs(want[1][0] - 0.867) < 0.001
+    assert {r["doc_id"] for r in decontaminate.clean(docs, bench).collect()} == texts.keys() - want.keys()
+
+
 def test_decontamination_of_short_items_and_empty_tables(spark, documents):
     bench = spark.createDataFrame([(1, "tiny item"), (2, None), (3, "  ")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "see the Tiny  item there"), (2, "tiny thing"), (3, None)], "doc_id long, text string")
