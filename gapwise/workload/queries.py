@@ -422,7 +422,7 @@ def _held_rules(spark, d, method: str, params: dict) -> DataFrame:
 
 @query
 def forest_two_gaps(spark, d):
-    return _held_rules(spark, d, "random_forest", {"n_estimators": 5, "max_iter": 2})
+    return _held_rules(spark, d, "random_forest", {})
 
 
 @query

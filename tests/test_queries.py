@@ -42,3 +42,10 @@ def test_query_equals_sql(spark, duck, name):
     got, want = entry.queries()[name](spark, SF).toPandas(), duck.execute(entry.oracle_sql()[name]).fetchdf()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
+
+
+def test_two_gap_forest_runs_with_the_default_parameters(monkeypatch):
+    from gapwise.workload import queries
+
+    monkeypatch.setattr(queries, "_held_rules", lambda spark, d, method, params: (method, params))
+    assert queries.QUERIES["forest_two_gaps"](None, "") == ("random_forest", {})
