@@ -441,7 +441,7 @@ ORACLES: dict[str, str] = {
     "impute_em": EM,
     "impute_em_three": _em_gaps(["price", "net", "charge"]),
     "impute_em_gaps": _em_gaps(["price", "net", "charge", "qty"]),
-    "forest_squares": f"SELECT p_partkey, p_size, (p_size * p_size)::DOUBLE AS area, {uniform(['p_partkey'], 'area')} < 0.3 AS mask FROM part",
+    "forest_squares": f"SELECT p_partkey, p_size % 5 AS level, ((p_size % 5) * (p_size % 5))::DOUBLE AS area, {uniform(['p_partkey'], 'area')} < 0.3 AS mask FROM part",
     "boosting_groups": f"WITH m AS (SELECT p_partkey, p_size % 5 AS level, p_partkey::DOUBLE AS truth, "
                        f"{uniform(['p_partkey'], 'number')} < 0.3 AS mask FROM part) SELECT p_partkey, level, "
                        f"{r('CASE WHEN mask THEN avg(truth) FILTER (NOT mask) OVER (PARTITION BY level) ELSE truth END', 4)} AS number FROM m",

@@ -1,15 +1,12 @@
 import os
 import sys
 
-import numpy as np
-import pandas as pd
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from gapwise.session import local_session  # noqa: E402
-
-SF = "/root/testdata/sf0.001"
+from tests.helpers import SF  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -34,21 +31,3 @@ def lines(spark):
     return spark.read.parquet(f"{SF}/lineitem.parquet").selectExpr(
         "concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS line", "l_quantity AS qty", "l_extendedprice AS price",
         "l_extendedprice * (1 - l_discount) AS net", "l_extendedprice * (1 - l_discount) * (1 + l_tax) AS charge").dropDuplicates(["line"]).cache()
-
-
-def to_spark(spark, pdf, schema=None):
-    schema = schema or ", ".join(
-        f"{n} {'long' if n == 'id' else 'double' if pdf[n].dtype.kind in 'fi' else 'string'}" for n in pdf.columns)
-    rows = [tuple(None if pd.isna(v) else (int(v) if k == "id" else v) for k, v in zip(pdf.columns, r))
-            for r in pdf.itertuples(index=False, name=None)]
-    return spark.createDataFrame(rows, schema)
-
-
-def collect(df, key="id"):
-    out = df.toPandas()
-    return out.sort_values(key).reset_index(drop=True) if key in out else out
-
-
-def rmse(out, name):
-    hit = out["__mask"]
-    return float(np.sqrt(((out.loc[hit, name] - out.loc[hit, f"__truth_{name}"]) ** 2).mean()))

@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from conftest import collect
+from tests.helpers import collect
 from pyspark.sql import functions as F
 
 from gapwise import EngineError, impute, inject_missing, mask_where, resolve_missing

@@ -3,7 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import collect, to_spark
+from tests.helpers import collect, to_spark
 
 from gapwise import impute
 from gapwise.functions.missing import profile

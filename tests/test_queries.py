@@ -5,7 +5,7 @@ import os
 import duckdb
 import numpy as np
 import pytest
-from conftest import SF
+from tests.helpers import SF
 
 import __spark_entry__ as entry
 

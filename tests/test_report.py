@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from conftest import SF, collect, rmse
+from tests.helpers import SF, collect, rmse
 from pyspark.sql import functions as F
 
 from gapwise import EngineError, analyse, compare_methods, inject_missing
