@@ -1,6 +1,6 @@
 """The registered queries of this folder: one per operator."""
 
-from gapwise.llm import bpe, decontaminate, html, langid, lm, pii, quality, sharding, simhash, suffix
+from gapwise.llm import bpe, decontaminate, html, langid, lm, negatives, pii, quality, sharding, simhash, suffix
 
 QUERIES = {
     "op1_simhash_dedup": simhash.query,
@@ -13,5 +13,8 @@ QUERIES = {
     "op8_sharding": sharding.query,
     "op9_lm_score": lm.query,
     "op10_html_extract": html.query,
+    "op12_hard_negatives": negatives.query,
+}
+ORACLES: dict[str, str] = {
+    "op12_hard_negatives": negatives.ORACLE,
 }
-ORACLES: dict[str, str] = {}
