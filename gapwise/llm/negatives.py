@@ -147,14 +147,13 @@ def grow(sample: np.ndarray, vectors: Vectors, leaf_sample: int, fan: int = FAN)
     spare, tree = vectors.spare(sample), Tree(vectors, [], 0)
 
     def split(rows: np.ndarray) -> int:
-        points = [rows[0]]
-        least = np.full(len(rows), np.inf)
-        while len(rows) > leaf_sample and len(points) <= fan:
+        points = [rows[0]] if len(rows) else []
+        least, wanted = np.full(len(rows), np.inf), min(fan, -(-len(rows) // leaf_sample))
+        while len(points) < wanted:
             last = points[-1]
-            d = 2 * (vectors.longest - sample[rows] @ sample[last] - spare[rows] * spare[last])
-            least = np.minimum(least, d)
+            least = np.minimum(least, 2 * (vectors.longest - sample[rows] @ sample[last] - spare[rows] * spare[last]))
             far = int(least.argmax())
-            if least[far] <= vectors.slack**2 or len(points) == fan:
+            if least[far] <= vectors.slack**2:
                 break
             points.append(rows[far])
         if len(points) < 2:
