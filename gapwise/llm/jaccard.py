@@ -22,20 +22,18 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapwise.llm.common import add_columns, as_bytes, hash_share, table, words_of
+from gapwise.llm.common import SLICE_ROWS, as_bytes, hash_share, table, words_of
 from gapwise.llm.components import components
 from gapwise.llm.decontaminate import sized
 from gapwise.session import write_stage
 
-SHINGLE, PERCENT, SEED = 4, 85, 42
+SHINGLE, PERCENT = 4, 85
 #: Blocks found in COMMON of about SAMPLE_TEXTS different texts come last in the order; COMMON_BLOCKS of them at most.
 SAMPLE_TEXTS, COMMON, COMMON_BLOCKS = 20_000, 8, 200_000
 #: Buckets up to SMALL rows give their pairs at once; larger ones first link to one member, then compare what is still apart.
 SMALL = 32
 #: Rows of a bucket, or partners of one text, that are held or met in one piece (about).
 PIECE = 4096
-#: Words remembered with their hashes inside a task.
-WORDS = 1 << 19
 
 U = np.uint64
 # Multipliers and shifts of the SplitMix64 finaliser (Steele, Lea and Flood 2014).
@@ -48,27 +46,19 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, each computed once while it is remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORDS:
-            self.clear()
-        out = self[word] = xxhash.xxh64_intdigest(word, SEED)
-        return out
-
-    def shingles(self, text: bytes, size: int = SHINGLE) -> np.ndarray:
-        """Sorted distinct hashes of a text's shingles; fewer words than ``size`` are one shingle, none give none."""
-        words = words_of(text.lower())
-        h = np.fromiter(map(self.__getitem__, words), dtype=U, count=len(words))
-        width = min(size, len(h))
-        if not width:
-            return h
-        with np.errstate(over="ignore"):
-            out = np.full(len(h) - width + 1, U(width))
-            for i in range(width):
-                out = mixed(out * _GOLDEN + h[i:len(h) - width + 1 + i])
-        return np.unique(out)
+def shingle_set(text: bytes, size: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles; fewer words than ``size`` are one shingle, none give none."""
+    words = words_of(text.lower())
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=U, count=len(words))
+    width = min(size, len(h))
+    if not width:
+        return h
+    out = np.full(len(h) - width + 1, U(width))
+    with np.errstate(over="ignore"):
+        for i in range(width):
+            out = (out + h[i:len(h) - width + 1 + i]) * _GOLDEN
+        out = np.sort(mixed(out))
+    return out[np.r_[True, out[1:] != out[:-1]]]
 
 
 def allowed(size, percent: int = PERCENT):
@@ -120,31 +110,30 @@ class Common:
 
 
 def signatures(hashes: np.ndarray, common: Common, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """(tokens, pieces): the blocks by which any similar set is found, for all bands of the set."""
+    """(tokens, pieces): the blocks by which any similar set is found, for all bands of the set; pieces is 0 for rare ones."""
     need, out = int(allowed(len(hashes), percent)) + 1, [(np.zeros(0, dtype=U), np.zeros(0, dtype=np.int64))]
     for band in bands(len(hashes), percent) if len(hashes) else []:
-        tokens = np.sort(blocks(hashes, band))
+        tokens = blocks(hashes, band)
         pieces = common.of(tokens)
-        order = np.argsort(pieces > 0, kind="stable")[:need]
-        out.append((tokens[order], np.maximum(1, pieces[order])))
+        rare, late = tokens[pieces == 0], pieces > 0
+        if len(rare) > need:
+            rare = np.partition(rare, need - 1)[:need]
+        elif len(rare) < need and late.any():
+            order = np.argsort(tokens[late])[:need - len(rare)]
+            out.append((tokens[late][order], pieces[late][order]))
+        out.append((rare, np.zeros(len(rare), dtype=np.int64)))
         if len(tokens) < need:
             spare = empties(hashes, band, need - len(tokens))
-            out.append((spare, np.maximum(1, common.of(spare))))
+            out.append((spare, common.of(spare)))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _batches(rows: list[tuple], shape: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
-    parts = [np.concatenate(x) for x in zip(*rows)]
-    return pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, (_, t) in zip(parts, shape)], names=[n for n, _ in shape])
-
-
 def _common(source: DataFrame, rows: int, percent: int, size: int) -> Common:
     """Blocks that many of the sampled texts have; what reaches the driver is bounded by COMMON_BLOCKS."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for batch in batches:
             for text in as_bytes(batch.column("__text")):
-                hashes = known.shingles(text, size)
+                hashes = shingle_set(text, size)
                 if len(hashes):
                     tokens = np.concatenate([blocks(hashes, band) for band in bands(len(hashes), percent)])
                     yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64))], names=["token"])
@@ -157,33 +146,43 @@ def _common(source: DataFrame, rows: int, percent: int, size: int) -> Common:
     return Common(found.column("token").to_numpy().view(U), np.maximum(1, pieces))
 
 
-ROW = [("token", pa.int64()), ("piece", pa.int32()), ("pieces", pa.int32()), ("id", pa.int64()), ("n", pa.int32()), ("s0", pa.int64()), ("s1", pa.int64())]
-
-
-def _rows(source: DataFrame, common: Common, percent: int, size: int) -> DataFrame:
-    """A row for each signature of each text; copies in one task give theirs once."""
+def _signed(docs: DataFrame, common: Common, percent: int, size: int) -> DataFrame:
+    """(__key, id, n, tokens, pieces, s0, s1) for every row; of copies in one task only the first carries its signatures."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen = WordHashes(), set()
-        for batch in batches:
-            out, held = [], 0
-            for own, text in zip(batch.column("id").to_pylist(), as_bytes(batch.column("__text"))):
-                if own in seen:
-                    continue
-                seen.add(own)
-                hashes = known.shingles(text, size)
-                tokens, pieces = signatures(hashes, common, percent)
-                full = lambda v: np.full(len(tokens), v, dtype=np.int64)
-                with np.errstate(over="ignore"):
-                    piece = mixed(tokens + U(own & (2**64 - 1))) % pieces.astype(U)
-                out.append((tokens.view(np.int64), piece.astype(np.int64), pieces, full(own), full(len(hashes)), *map(full, one_bit(hashes))))
-                held += len(tokens)
-                if held > 50_000:
-                    yield _batches(out, ROW)
-                    out, held = [], 0
-            if held:
-                yield _batches(out, ROW)
-
-    return source.mapInArrow(run, "token long, piece int, pieces int, id long, n int, s0 long, s1 long")
+        seen, size_of = set(), {}
+        for whole in batches:
+            for start in range(0, whole.num_rows, SLICE_ROWS):
+                batch = whole.slice(start, SLICE_ROWS)
+                n, sketch, tokens, pieces, ends = [], [], [np.zeros(0, dtype=U)], [np.zeros(0, dtype=np.int64)], [0]
+                for own, text in zip(batch.column("id").to_pylist(), as_bytes(batch.column("__text"))):
+                    if own not in seen:
+                        hashes = shingle_set(text, size)
+                        size_of[own] = len(hashes)
+                        sketch.append(one_bit(hashes))
+                        for held, new in zip((tokens, pieces), signatures(hashes, common, percent)):
+                            held.append(new)
+                        seen.add(own)
+                    else:
+                        sketch.append((0, 0))
+                        tokens.append(np.zeros(0, dtype=U))
+                    n.append(size_of[own])
+                    ends.append(ends[-1] + len(tokens[-1]))
+                ends = pa.array(ends, pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("__key"), batch.column("id"), pa.array(n, pa.int32()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(tokens).view(np.int64))),
+                     pa.ListArray.from_arrays(ends, pa.array(np.concatenate(pieces).astype(np.int32))), *[pa.array([x[i] for x in sketch], pa.int64()) for i in (0, 1)]],
+                    names=["__key", "id", "n", "tokens", "pieces", "s0", "s1"])
+
+    kind = docs.schema["__key"].dataType.simpleString()
+    return docs.mapInArrow(run, f"__key {kind}, id long, n int, tokens array<long>, pieces array<int>, s0 long, s1 long")
+
+
+def _rows(signed: DataFrame) -> DataFrame:
+    """A row for each signature; ``piece`` is -1 for rare blocks, the buckets of common ones are dealt into pieces."""
+    each = signed.select(F.explode(F.arrays_zip("tokens", "pieces")).alias("x"), "id", "n", "s0", "s1")
+    token, pieces = F.col("x.tokens"), F.col("x.pieces")
+    piece = F.when(pieces > 0, F.pmod(F.xxhash64(token, F.col("id")), pieces)).otherwise(F.lit(-1)).cast("int")
+    return each.select(token.alias("token"), piece.alias("piece"), "id", "n", "s0", "s1")
 
 
 def near(n: np.ndarray, s0: np.ndarray, s1: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
@@ -216,7 +215,7 @@ def _meet(rows: DataFrame, percent: int) -> DataFrame:
 
     No bucket is held: of a crowded one only the first row is kept while the others pass by.
     """
-    names = ["token", "piece", "pieces", "id", "n", "s0", "s1"]
+    names = ["token", "piece", "id", "n", "s0", "s1"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict | None = None  # the last bucket so far, while small
@@ -255,7 +254,7 @@ def _meet(rows: DataFrame, percent: int) -> DataFrame:
                 part, new = {c: v[fresh] for c, v in part.items()}, new[fresh]
                 start = np.flatnonzero(new)
                 size = np.diff(np.r_[start, len(new)])
-                big = (size > SMALL) | (part["pieces"][start] > 1)
+                big = (size > SMALL) | (part["piece"][start] >= 0)
                 last = len(start) - 1
                 if not big[last]:  # it may go on in the next batch
                     held = {c: v[start[last]:] for c, v in part.items()}
@@ -334,56 +333,65 @@ def _apart(crowd: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, source: DataFrame, percent: int, size: int) -> DataFrame:
-    """(a, b) of the pairs that are similar. A text's set moves once for each pair in which it is the larger id, and once
-    for each piece of the partners of the smaller id; only texts in a pair are read again."""
+    """(a, b) of the pairs (id, other) that are similar. A text moves once to where its id is asked for, then once for each
+    pair in which its id is the larger one and once for each piece of the partners of the smaller one."""
     pairs = write_stage(pairs.select(F.col("id").alias("a"), F.col("other").alias("b")).distinct(), "pairs")
-    wanted = write_stage(pairs.frame.select(F.col("a").alias("id")).unionByName(pairs.frame.select(F.col("b").alias("id"))).distinct(), "wanted")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen = WordHashes(), set()
+    hubs = write_stage(pairs.frame.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias("pieces")), "hubs")
+    many = hubs.frame.where("pieces > 1")  # few: each has over PIECE partners
+    first = hubs.frame.select(F.col("a").alias("id"), "a", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.lit(None).cast("long").alias("b"))
+    second = pairs.frame.join(sized(many), "a", "left").select(
+        F.col("b").alias("id"), "a", F.pmod(F.xxhash64("b"), F.coalesce("pieces", F.lit(1))).cast("int").alias("piece"), "b")
+    asked = first.unionByName(second)
+    wanted = write_stage(asked.select("id").distinct(), "wanted")
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in batches:
-            own = [(k, i) for i, k in enumerate(batch.column("id").to_pylist()) if not (k in seen or seen.add(k))]
-            texts = as_bytes(batch.column("__text").take(pa.array([i for _, i in own], pa.int64())))
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in own], pa.int64()), pa.array([known.shingles(t, size).tobytes() for t in texts], pa.binary())], names=["id", "s"])
-
-    made = source.join(sized(wanted.frame), "id", "left_semi").mapInArrow(sets, "id long, s binary")
-    made = write_stage(made.groupBy("id").agg(F.first("s").alias("s")), "sets")
-    hubs = pairs.frame.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias("pieces"))
-    void = F.lit(None).cast("long")
-    first = hubs.join(made.frame, hubs.a == made.frame.id).select("a", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), void.alias("b"), "s")
-    many = write_stage(hubs.where("pieces > 1"), "hubs")  # few: each has over PIECE partners
-    second = pairs.frame.join(sized(many.frame), "a", "left").join(made.frame.withColumnRenamed("id", "b"), "b").select(
-        "a", F.pmod(F.xxhash64("b"), F.coalesce("pieces", F.lit(1))).cast("int").alias("piece"), "b", "s")
-    met = first.unionByName(second).repartition("a", "piece").sortWithinPartitions("a", "piece", F.col("b").asc_nulls_first())
+            new = [i for i, k in enumerate(batch.column("id").to_pylist()) if not (k in seen or seen.add(k))]
+            yield batch.take(pa.array(new, pa.int64()))
+
+    texts = source.join(sized(wanted.frame), "id", "left_semi").select("id", F.col("__text").cast("binary").alias("text")).mapInArrow(once, "id long, text binary")
+    met = texts.groupBy("id").agg(F.first("text").alias("text")).join(asked.hint("merge"), "id").select("a", "piece", "b", "text")
+    met = met.repartition("a", "piece").sortWithinPartitions("a", "piece", F.col("b").asc_nulls_first())
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = None
         for batch in batches:
             out = []
-            for a, b, s in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("s").to_pylist()):
-                s = np.frombuffer(s, dtype=U)
+            for i in range(batch.num_rows):
+                hashes, a, b = shingle_set(batch.column("text")[i].as_py(), size), batch.column("a")[i].as_py(), batch.column("b")[i].as_py()
                 if b is None:
-                    own = s
-                elif 100 * (shared := len(np.intersect1d(own, s, assume_unique=True))) >= percent * (len(own) + len(s) - shared):
+                    own = hashes
+                elif 100 * (shared := len(np.intersect1d(own, hashes, assume_unique=True))) >= percent * (len(own) + len(hashes) - shared):
                     out.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     good = write_stage(met.mapInArrow(check, "a long, b long"), "links").frame
-    for copy in (pairs, wanted, made, many):
+    for copy in (pairs, hubs, wanted):
         copy.drop()
     return good
 
 
-def links(source: DataFrame, rows: int, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
-    """Links (a, b) between the ids of (id, __text) rows that connect exactly what chains of similar texts connect."""
-    met = write_stage(_meet(_rows(source, _common(source, rows, percent, size), percent, size), percent), "met")
-    first = _verified(met.frame.where("other IS NOT NULL").select("id", "other"), source, percent, size)
+def links(rows: DataFrame, source: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
+    """Links (a, b) between the ids of (id, __text) that connect exactly what chains of similar texts connect; ``rows`` are their signatures.
+
+    Each text is first compared with its smallest candidate. Most groups are connected by that; of the other candidates
+    and of the crowded buckets only what is still in different components is compared then.
+    """
+    met = write_stage(_meet(rows, percent), "met")
+    pairs = write_stage(met.frame.where("other IS NOT NULL").select("id", "other").distinct(), "candidates")
+    first = _verified(pairs.frame.groupBy("other").agg(F.min("id").alias("id")), source, percent, size)
+    labels = components(first)
+    label = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
+    apart = pairs.frame.join(label("id"), "id", "left").join(label("other"), "other", "left").where(
+        F.coalesce("id_label", "id") != F.coalesce("other_label", "other")).select("id", "other")
     crowd = met.frame.where("other IS NULL").drop("other")
-    if crowd.isEmpty():
-        return first
-    rest = _verified(_apart(crowd, components(first), percent), source, percent, size)
+    if not crowd.isEmpty():
+        apart = apart.unionByName(_apart(crowd, labels, percent))
+    rest = _verified(apart, source, percent, size)
     met.drop()
-    return first.unionByName(rest)
+    pairs.drop()
+    return labels.where("node != label").select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(rest)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
@@ -397,16 +405,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     """
     if percent < 70:
         raise ValueError(f"percent is 70 or more, not {percent}")
-    source = docs.select(F.xxhash64(text).alias("id"), F.col(f"`{text}`").alias("__text"))
-    mine = docs.select(F.col(f"`{key}`").alias("__key"), F.xxhash64(text).alias("__id"), F.col(f"`{text}`").alias("__text"))
-
-    def sizes(texts: list[bytes]) -> dict:
-        known = WordHashes()
-        return {"n_shingles": np.array([len(known.shingles(t, size)) for t in texts], dtype=np.int64)}
-
-    members = write_stage(add_columns(mine, ["__key", "__id"], "__text", sizes, "n_shingles long"), "members").frame
-    rows = members.count()
-    labels = components(links(source, rows, percent, size))
+    source = docs.select(F.col(f"`{key}`").alias("__key"), F.xxhash64(text).alias("id"), F.col(f"`{text}`").alias("__text"))
+    common = _common(source, source.count(), percent, size)
+    signed = write_stage(_signed(source, common, percent, size), "signed")
+    members = write_stage(signed.frame.select("__key", F.col("id").alias("__id"), F.col("n").cast("long").alias("n_shingles")), "members").frame
+    labels = components(links(_rows(signed.frame), source.select("id", "__text"), percent, size))
+    signed.drop()
     own = members.where("n_shingles > 0").groupBy("__id").agg(F.min("__key").alias("own"))
     named = write_stage(own.join(labels, own["__id"] == labels.node, "left").select("__id", "own", F.coalesce("label", "__id").alias("label")), "named").frame
     best = named.groupBy("label").agg(F.min("own").alias("component"))
