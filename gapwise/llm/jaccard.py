@@ -87,11 +87,19 @@ def empties(hashes: np.ndarray, band: int, count: int) -> np.ndarray:
         return mixed(mixed(place * _GOLDEN + U(band + 1)))
 
 
-def one_bit(hashes: np.ndarray) -> tuple[int, int]:
-    """128 bits; a shingle flips one of them."""
-    flips = np.bincount((hashes & U(127)).astype(np.int64), minlength=128) & 1
-    low, high = np.packbits(flips.astype(np.uint8), bitorder="little").view(np.int64)
-    return int(low), int(high)
+def one_bit(hashes: np.ndarray) -> bytes:
+    """A sketch of two to four bits a shingle (128 at least); a shingle flips one of them."""
+    bits = max(128, 1 << (len(hashes).bit_length() + 1))
+    flips = np.bincount((hashes & U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(flips.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(sketch: bytes, size: int) -> np.ndarray:
+    """The sketch that ``size`` bytes would have held: halves are XORed, which never adds to a distance."""
+    words = np.frombuffer(sketch, dtype=U)
+    while len(words) * 8 > size:
+        words = words[:len(words) // 2] ^ words[len(words) // 2:]
+    return words
 
 
 class Common:
@@ -147,7 +155,7 @@ def _common(source: DataFrame, rows: int, percent: int, size: int) -> Common:
 
 
 def _signed(docs: DataFrame, common: Common, percent: int, size: int) -> DataFrame:
-    """(__key, id, n, tokens, pieces, s0, s1) for every row; of copies in one task only the first carries its signatures."""
+    """(__key, id, n, tokens, pieces, sketch, s0, s1) for every row; of copies in one task only the first carries its signatures."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, size_of = set(), {}
         for whole in batches:
@@ -163,18 +171,19 @@ def _signed(docs: DataFrame, common: Common, percent: int, size: int) -> DataFra
                             held.append(new)
                         seen.add(own)
                     else:
-                        sketch.append((0, 0))
+                        sketch.append(b"")
                         tokens.append(np.zeros(0, dtype=U))
                     n.append(size_of[own])
                     ends.append(ends[-1] + len(tokens[-1]))
                 ends = pa.array(ends, pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("__key"), batch.column("id"), pa.array(n, pa.int32()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(tokens).view(np.int64))),
-                     pa.ListArray.from_arrays(ends, pa.array(np.concatenate(pieces).astype(np.int32))), *[pa.array([x[i] for x in sketch], pa.int64()) for i in (0, 1)]],
-                    names=["__key", "id", "n", "tokens", "pieces", "s0", "s1"])
+                     pa.ListArray.from_arrays(ends, pa.array(np.concatenate(pieces).astype(np.int32))), pa.array(sketch, pa.binary()),
+                     *[pa.array([int(folded(x, 16).view(np.int64)[i]) if x else 0 for x in sketch], pa.int64()) for i in (0, 1)]],
+                    names=["__key", "id", "n", "tokens", "pieces", "sketch", "s0", "s1"])
 
     kind = docs.schema["__key"].dataType.simpleString()
-    return docs.mapInArrow(run, f"__key {kind}, id long, n int, tokens array<long>, pieces array<int>, s0 long, s1 long")
+    return docs.mapInArrow(run, f"__key {kind}, id long, n int, tokens array<long>, pieces array<int>, sketch binary, s0 long, s1 long")
 
 
 def _rows(signed: DataFrame) -> DataFrame:
@@ -332,6 +341,29 @@ def _apart(crowd: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "id long, other long")
 
 
+def _close(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The different pairs (id, other) whose one-bit sketches are near enough; sketches take a sixteenth of a text's set."""
+    pairs = write_stage(pairs.distinct(), "candidates")
+    wanted = write_stage(pairs.frame.select("id").unionByName(pairs.frame.select(F.col("other").alias("id"))).distinct(), "wanted")
+    own = sketches.join(sized(wanted.frame), "id", "left_semi").groupBy("id").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    own = write_stage(own, "sketches")
+    both = pairs.frame.join(own.frame.toDF("id", "n", "s"), "id").join(own.frame.toDF("other", "m", "t"), "other").select("id", "other", "n", "m", "s", "t")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for n, m, s, t in zip(*[batch.column(c).to_pylist() for c in ("n", "m", "s", "t")]):
+                size = min(len(s), len(t))
+                distance = int(np.bitwise_count(folded(s, size) ^ folded(t, size)).sum())
+                good.append((100 + percent) * distance <= (100 - percent) * (n + m))
+            yield batch.select(["id", "other"]).filter(pa.array(good, pa.bool_()))
+
+    good = write_stage(both.mapInArrow(check, "id long, other long"), "close").frame
+    for copy in (pairs, wanted, own):
+        copy.drop()
+    return good
+
+
 def _verified(pairs: DataFrame, source: DataFrame, percent: int, size: int) -> DataFrame:
     """(a, b) of the pairs (id, other) that are similar. A text moves once to where its id is asked for, then once for each
     pair in which its id is the larger one and once for each piece of the partners of the smaller one."""
@@ -372,25 +404,25 @@ def _verified(pairs: DataFrame, source: DataFrame, percent: int, size: int) -> D
     return good
 
 
-def links(rows: DataFrame, source: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
-    """Links (a, b) between the ids of (id, __text) that connect exactly what chains of similar texts connect; ``rows`` are their signatures.
+def links(signed: DataFrame, source: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
+    """Links (a, b) between the ids of (id, __text) that connect exactly what chains of similar texts connect.
 
     Each text is first compared with its smallest candidate. Most groups are connected by that; of the other candidates
     and of the crowded buckets only what is still in different components is compared then.
     """
-    met = write_stage(_meet(rows, percent), "met")
-    pairs = write_stage(met.frame.where("other IS NOT NULL").select("id", "other").distinct(), "candidates")
-    first = _verified(pairs.frame.groupBy("other").agg(F.min("id").alias("id")), source, percent, size)
+    sketches = signed.where("length(sketch) > 0").select("id", "n", "sketch")
+    met = write_stage(_meet(_rows(signed), percent), "met")
+    pairs = _close(met.frame.where("other IS NOT NULL").select("id", "other"), sketches, percent)
+    first = _verified(pairs.groupBy("other").agg(F.min("id").alias("id")), source, percent, size)
     labels = components(first)
     label = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
-    apart = pairs.frame.join(label("id"), "id", "left").join(label("other"), "other", "left").where(
+    apart = pairs.join(label("id"), "id", "left").join(label("other"), "other", "left").where(
         F.coalesce("id_label", "id") != F.coalesce("other_label", "other")).select("id", "other")
     crowd = met.frame.where("other IS NULL").drop("other")
     if not crowd.isEmpty():
-        apart = apart.unionByName(_apart(crowd, labels, percent))
+        apart = apart.unionByName(_close(_apart(crowd, labels, percent), sketches, percent))
     rest = _verified(apart, source, percent, size)
     met.drop()
-    pairs.drop()
     return labels.where("node != label").select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(rest)
 
 
@@ -409,7 +441,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     common = _common(source, source.count(), percent, size)
     signed = write_stage(_signed(source, common, percent, size), "signed")
     members = write_stage(signed.frame.select("__key", F.col("id").alias("__id"), F.col("n").cast("long").alias("n_shingles")), "members").frame
-    labels = components(links(_rows(signed.frame), source.select("id", "__text"), percent, size))
+    labels = components(links(signed.frame, source.select("id", "__text"), percent, size))
     signed.drop()
     own = members.where("n_shingles > 0").groupBy("__id").agg(F.min("__key").alias("own"))
     named = write_stage(own.join(labels, own["__id"] == labels.node, "left").select("__id", "own", F.coalesce("label", "__id").alias("label")), "named").frame
