@@ -32,6 +32,8 @@ SHINGLE, PERCENT = 4, 85
 SAMPLE_TEXTS, COMMON, COMMON_BLOCKS = 20_000, 8, 200_000
 #: Buckets up to SMALL rows give their pairs at once; larger ones first link to one member, then compare what is still apart.
 SMALL = 32
+#: Rounds in which rows of crowded buckets are linked to their nearest, before all that is still apart is compared.
+NEAREST_ROUNDS = 2
 #: Rows of a bucket, or partners of one text, that are held or met in one piece (about).
 PIECE = 4096
 
@@ -102,6 +104,21 @@ def folded(sketch: bytes, size: int) -> np.ndarray:
     return words
 
 
+def distances(sketches: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Distances of the pairs (i, j), each at the size of the smaller sketch; sizes of a pair differ by a factor of two at most."""
+    size = np.array([len(s) for s in sketches])
+    small, out = np.minimum(size[i], size[j]), np.zeros(len(i), dtype=np.int64)
+    for width in np.unique(small):
+        rows = np.flatnonzero((size == width) | (size == 2 * width))
+        place = np.zeros(len(size), dtype=np.int64)
+        place[rows] = np.arange(len(rows))
+        table, hit = np.stack([folded(sketches[r], width) for r in rows]), np.flatnonzero(small == width)
+        for s in range(0, len(hit), step := max(1, (1 << 24) // int(width))):
+            at = hit[s:s + step]
+            out[at] = np.bitwise_count(table[place[i[at]]] ^ table[place[j[at]]]).sum(axis=1)
+    return out
+
+
 class Common:
     """Sorted tokens that many texts have, and into how many pieces their buckets are dealt."""
 
@@ -294,8 +311,9 @@ def _meet(rows: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "token long, id long, n int, s0 long, s1 long, other long")
 
 
-def _apart(crowd: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Second pass: pairs (id, other) of crowded buckets whose rows are not yet in one component.
+def _apart(crowd: DataFrame, labels: DataFrame, sketches: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """Second pass: pairs (id, other) of crowded buckets whose rows are not yet in one component; with ``nearest`` only
+    the nearest one, by the sketches, that a row meets in a piece.
 
     Rows of the component that most of a bucket belongs to stay in their piece; all others visit every piece and pass
     by what is held there, so no pair within a component is made and no bucket is held whole.
@@ -304,10 +322,13 @@ def _apart(crowd: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     each = marked.frame.groupBy("token", "label").count()
     live = each.groupBy("token").agg(F.sum("count").alias("rows"), F.max_by("label", "count").alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
     live = write_stage(live.select("token", "main", F.ceil(F.col("rows") / PIECE).cast("int").alias("pieces")), "live").frame
-    there = marked.frame.join(sized(live), "token")
+    there = write_stage(marked.frame.join(sized(live), "token"), "there").frame
+    wanted = write_stage(there.select("id").distinct(), "wanted").frame
+    own = sketches.join(sized(wanted), "id", "left_semi").groupBy("id").agg(F.first("sketch").alias("sketch"))
+    there = there.join(own, "id")
     stay = there.withColumns({"piece": F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"), "visitor": F.lit(False)})
     visit = there.where("label != main").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).withColumn("visitor", F.lit(True))
-    names = ["token", "piece", "visitor", "id", "n", "s0", "s1", "label"]
+    names = ["token", "piece", "visitor", "id", "n", "s0", "s1", "label", "sketch"]
     both = stay.select(*names).unionByName(visit.select(*names)).repartition("token", "piece").sortWithinPartitions("token", "piece", "visitor")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,6 +355,13 @@ def _apart(crowd: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
                         rows = np.arange(at, min(at + step, len(both["id"])))
                         i, j = np.tile(np.arange(m), len(rows)), np.repeat(rows, m)
                         ok = (both["label"][i] != both["label"][j]) & near(both["n"], both["s0"], both["s1"], i, j, percent)
+                        i, j = i[ok], j[ok]
+                        used, at_both = np.unique(np.r_[i, j], return_inverse=True)
+                        apart = distances([both["sketch"][k] for k in used], at_both[:len(i)], at_both[len(i):])
+                        ok = (100 + percent) * apart <= (100 - percent) * (both["n"][i].astype(np.int64) + both["n"][j])
+                        if nearest:
+                            order = np.flatnonzero(ok)[np.lexsort((apart[ok], j[ok]))]
+                            ok = order[np.r_[True, j[order][1:] != j[order][:-1]]] if len(order) else order
                         a.append(np.minimum(both["id"][i[ok]], both["id"][j[ok]]))
                         b.append(np.maximum(both["id"][i[ok]], both["id"][j[ok]]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["id", "other"])
@@ -413,17 +441,23 @@ def links(signed: DataFrame, source: DataFrame, percent: int = PERCENT, size: in
     sketches = signed.where("length(sketch) > 0").select("id", "n", "sketch")
     met = write_stage(_meet(_rows(signed), percent), "met")
     pairs = _close(met.frame.where("other IS NOT NULL").select("id", "other"), sketches, percent)
-    first = _verified(pairs.groupBy("other").agg(F.min("id").alias("id")), source, percent, size)
-    labels = components(first)
+    labels = components(_verified(pairs.groupBy("other").agg(F.min("id").alias("id")), source, percent, size))
+    joined = lambda: labels.where("node != label").select(F.col("node").alias("a"), F.col("label").alias("b"))
+    crowd = met.frame.where("other IS NULL").drop("other")
+    crowded = not crowd.isEmpty()
+    for _ in range(NEAREST_ROUNDS if crowded else 0):  # connects most of a large group with a few pairs a text
+        found = _verified(_apart(crowd, labels, sketches, percent, True), source, percent, size)
+        if found.isEmpty():
+            break
+        labels = components(joined().unionByName(found))
     label = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
     apart = pairs.join(label("id"), "id", "left").join(label("other"), "other", "left").where(
         F.coalesce("id_label", "id") != F.coalesce("other_label", "other")).select("id", "other")
-    crowd = met.frame.where("other IS NULL").drop("other")
-    if not crowd.isEmpty():
-        apart = apart.unionByName(_close(_apart(crowd, labels, percent), sketches, percent))
+    if crowded:
+        apart = apart.unionByName(_apart(crowd, labels, sketches, percent, False))
     rest = _verified(apart, source, percent, size)
     met.drop()
-    return labels.where("node != label").select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(rest)
+    return joined().unionByName(rest)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
