@@ -1,6 +1,6 @@
 """The registered queries of this folder: one per operator."""
 
-from gapwise.llm import bpe, decontaminate, html, jaccard, langid, lm, negatives, pii, quality, sharding, simhash, suffix
+from gapwise.llm import bpe, decontaminate, dialogue, html, jaccard, langid, lm, negatives, pii, quality, sharding, simhash, suffix
 
 QUERIES = {
     "op1_simhash_dedup": simhash.query,
@@ -15,8 +15,10 @@ QUERIES = {
     "op10_html_extract": html.query,
     "op11_jaccard_join": jaccard.query,
     "op12_hard_negatives": negatives.query,
+    "op13_dialogue_repair": dialogue.query,
 }
 ORACLES: dict[str, str] = {
     "op11_jaccard_join": jaccard.ORACLE,
     "op12_hard_negatives": negatives.ORACLE,
+    "op13_dialogue_repair": dialogue.ORACLE,
 }
