@@ -6,7 +6,7 @@ and remembers which (place, state) failed with how much left; so the first path
 among equally cheap ones the least in ASCII.
 
 Rows are put in order over all tasks by ranges, so no conversation has to fit a task. One that lies in one task and has
-at most CHUNK rows is searched as it is. Longer ones are cut: for each chunk and each pair of states before and after it
+at most WHOLE rows is searched as it is. Longer ones are cut: for each chunk and each pair of states before and after it
 the search gives the cheapest edits, and a search of the same kind over the chunks picks among them. An edit string
 of a chunk ends with the edit of its last row, so none begins another, and the least string of the whole is made of least strings.
 """
@@ -27,7 +27,8 @@ from gapwise.session import write_stage
 
 # The costs of the edits.
 DELETE, INSERT, REROLE, CUT_SHORT = 2, 5, 1, 5
-CHUNK = 64
+#: Rows of a conversation searched as a whole, of a chunk of a longer one, and of a stretch of the lower bounds.
+WHOLE, CHUNK, STRETCH = 1024, 128, 64
 SPACE = "[^\\x20\\x09-\\x0D]"
 #: States: nothing yet, after the system's row, after a user's, after an assistant's; FINE is the first fault of a row, or none.
 NOTHING, SYSTEM, USER, ASSISTANT = range(4)
@@ -37,14 +38,14 @@ INITIALS = "suao"
 Move = tuple[str, int, int, int]
 
 
-def deepening(n: int, start: int, moves: Callable[[int, int], Iterable[Move]], goal: Callable[[int], bool], least: list[int]) -> tuple[int, list[str]] | None:
+def deepening(n: int, start: int, moves: Callable[[int, int], Iterable[Move]], goal: Callable[[int], bool], least: list[list[int]]) -> tuple[int, list[str]] | None:
     """(cost, labels) of the first cheapest path from (0, start) to (n, state with goal), or None.
 
-    ``moves`` gives (label, cost, place, state) in the order of labels; ``least[i]`` is a lower bound from place i on.
+    ``moves`` gives (label, cost, place, state) in the order of labels; ``least[i][state]`` is a lower bound from there on.
     """
     if n == 0 and goal(start):
         return 0, []
-    bound = least[0]
+    bound = least[0][start]
     while bound < math.inf:
         failed: dict[tuple[int, int], int] = {}
         beyond, path, stack = math.inf, [], [(0, start, bound, iter(moves(0, start)))]
@@ -52,8 +53,8 @@ def deepening(n: int, start: int, moves: Callable[[int, int], Iterable[Move]], g
             i, state, left, rest = stack[-1]
             for label, cost, j, after in rest:
                 budget = left - cost
-                if budget < least[j]:
-                    beyond = min(beyond, bound + least[j] - budget)
+                if budget < least[j][after]:
+                    beyond = min(beyond, bound + least[j][after] - budget)
                 elif failed.get((j, after), -1) < budget:
                     path.append(label)
                     if j == n and goal(after):
@@ -88,26 +89,40 @@ def row_moves(rows: list[tuple[int, str]], tail: bool) -> Callable[[int, int], I
     return moves
 
 
-def lower_bounds(rows: list[tuple[int, str]]) -> list[int]:
-    out = [0]
-    for fault, initial in reversed(rows):
-        out.append(out[-1] + (DELETE if fault != FINE else REROLE if initial == "o" else 0))
+def lower_bounds(rows: list[tuple[int, str]], end: list[float], stretch: int) -> list[list[float]]:
+    """By place and state: the exact cost to the end of a stretch of rows, and the least costs of the stretches after it."""
+    out = [end]
+    for i in range(len(rows) - 1, -1, -1):
+        fault, initial = rows[i]
+        after = out[-1] if (i + 1) % stretch and i + 1 < len(rows) or i + 1 == len(rows) else [min(out[-1])] * 4
+        cost = []
+        for state in range(4):
+            other, best = ASSISTANT if state == USER else USER, DELETE + after[state]
+            if fault in (FINE, TRUNCATED):
+                more = CUT_SHORT if fault == TRUNCATED else 0
+                best = min(best, more + after[other] + (0 if AFTER.get(initial) == other else REROLE))
+                if initial == "s" and state == NOTHING:
+                    best = min(best, more + after[SYSTEM])
+            cost.append(best)
+        user, assistant = cost[USER], cost[ASSISTANT]
+        shifted = min(INSERT + user, 2 * INSERT + assistant)
+        out.append([min(cost[NOTHING], shifted), min(cost[SYSTEM], shifted), min(user, INSERT + assistant), min(assistant, INSERT + user)])
     return out[::-1]
 
 
 def cheapest(rows: list[tuple[int, str]]) -> tuple[int, str]:
     """(cost, edits) of a whole conversation."""
-    cost, path = deepening(len(rows), NOTHING, row_moves(rows, True), lambda s: s in (NOTHING, ASSISTANT), lower_bounds(rows))
+    cost, path = deepening(len(rows), NOTHING, row_moves(rows, True), lambda s: s in (NOTHING, ASSISTANT), lower_bounds(rows, [0, 2 * INSERT, INSERT, 0], STRETCH))
     return cost, "".join(path)
 
 
 def chunk_table(rows: list[tuple[int, str]]) -> list[tuple[int, int, int, str]]:
     """(state before, state after, cost, edits) for every pair of states that a chunk can join."""
-    out, least, moves = [], lower_bounds(rows), row_moves(rows, False)
-    system = any(initial == "s" and fault in (FINE, TRUNCATED) for fault, initial in rows)
-    for before in range(4):
-        for after in range(4):
-            if after in (USER, ASSISTANT) or before == after or (before, after) == (NOTHING, SYSTEM) and system:
+    out, moves = [], row_moves(rows, False)
+    for after in range(4):
+        least = lower_bounds(rows, [0 if s == after else math.inf for s in range(4)], len(rows))
+        for before in range(4):
+            if least[0][before] < math.inf:
                 cost, path = deepening(len(rows), before, moves, lambda s: s == after, least)
                 out.append((before, after, cost, "".join(path)))
     return out
@@ -120,9 +135,10 @@ def cheapest_of_chunks(tables: list[list[tuple[int, int, int, str]]]) -> tuple[i
             return [("I", INSERT, i, ASSISTANT if state == USER else USER)]
         return sorted((edits, cost, i + 1, after) for before, after, cost, edits in tables[i] if before == state)
 
-    least = [0]
+    least = [[0, 2 * INSERT, INSERT, 0]]
     for t in reversed(tables):
-        least.append(least[-1] + min(cost for _, _, cost, _ in t))
+        rest = min(least[-1])
+        least.append([min((cost + rest for before, _, cost, _ in t if before == state), default=math.inf) for state in range(4)])
     cost, path = deepening(len(tables), NOTHING, moves, lambda s: s in (NOTHING, ASSISTANT), least[::-1])
     return cost, "".join(path)
 
@@ -155,10 +171,9 @@ def _marks(rows: DataFrame) -> DataFrame:
 COUNTS = ["blank", "duplicate", "truncated", "illegal"]
 
 
-def _count(rows: list[tuple[int, str]], last: str | None) -> list[int]:
+def _count(rows: list[tuple[int, str]]) -> list[int]:
     faults = [f for f, _ in rows]
-    pairs = zip(([last] if last else []) + [i for _, i in rows], [i for _, i in rows][0 if last else 1:])
-    return [faults.count(f) for f in (BLANK, DUPLICATE, TRUNCATED)] + [sum(a + b not in ("su", "ua", "au") for a, b in pairs)]
+    return [faults.count(f) for f in (BLANK, DUPLICATE, TRUNCATED)] + [sum(a + b not in ("su", "ua", "au") for (_, a), (_, b) in zip(rows, rows[1:]))]
 
 
 def _solved(rows: DataFrame) -> DataFrame:
@@ -180,28 +195,33 @@ def _solved(rows: DataFrame) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, conv_type = TaskContext.get().partitionId(), None
-        conv, held, chunk, edge = None, [], 0, True  # edge: the conversation may have begun in another task
+        conv, held, chunk, edge, begun = None, [], 0, True, False  # edge: the conversation may have begun in another task
 
-        def piece(whole: bool) -> tuple:
-            counts = _count(held, None)
-            cost, audit = cheapest(held) if whole else (None, None)
-            table = None if whole else [dict(zip("bace", (b, a, c, e))) for b, a, c, e in chunk_table(held)]
-            return (conv, part, chunk, whole, held[0][1], held[-1][1], *counts, cost, audit, table)
+        def pieces(whole: bool) -> Iterator[tuple]:
+            nonlocal held, chunk
+            if whole:
+                yield (conv, part, 0, True, held[0][1], held[-1][1], *_count(held), *cheapest(held), None)
+            else:
+                for s in range(0, len(held), CHUNK):
+                    rows, chunk = held[s:s + CHUNK], chunk + 1
+                    edits = [dict(zip("bace", x)) for x in chunk_table(rows)]
+                    yield (conv, part, chunk, False, rows[0][1], rows[-1][1], *_count(rows), None, None, edits)
+            held = []
 
         for batch in batches:
             out, conv_type = [], batch.schema.field("conv").type
             for own, fault, initial in to_pylist(batch, ["conv", "fault", "initial"]):
                 if held and own != conv:
-                    out.append(piece(not edge and not chunk))
-                    held, chunk, edge = [], 0, False
-                elif len(held) == CHUNK:
-                    out.append(piece(False))
-                    held, chunk = [], chunk + 1
-                conv = own
+                    out += pieces(not edge and not chunk)
+                if own != conv:
+                    edge, chunk = conv is None and edge and not begun, 0
+                elif len(held) == WHOLE:
+                    out += pieces(False)
+                conv, begun = own, True
                 held.append((fault, initial))
             yield typed(out, schema, conv_type)
         if held:
-            yield typed([piece(False)], schema, conv_type)
+            yield typed(list(pieces(False)), schema, conv_type)
 
     pieces = ordered.mapInArrow(cut, shape)
 

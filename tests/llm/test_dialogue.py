@@ -66,8 +66,9 @@ def frame(spark, conversations):
     return spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, audit string").repartition(3)
 
 
-@pytest.mark.parametrize("chunk", [64, 2])
-def test_equals_brute_force(spark, conversations, monkeypatch, chunk):
+@pytest.mark.parametrize("whole,chunk", [(1024, 128), (4, 2)])
+def test_equals_brute_force(spark, conversations, monkeypatch, whole, chunk):
+    monkeypatch.setattr(dialogue, "WHOLE", whole)
     monkeypatch.setattr(dialogue, "CHUNK", chunk)
     df = frame(spark, conversations)
     want = {k: brute(c) for k, c in conversations.items()}
@@ -98,8 +99,8 @@ def test_nulls_repeats_and_empty_tables(spark):
 
 
 def test_a_long_conversation(spark):
-    rows = [(7, i, "user" if i % 2 == 0 else "assistant", f"Line {i}.") for i in range(1000)]
+    rows = [(7, i, "user" if i % 2 == 0 else "assistant", f"Line {i}.") for i in range(1400)]
     rows[500] = (7, 500, "tool", "Line.")
     df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").repartition(4)
     row = dialogue.repairs(df, df).first()
-    assert (row["gaps"], row["illegal"], row["cost"], row["audit"]) == (0, 2, 1, "K" * 500 + "R" + "K" * 499)
+    assert (row["gaps"], row["illegal"], row["cost"], row["audit"]) == (0, 2, 1, "K" * 500 + "R" + "K" * 899)
