@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 
 from gapwise.errors import EngineError
-from gapwise.functions.correlation import correlation_matrix
+from gapwise.functions.correlation import pair_table, square
 from gapwise.functions.missing import all_present, any_missing, data_columns, numeric_columns, profile
 
 
@@ -33,12 +33,15 @@ def drop_sparse_columns(df: DataFrame, key: Sequence[str] = (), max_missing_pct:
 
 
 def pairwise_matrices(df: DataFrame, key: Sequence[str] = ()) -> dict[str, DataFrame]:
-    """Correlations over all available pairs, over complete rows, and the number of pairs used."""
-    numeric = numeric_columns(df, key)
-    pairwise = correlation_matrix(df, numeric)
-    complete = df.where(all_present(numeric))
+    """Correlations over all available pairs, over complete rows, and the number of pairs used.
+
+    One pass over the rows gives the sums of all three; what is kept of it is one row per pair of columns.
+    """
+    sums = pair_table(df, numeric_columns(df, key), listwise=True)
+    half = df.sparkSession.createDataFrame(sums.collect(), sums.schema)
+    pairwise = square(half)
     return {
         "corr_pairwise": pairwise.select("col_a", "col_b", "value"),
-        "corr_listwise": correlation_matrix(complete, numeric).select("col_a", "col_b", "value"),
+        "corr_listwise": square(half, prefix="list_").select("col_a", "col_b", "value"),
         "n_pairwise": pairwise.select("col_a", "col_b", "n"),
     }

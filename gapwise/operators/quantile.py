@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gapwise.functions.missing import c, dbl
@@ -95,14 +95,18 @@ def _by_counting(df: DataFrame, b: _Bracket) -> float:
 
 
 def modes(df: DataFrame, columns: Sequence[str]) -> dict[str, object]:
-    """Most frequent value of each column, smallest value on ties.
+    """Most frequent value of each column, smallest value on ties; one scan and one job for all columns.
 
-    Counted by value first, so a high-cardinality column spreads over the cluster and a value that
-    fills a third of the table is already summed before the shuffle.
+    Values are counted before anything is shuffled, so one that fills a third of the table is already summed; the first
+    of each column is then picked in two phases, in every task and over the tasks.
     """
-    out = {}
-    for name in columns:
-        top = (df.where(c(name).isNotNull()).groupBy(c(name).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-               .orderBy(F.desc("n"), F.asc("v")).limit(1).collect())
-        out[name] = top[0]["v"] if top else None
-    return out
+    values = [f"v{i}" for i in range(len(columns))]
+    if not values:
+        return {}
+    cells = [F.struct(F.lit(i).alias("i"), c(n).isNotNull().alias("there"), *[F.when(F.lit(i == j), c(m)).alias(v) for j, (m, v) in enumerate(zip(columns, values))])
+             for i, n in enumerate(columns)]
+    counted = df.select(F.inline(F.array(*cells))).where("there").groupBy("i", *values).agg(F.count(F.lit(1)).alias("n"))
+    first = Window.partitionBy("i").orderBy(F.desc("n"), *values)
+    top = counted.withColumn("rank", F.row_number().over(first)).where("rank = 1").collect()
+    found = {r["i"]: r[values[r["i"]]] for r in top}
+    return {n: found.get(i) for i, n in enumerate(columns)}

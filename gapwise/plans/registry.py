@@ -220,8 +220,9 @@ def with_gap_list(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def impute(df: DataFrame, method: str, params: dict | None = None, seed: int = 0,
-           key: str | Sequence[str] | None = None, track: bool = False) -> Result:
-    """Apply one method. With ``track`` the frame carries ``__gaps``, the columns each row missed."""
+           key: str | Sequence[str] | None = None, track: bool = False, seen: Profile | None = None) -> Result:
+    """Apply one method. With ``track`` the frame carries ``__gaps``, the columns each row missed; ``seen`` is the
+    profile of all data columns where the caller has it already."""
     if method not in METHODS:
         raise EngineError("unknown_method", f"Unknown method: {method}")
     chosen, key = METHODS[method], as_key(key)
@@ -232,7 +233,7 @@ def impute(df: DataFrame, method: str, params: dict | None = None, seed: int = 0
         seen, cols, fillable = Profile(0, {}), [], []
     else:
         read = columns if method == "most_frequent" else numeric  # text columns only where they can be filled
-        seen = profile(df, read, numeric)
+        seen = seen or profile(df, read, numeric)
         cols, fillable = seen.usable(numeric), seen.with_gaps(read)
         notes += [f"Column '{n}' is entirely empty and is not imputed." for n in numeric if n not in cols]
     if track:

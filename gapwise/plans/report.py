@@ -57,11 +57,14 @@ def missing_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.agg(*aggs).select(F.inline(F.array(*items)))
 
 
-def rmse_value(column: str) -> Column:
-    """Aggregate: root mean square error over the removed cells; NULL if there is none or one is still empty."""
-    hit = c(MASK)
-    error = F.pow(dbl(column) - c(truth_name(column)), F.lit(2.0))
-    return F.when(F.count_if(hit & c(column).isNull()) == 0, F.sqrt(F.avg(F.when(hit, error))))
+def rmse_value(column: str, filled: str | None = None) -> Column:
+    """Aggregate: root mean square error over the removed cells; NULL if there is none or one is still empty.
+
+    ``filled`` names the column that holds the filled values, if it is another one.
+    """
+    hit, filled = c(MASK), filled or column
+    error = F.pow(dbl(filled) - c(truth_name(column)), F.lit(2.0))
+    return F.when(F.count_if(hit & c(filled).isNull()) == 0, F.sqrt(F.avg(F.when(hit, error))))
 
 
 def rmse(df: DataFrame, columns: Sequence[str]) -> DataFrame:

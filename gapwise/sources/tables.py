@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import csv
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,7 +50,7 @@ def validate_frame(df: DataFrame, key: Sequence[str] = (), max_rows: int | None
 
 
 def _check_names(names: Sequence[str]) -> None:
-    _refuse(any(not n or n.startswith("Unnamed:") for n in names), "missing_header", "Every column needs a name in the first line.")
+    _refuse(any(not n.strip() or n.startswith("Unnamed:") for n in names), "missing_header", "Every column needs a name in the first line.")
     _refuse(len({*names}) < len(names), "duplicate_columns", "Two columns have one name.")
 
 
@@ -98,6 +99,24 @@ def _header(spark: SparkSession, path: str | list[str]) -> str:
     return found.lstrip("\ufeff")
 
 
+def _open_lines(lines: DataFrame, sep: str) -> DataFrame:
+    """The lines that end inside a quoted cell. A quote counts where it opens a cell or stands in one that it opened, so
+    5" pipe is text; lines without a quote are not looked at."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        csv.field_size_limit(2**31 - 1)
+        for batch in batches:
+            found = []
+            for line in batch.column("value").to_pylist():
+                try:
+                    next(csv.reader([line.replace(sep, "\x1f")], delimiter="\x1f", skipinitialspace=True, strict=True), None)
+                except csv.Error as exc:
+                    if "end of data" in str(exc):
+                        found.append(line)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["value"])
+
+    return lines.where(F.contains("value", F.lit('"'))).mapInArrow(run, "value string")
+
+
 def read_csv_table(spark: SparkSession, path: str | list[str], sep: str | None = None, max_rows: int | None = None,
                    max_columns: int | None = None, multiline: bool = False) -> DataFrame:
     """Delimited text with a header line, quoted as spreadsheets do it (a quote inside quotes is doubled).
@@ -106,21 +125,21 @@ def read_csv_table(spark: SparkSession, path: str | list[str], sep: str | None =
     files are then not split. A row that does not have the header's number of cells, or ends inside quotes, is a
     ``parse_error``: nothing is cut or filled up. Blanks around a token do not matter ("NA " is missing).
     """
-    first = _header(spark, path)
+    first, broken = _header(spark, path), BROKEN
     sep = sep or _sniff(first)
     header = [h.strip() for h in next(csv.reader([first], delimiter=sep, skipinitialspace=True))]
     _check_names(header)
-    schema = T.StructType([T.StructField(h, T.StringType()) for h in [*header, BROKEN]])
+    while broken in header:
+        broken += "_"
+    schema = T.StructType([T.StructField(h, T.StringType()) for h in [*header, broken]])
     text = (spark.read.schema(schema)
             .options(sep=sep, header=True, enforceSchema=True, ignoreLeadingWhiteSpace=True, quote='"', escape='"',
-                     multiLine=multiline, mode="PERMISSIVE", columnNameOfCorruptRecord=BROKEN).csv(path))
-    wrong = c(BROKEN).isNotNull()
+                     multiLine=multiline, mode="PERMISSIVE", columnNameOfCorruptRecord=broken).csv(path))
+    wrong = c(broken).isNotNull()
     if not multiline:  # a quoted cell that goes on in the next line
-        lines = spark.read.text(path)
-        quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-        _refuse(not lines.where(quotes % 2 == 1).isEmpty(), "parse_error", "A quoted cell does not end in its line; multiline reads such files.")
+        _refuse(not _open_lines(spark.read.text(path), sep).isEmpty(), "parse_error", "A quoted cell does not end in its line; multiline reads such files.")
     bad = text.where(wrong).limit(1).collect()
-    _refuse(bool(bad), "parse_error", f"A row does not fit the {len(header)} columns of the header: {bad[0][BROKEN][:200]!r}" if bad else "")
+    _refuse(bool(bad), "parse_error", f"A row does not fit the {len(header)} columns of the header: {bad[0][broken][:200]!r}" if bad else "")
     cleaned = text.select(*[F.when(~F.trim(c(n)).isin(MISSING_TOKENS), c(n)).alias(n) for n in header])
     _refuse(cleaned.isEmpty(), "empty_table", "There is only a header line.")
     return validate_frame(_typed(cleaned), max_rows=max_rows, max_columns=max_columns)

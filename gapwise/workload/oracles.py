@@ -441,6 +441,14 @@ ORACLES: dict[str, str] = {
     "impute_em": EM,
     "impute_em_three": _em_gaps(["price", "net", "charge"]),
     "impute_em_gaps": _em_gaps(["price", "net", "charge", "qty"]),
+    "error_codes": "SELECT * FROM (VALUES ('header twice', 'duplicate_columns'), ('header blank', 'missing_header'), ('no rows', 'empty_table'), "
+                   "('row limit', 'too_many_rows'), ('column limit', 'too_many_columns'), ('texts only', 'no_numeric_column'), "
+                   "('kind of source', 'unknown_dataset'), ('name of source', 'unknown_dataset'), ('mechanism', 'bad_mechanism'), "
+                   "('rate', 'bad_rate'), ('gaps before', 'not_complete'), ('target', 'bad_target'), "
+                   "('driver', 'bad_driver'), ('method', 'unknown_method'), ('fill value', 'bad_param'), "
+                   "('neighbours', 'bad_param'), ('weights', 'bad_param'), ('no key', 'bad_param'), "
+                   "('nothing left', 'no_columns_left'), ('model on texts', 'no_numeric_column'), ('rounds below one', '1 note')"
+                   ") t(request, code) WHERE (SELECT count(*) FROM orders) > 10",
     "forest_squares": f"SELECT p_partkey, p_size % 5 AS level, ((p_size % 5) * (p_size % 5))::DOUBLE AS area, {uniform(['p_partkey'], 'area')} < 0.3 AS mask FROM part",
     "boosting_groups": f"WITH m AS (SELECT p_partkey, p_size % 5 AS level, p_partkey::DOUBLE AS truth, "
                        f"{uniform(['p_partkey'], 'number')} < 0.3 AS mask FROM part) SELECT p_partkey, level, "

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gapwise.errors import EngineError
 from gapwise.functions.correlation import correlation_matrix
 from gapwise.functions.draws import hash_uniform
 from gapwise.functions.missing import GAPS, MASK, c, data_columns, numeric_columns, profile, truth_name
@@ -19,7 +20,7 @@ from gapwise.plans.registry import impute
 from gapwise.plans.report import (align_truth, analyse, describe, dropped_rows, gaps_first, head, imputed_cells,
                                   missing_counts, relative_deviation, rmse, shared_histogram, surviving_gap_rows)
 from gapwise.session import shared_dir
-from gapwise.sources.tables import read_csv_table
+from gapwise.sources.tables import load_dataset, read_csv_table, validate_frame
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -153,6 +154,43 @@ def csv_texts(spark, d):
     return read_csv_table(spark, path, multiline=True)
 
 
+@query
+def error_codes(spark, d):
+    """Requests on the given tables that must be refused, and with which code; parameters out of range are only moved."""
+    o, gappy, names = orders(spark, d), orders_mcar(spark, d), table(spark, d, "nation").select("n_name")
+    sparse = gappy.select("o_orderkey", "o_totalprice")
+    asked = {
+        "header twice": lambda: validate_frame(o.select("o_custkey", "o_custkey")),
+        "header blank": lambda: validate_frame(o.withColumnRenamed("o_custkey", " ")),
+        "no rows": lambda: validate_frame(o.where("o_orderkey < 0")),
+        "row limit": lambda: validate_frame(o, max_rows=10),
+        "column limit": lambda: validate_frame(o, max_columns=2),
+        "texts only": lambda: validate_frame(names),
+        "kind of source": lambda: load_dataset(spark, {"kind": "cards"}),
+        "name of source": lambda: load_dataset(spark, {"kind": "table", "name": "no_such_table"}),
+        "mechanism": lambda: inject_missing(o, "o_orderkey", "o_totalprice", "MXAR"),
+        "rate": lambda: inject_missing(o, "o_orderkey", "o_totalprice", rate=1.0),
+        "gaps before": lambda: inject_missing(sparse, "o_orderkey", "o_totalprice"),
+        "target": lambda: inject_missing(o, "o_orderkey", "o_nothing"),
+        "driver": lambda: inject_missing(o, "o_orderkey", "o_totalprice", "MAR", driver="o_totalprice"),
+        "method": lambda: impute(sparse, "guess", key="o_orderkey"),
+        "fill value": lambda: impute(sparse, "constant", {"fill_value": "much"}, key="o_orderkey"),
+        "neighbours": lambda: impute(sparse, "knn", {"n_neighbors": "two"}, key="o_orderkey"),
+        "weights": lambda: impute(gappy, "knn", {"weights": "equal"}, key="o_orderkey"),
+        "no key": lambda: impute(gappy, "knn"),
+        "nothing left": lambda: impute(sparse, "drop_columns", {"max_missing_pct": -5}, key="o_orderkey"),
+        "model on texts": lambda: impute(names, "regression"),
+        "rounds below one": lambda: impute(gappy, "iterative", {"max_iter": 0}, key="o_orderkey"),
+    }
+    out = []
+    for name, request in asked.items():
+        try:
+            out.append((name, f"{len(getattr(request(), 'notes', []))} note"))
+        except EngineError as exc:
+            out.append((name, exc.code))
+    return spark.createDataFrame(out, "request string, code string")
+
+
 @query
 def mask_by_rule(spark, d):
     df = mask_where(table(spark, d, "events").select("event_id", "event_type", "value"), "value",

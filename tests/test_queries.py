@@ -9,7 +9,7 @@ from tests.helpers import SF
 
 import __spark_entry__ as entry
 
-QUICK = ["missing_profile", "usable_columns", "csv_tokens", "mask_by_rule", "inject_mcar", "inject_mar", "inject_mnar",
+QUICK = ["error_codes", "missing_profile", "usable_columns", "csv_tokens", "mask_by_rule", "inject_mcar", "inject_mar", "inject_mnar",
          "keep_one", "default_spec", "listwise", "drop_columns", "pairwise_corr", "impute_median", "impute_mode", "indicator",
          "pattern_statistics", "impute_regression_2", "impute_regression_gaps", "impute_regression_noise",
          "impute_iterative", "impute_em", "impute_em_three", "impute_multiple", "pooled", "histogram_shared", "rmse_truth",

@@ -29,6 +29,17 @@ def test_line_breaks_in_quotes_need_multiline(spark, tmp_path):
     assert {r["remark"] for r in read_csv_table(spark, path, multiline=True).collect()} == {"first\nsecond", "plain"}
 
 
+def test_quotes_inside_a_cell_are_text(spark, tmp_path):
+    df = read_csv_table(spark, put(tmp_path, 'n,part,__broken_row\n1,5" pipe,a\n2,3" and 4" pipes,"b, ""c"""\n3, "quoted" ,d"\n'))
+    rows = df.orderBy("n").collect()
+    assert [r["part"] for r in rows][:2] == ['5" pipe', '3" and 4" pipes'] and [r["__broken_row"] for r in rows] == ["a", 'b, "c"', 'd"']
+
+
+@pytest.mark.parametrize("line", ['1,"open', '5" pipe,"open', '"a ""b"", c,2'])
+def test_cells_that_stay_open_are_refused(spark, tmp_path, line):
+    assert code_of(lambda: read_csv_table(spark, put(tmp_path, f"n,part\n7,8\n{line}\n"))) == "parse_error"
+
+
 @pytest.mark.parametrize("row", ["3,4,5", "3"])
 def test_rows_that_do_not_fit_the_header(spark, tmp_path, row):
     assert code_of(lambda: read_csv_table(spark, put(tmp_path, f"price,tax\n1,2\n{row}\n"))) == "parse_error"
