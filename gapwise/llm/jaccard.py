@@ -460,6 +460,14 @@ def links(signed: DataFrame, source: DataFrame, percent: int = PERCENT, size: in
     return joined().unionByName(rest)
 
 
+def text_links(source: DataFrame, rows: int, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
+    """Links (a, b) between the ids of about ``rows`` rows (id, __text); rows of one id hold the same text, or none has a word."""
+    signed = write_stage(_signed(source.select(F.lit(0).alias("__key"), "id", "__text"), _common(source, rows, percent, size), percent, size), "signed")
+    found = links(signed.frame, source, percent, size)
+    signed.drop()
+    return found
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """(key, n_shingles, component_id) for every row; links are Jaccard similarities of ``percent`` hundredths or more.
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from gapwise.llm import bpe, decontaminate, html, langid, lm, overlap, pii, quality, sharding, simhash, suffix
+from gapwise.llm import bpe, decontaminate, html, jaccard, langid, lm, pii, quality, sharding, simhash, suffix
 
 WORD = re.compile("[^\\x20\\x09-\\x0D]+")
 
@@ -27,7 +27,7 @@ def lowered(text):
 
 
 def test_every_operator_is_registered():
-    assert [n for n in range(1, 11) if not any(q.startswith(f"op{n}_") for q in entry.queries())] == [] and "pipeline" in entry.queries()
+    assert [n for n in range(1, 14) if not any(q.startswith(f"op{n}_") for q in entry.queries())] == [] and "pipeline" in entry.queries()
 
 
 # ------------------------------------------------------------------ 1, near-duplicates
@@ -104,9 +104,9 @@ def shingle_groups(texts):
     return label
 
 
-@pytest.mark.parametrize("crowded", [overlap.CROWDED, 2])
+@pytest.mark.parametrize("crowded", [jaccard.SMALL, 2])
 def test_pipeline_dedup_equals_brute_force(spark, documents, sf, crowded, monkeypatch):
-    monkeypatch.setattr(overlap, "CROWDED", crowded)
+    monkeypatch.setattr(jaccard, "SMALL", crowded)
     rng = random.Random(5)
     made = []
     for group in range(4):
@@ -457,10 +457,9 @@ def test_pipeline_equals_its_rules(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     field = quality.learn(docs, spark.read.parquet(f"{sf}/labels.parquet"))
     kept = [r for r in docs.collect() if quality.verdicts([(r["text"] or "").encode()], field)[0][-1]]
-    prints = brute_prints([r["text"] for r in kept])
-    label, least = brute_components(set(prints)), {}
-    for r, p in zip(kept, prints):
-        least[label[p]] = min(least.get(label[p], r["doc_id"]), r["doc_id"])
+    least = {}
+    for r, l in zip(kept, shingle_groups([r["text"] for r in kept])):
+        least[l] = min(least.get(l, r["doc_id"]), r["doc_id"])
     one = [r for r in kept if r["doc_id"] in set(least.values())]
     items = [shingle_counts(WORD.findall(r["text"].lower())) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
 
