@@ -5,14 +5,17 @@ open. The gadget of merge k, (a, b) -> c, does three things: it adds a state for
 b's state as it is then; it closes the arc b behind a; and it opens the arc c wherever the arc a is open. An
 arc table of 49k x 49k cells would be mostly unused, so the gadgets are kept as arrays (parts and rank of each
 token) and an arc is settled from them on first use, then stored in the transition table.
-A word has exactly one path through the automaton, which is the merge-by-rank result.
+A word has exactly one path through the automaton, which is the merge-by-rank result. So has each of its prefixes:
+the walk takes the longest token first, steps back where no arc is open, and never enters a place twice.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import string
 import unicodedata
+from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
@@ -21,11 +24,17 @@ from pyspark.sql import functions as F
 
 from gapwise.llm.common import as_bytes, map_slices, table
 
-#: Words whose ids a worker remembers; it starts anew when full.
+#: Words, and settled arcs, that a worker remembers; when full they become the older half, which is dropped next.
 WORD_CACHE = 300_000
+ARC_CACHE = 1_000_000
+#: Stands behind the last byte of a word; no UTF-8 text holds it.
+END = b"\xff"
+#: Spells the token of the byte END itself, which no text holds either.
+NEVER = b"\xfe\xfe"
 #: White space of the word pattern, as Unicode defines it.
 SPACE = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 BASE = -1
+LETTERS = string.ascii_lowercase
 
 
 def byte_symbols() -> list[str]:
@@ -48,37 +57,44 @@ class Automaton:
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.split = regex.compile(split["pattern"]["Regex"].replace("\\s", SPACE))
         symbols = byte_symbols()
-        self.inner = [vocab[s] for s in symbols]
-        self.last = [vocab[s + suffix] for s in symbols]
+        self.whole_letters = all(self.split.findall(a + LETTERS) == [a + LETTERS] for a in LETTERS)
+        symbols = byte_symbols()
+        spelled = {vocab[s]: bytes([b]) for b, s in enumerate(symbols)}
+        spelled[vocab[symbols[END[0]]]] = NEVER
+        spelled |= {vocab[s + suffix]: bytes([b]) + END for b, s in enumerate(symbols)}
         self.parts: dict[int, tuple[int, int, int]] = {}
         self.rank: dict[tuple[int, int], int] = {}
-        spelled = {i: (i,) for i in (*self.inner, *self.last)}
         for k, merge in enumerate(model["merges"]):
             left, right = merge.split(" ") if isinstance(merge, str) else merge
             a, b, c = vocab[left], vocab[right], vocab[left + right]
             self.parts[c], self.rank[a, b] = (a, b, k), k
             spelled[c] = spelled[a] + spelled[b]
-        self.length = {t: len(s) for t, s in spelled.items()}
-        self.step: list[dict[int, int]] = [{}]
-        self.ends: list[int] = [BASE]
-        for t, way in spelled.items():
-            node = 0
-            for s in way:
-                if s not in self.step[node]:
-                    self.step[node][s] = len(self.step)
-                    self.step.append({})
-                    self.ends.append(BASE)
-                node = self.step[node][s]
-            self.ends[node] = t
-        self.arcs: dict[tuple[int, int], bool] = {}
+        self.by_spelling = {s: t for t, s in spelled.items()}
+        # trie over bytes, a node named by its spelling: the tokens that start there, the longest first
+        self.ways: dict[bytes, tuple[int, ...]] = {b"": ()}
+        for way in sorted(spelled.values()):
+            for n in range(1, len(way) + 1):
+                if way[:n] not in self.ways:
+                    here = self.by_spelling.get(way[:n])
+                    self.ways[way[:n]] = (() if here is None else (here,)) + self.ways[way[:n - 1]]
+        self.states = 1 + max(self.token)
+        self.length = [len(spelled.get(t, b"")) for t in range(self.states)]
+        self.packed = [t.to_bytes(4, "little") for t in range(self.states)]
+        self.arcs: dict[int, bool] = {}
+        self.older_arcs: dict[int, bool] = {}
         self.known: dict[bytes, tuple[bytes, str]] = {}
-
-    def open(self, state: int, token: int) -> bool:
-        """Whether ``token`` may follow ``state`` once all gadgets are in place."""
-        arc = (state, token)
-        if arc not in self.arcs:
-            self.arcs[arc] = self._open_before(state, token, len(self.rank))
-        return self.arcs[arc]
+        self.older: dict[bytes, tuple[bytes, str]] = {}
+
+    def settle(self, state: int, token: int) -> bool:
+        """Whether ``token`` may follow ``state`` once all gadgets are in place; written to the transition table."""
+        arc = state * self.states + token
+        is_open = self.older_arcs.get(arc)
+        if is_open is None:
+            is_open = self._open_before(state, token, len(self.rank))
+        if len(self.arcs) >= ARC_CACHE:
+            self.arcs, self.older_arcs = {}, self.arcs
+        self.arcs[arc] = is_open
+        return is_open
 
     def _open_before(self, state: int, token: int, time: int) -> bool:
         """The same, with the gadgets of merges below ``time`` only."""
@@ -95,41 +111,69 @@ class Automaton:
             else:  # the state's gadget copied the state of its right part
                 state, time = of_state[1], born_state
 
-    def path(self, symbols: list[int]) -> list[int]:
-        """Ids of a word of base symbols. reached[i] is the token that ends at i on the only open path there."""
-        size = len(symbols)
-        reached = [BASE] * (size + 1)
-        for i in range(size):
-            if i and reached[i] == BASE:
-                continue
-            node, state = 0, reached[i]
-            for j in range(i, size):
-                node = self.step[node].get(symbols[j], BASE)
-                if node == BASE:
-                    break
-                token = self.ends[node]
-                if token != BASE and reached[j + 1] == BASE and (state == BASE or self.open(state, token)):
-                    reached[j + 1] = token
-        out = []
-        while size:
-            out.append(reached[size])
-            size -= self.length[reached[size]]
-        return out[::-1]
+    def starting(self, word: bytes, at: int) -> Iterator[int]:
+        """Tokens that are spelled from ``at`` on, the longest first."""
+        ways, size = self.ways, len(word)
+        to = min(at + 3, size)
+        way = ways.get(word[at:to])
+        while way is None:
+            to -= 1
+            way = ways.get(word[at:to])
+        while to < size:
+            to += 1
+            longer = ways.get(word[at:to])
+            if longer is None:
+                break
+            way = longer
+        return iter(way)
+
+    def path(self, word: bytes) -> list[int]:
+        """Ids of a word whose last byte is END. A place left behind lies on no path to the end, so it stays closed."""
+        size, length, states, arcs = len(word), self.length, self.states, self.arcs
+        out: list[int] = []
+        ways, closed, at, row = [self.starting(word, 0)], set(), 0, BASE
+        while at < size:
+            for token in ways[-1]:
+                to = at + length[token]
+                if to in closed:
+                    continue
+                if row != BASE:
+                    is_open = arcs.get(row + token)
+                    if is_open is None:
+                        is_open = self.settle(out[-1], token)
+                        arcs = self.arcs
+                    if not is_open:
+                        continue
+                out.append(token)
+                at, row = to, token * states
+                if at < size:
+                    ways.append(self.starting(word, at))
+                break
+            else:
+                closed.add(at)
+                ways.pop()
+                at -= length[out.pop()]
+                row = out[-1] * states if out else BASE
+        return out
 
     def word(self, piece: bytes) -> tuple[bytes, str]:
         """Ids (little-endian, 32 bits each) and labels of a piece without ASCII white space."""
-        found = self.known.get(piece)
+        found = self.known.get(piece) or self.older.get(piece)
         if found is None:
-            text = unicodedata.normalize("NFC", piece.decode())
-            text = "".join(c.lower() for c in text) if "Σ" in text else text.lower()
+            if piece.isalpha() and self.whole_letters:  # ASCII letters: nothing to compose, one part
+                parts = [piece.lower()]
+            else:
+                text = unicodedata.normalize("NFC", piece.decode())
+                text = "".join(c.lower() for c in text) if "Σ" in text else text.lower()
+                parts = [part.encode() for part in self.split.findall(text)]
             ids: list[int] = []
-            for part in self.split.findall(text):
-                raw = part.encode()
-                ids += self.path([self.inner[b] for b in raw[:-1]] + [self.last[raw[-1]]])
-            found = b"".join(i.to_bytes(4, "little") for i in ids), self.labels(ids)
-            if len(self.known) >= WORD_CACHE:
-                self.known.clear()
-            self.known[piece] = found
+            for part in parts:
+                token = self.by_spelling.get(part + END)
+                ids += self.path(part + END) if token is None else [token]
+            found = b"".join([self.packed[i] for i in ids]), self.labels(ids)
+        if len(self.known) >= WORD_CACHE:
+            self.known, self.older = {}, self.known
+        self.known[piece] = found
         return found
 
     def labels(self, ids: list[int]) -> str:
@@ -138,12 +182,12 @@ class Automaton:
 
     def encode(self, text: bytes) -> tuple[bytes, str]:
         """Ids and labels of a whole text. White space never joins words, so pieces are encoded one by one."""
-        known, ids, labels = self.known, [], []
+        ids, labels = [], []
         for at, segment in enumerate(self.cut.split(text) if self.cut and any(s in text for s in self.special) else [text]):
             if at % 2:
                 found = [(self.special[segment].to_bytes(4, "little"), segment.decode())]
             else:
-                found = [known.get(p) or self.word(p) for p in segment.split()]
+                found = [self.known.get(p) or self.word(p) for p in segment.split()]
             ids += [f[0] for f in found]
             labels += [f[1] for f in found if f[1]]
         return b"".join(ids), " ".join(labels)

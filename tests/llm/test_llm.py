@@ -1,7 +1,9 @@
 """Each operator against a brute-force version on the smallest tables with odd rows, and the pipeline against its parts."""
 
 import hashlib
+import json
 import random
+import struct
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -324,6 +326,24 @@ def test_bpe_equals_the_library(documents):
     for r in coded.collect():
         assert r["ids"] == library.encode(whole[str(r["doc_id"])], add_special_tokens=False).ids
     assert rows(bpe.decode(coded), "doc_id") == rows(coded.select("doc_id", F.col("decoded").alias("text")), "doc_id")
+    for r in bpe.tokenize(documents, output="digest").collect():
+        ids = library.encode(whole[str(r["doc_id"])], add_special_tokens=False).ids
+        assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    assert bpe.tokenize(documents.limit(0), output="digest").count() == bpe.decode(coded.limit(0)).count() == 0
+
+
+def test_bpe_caches_turn_over(monkeypatch):
+    """Words and arcs that fall out of the caches are settled again with the same result."""
+    with open(bpe.default_vocabulary(), "rb") as file:
+        spec = json.load(file)
+    rng = random.Random(7)
+    texts = [" ".join("".join(rng.choice("abenrstü.") for _ in range(rng.randrange(1, 14))) for _ in range(60)).encode() for _ in range(30)]
+    want = [bpe.Automaton(spec).encode(t) for t in texts]
+    monkeypatch.setattr(bpe, "WORD_CACHE", 5)
+    monkeypatch.setattr(bpe, "ARC_CACHE", 7)
+    small = bpe.Automaton(spec)
+    assert [small.encode(t) for t in texts] == want and len(small.known) <= 5 and len(small.arcs) <= 7
 
 
 # ------------------------------------------------------------------ 7, language
