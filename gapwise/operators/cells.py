@@ -98,12 +98,13 @@ def _subset(boxes: Boxes, keep: np.ndarray) -> Boxes:
 
 
 def reachable(x: np.ndarray, boxes: Boxes, k: int, p: int,
-              groups: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+              groups: list[np.ndarray], limit: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, box) pairs in which one of the row's k nearest donors may lie, and a bound per row.
 
     Within the bound lie at least k donors, so nothing beyond it matters. ``groups`` lists labels from
     coarse to fine: rows that share a label (and a pattern) are first tested together by their common
-    box, and only the boxes that survive are tested further down, finally row by row.
+    box, and only the boxes that survive are tested further down, finally row by row. ``limit`` is a bound per row
+    that is known already, from donors outside these boxes.
     """
     present = ~np.isnan(x)
     pattern = np.unique(present, axis=0, return_inverse=True)[1].ravel()
@@ -128,7 +129,8 @@ def reachable(x: np.ndarray, boxes: Boxes, k: int, p: int,
             part = rows[s : s + step]
             lower, upper = box_bounds(x[part], x[part], present[part], sub, p)
             bound[part] = kth_upper(upper, sub.count, k)
-            hit = np.isfinite(lower) & (lower <= bound[part][:, None])
+            most = bound[part] if limit is None else np.minimum(bound[part], limit[part])
+            hit = np.isfinite(lower) & (lower <= most[:, None])
             r, b = np.nonzero(hit)
             rows_out.append(part[r])
             boxes_out.append(keep[b])
@@ -161,6 +163,14 @@ def _blocks(x: np.ndarray, size: int) -> list[np.ndarray]:
     return out
 
 
+def nearby(x: np.ndarray, size: int = 128) -> np.ndarray:
+    """Labels that rows close in space share, for ``reachable``."""
+    label = np.zeros(len(x), dtype=np.int64)
+    for i, rows in enumerate(_blocks(x, size)):
+        label[rows] = i
+    return label
+
+
 def _box_table(x: np.ndarray, blocks: list[np.ndarray]) -> Boxes:
     return Boxes(np.stack([x[b].min(axis=0) for b in blocks]), np.stack([x[b].max(axis=0) for b in blocks]),
                  np.stack([~np.isnan(x[b[0]]) for b in blocks]), np.ones(len(blocks), dtype=bool),

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from gapwise.functions.missing import Profile, c, dbl
 from gapwise.operators.cells import DECIMALS, Boxes, Splits, cut_sample, nearest, reachable
 from gapwise.operators.incomplete import ROW, fill_name, join_fills, split_rows
+from gapwise.operators.refine import UNIT, join_units, pieces, refine, unit_counts
 from gapwise.session import StagedTable, stage, tasks_for, write_stage
 
 BOX_ROWS = 64          # donors aimed at per box; boxes give the distance bounds
@@ -131,24 +132,39 @@ def _common_patterns(donors: DataFrame, sample: np.ndarray, p: int, whole: bool)
     return [(r["pattern"], r["n"]) for r in rows]
 
 
-def _with_shares(df: DataFrame, crowded: list[tuple[int, int, int]]) -> DataFrame:
-    """Adds dn and rn: into how many shares the donors and the visitors of the row's cell are split."""
-    if not crowded:
-        return df.withColumns({"dn": F.lit(1), "rn": F.lit(1)})
-    shares = df.sparkSession.createDataFrame(crowded, "cell long, dn int, rn int")
-    return (df.join(F.broadcast(shares), "cell", "left")
-            .withColumns({n: F.coalesce(n, F.lit(1)) for n in ("dn", "rn")}))
+@dataclass(frozen=True)
+class _Shares:
+    """How many tasks' worth of work there is, and the units whose donors (dn) or visitors (rn) are dealt into shares."""
+    units: int
+    split: DataFrame | None = None
+    count: int = 0
+
+    def join(self, df: DataFrame) -> DataFrame:
+        if not self.count:
+            return df.withColumns({"dn": F.lit(1), "rn": F.lit(1)})
+        return join_units(df, self.split, self.count, "left").withColumns({n: F.coalesce(n, F.lit(1)) for n in ("dn", "rn")})
+
+
+def _shares(placed: DataFrame, visits: DataFrame, cell_ids: np.ndarray, size: np.ndarray, receiver_count: int, task_rows: int,
+            held: list[StagedTable]) -> _Shares:
+    if receiver_count <= task_rows and not (size > task_rows).any():
+        return _Shares(len(cell_ids))  # no cell can be visited more often than there are receivers
+    plan = unit_counts(placed, visits).select(*UNIT, pieces("n", task_rows).alias("dn"), pieces("m", task_rows).alias("rn"))
+    held.append(write_stage(plan, "shares"))
+    split = held[-1].frame.where("dn > 1 or rn > 1")
+    units = held[-1].frame.agg(F.sum(F.col("dn").cast("long") * F.col("rn"))).first()[0]
+    return _Shares(int(units), split, split.count())
 
 
 def nearest_donors(receivers: DataFrame, receiver_count: int, donors: DataFrame, p: int, keys: Sequence[str], k: int,
-                   width: int, held: list[StagedTable], task_rows: int = TASK_ROWS) -> DataFrame:
+                   width: int, held: list[StagedTable], task_rows: int | None = None) -> DataFrame:
     """(row, v, d2): for every receiver its k nearest donors by (rounded distance, key).
 
     ``receivers`` has ``row`` and x0..; ``donors`` has x0.., ``v`` and the key columns. ``width`` is
     the p of the distance formula (all columns, the target included). Written copies that the result
     reads are added to ``held``; the caller drops them once it has used the result.
     """
-    spark = receivers.sparkSession
+    spark, task_rows = receivers.sparkSession, task_rows or TASK_ROWS
     parallel = tasks_for(spark, receiver_count, SEARCH_ROWS)
     x = _x(p)
     nobody = receivers.select("row", F.lit(0.0).alias("v"), F.lit(0.0).alias("d2")).limit(0)
@@ -181,27 +197,23 @@ def nearest_donors(receivers: DataFrame, receiver_count: int, donors: DataFrame,
                .repartitionByRange(parallel, "leaf", "row").sortWithinPartitions("leaf"))
     visits = located.mapInPandas(find, T.StructType(receivers.schema.fields + [
         T.StructField("cell", T.LongType()), T.StructField("bound", T.DoubleType())]))
-    if receiver_count <= task_rows:  # no cell can be visited more often than that
-        load = dict.fromkeys(cell_ids.tolist(), receiver_count)
-    else:  # counted from a copy, so the cells are looked up once
+    size = np.bincount(of_box, weights=boxes.count)
+    placed, visits = (df.withColumn("sub", F.lit("")) for df in (placed.drop("box"), visits))
+    if receiver_count > task_rows or (size > task_rows).any():  # read several times, so the cells are looked up once
         held.append(write_stage(visits, "visits"))
         visits = held[-1].frame
-        load = {r["cell"]: r["n"] for r in visits.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    size = np.bincount(of_box, weights=boxes.count)
-    plan = [(int(cell), max(1, math.ceil(n / task_rows)), max(1, math.ceil(load.get(cell, 0) / task_rows)))
-            for cell, n in zip(cell_ids.tolist(), size.tolist())]
-    units = sum(d * r for _, d, r in plan)
-    tasks = min(2 * units, max(4 * spark.sparkContext.defaultParallelism, units // 8))
-    meet = ["cell", "dpart", "rpart"]
-    crowded = [row for row in plan if row[1] > 1 or row[2] > 1]  # cells to be split; never more than there are cells
-    left = (_with_shares(visits, crowded)
-            .withColumn("rpart", F.pmod(F.xxhash64("row"), F.col("rn")).cast("int"))
+    if (size > task_rows).any():
+        held.append(write_stage(placed, "placed"))
+        placed, visits = refine(held[-1].frame, visits, x, list(keys), k, width, task_rows, held)
+    shares = _shares(placed, visits, cell_ids, size, receiver_count, task_rows, held)
+    tasks = min(2 * shares.units, max(4 * spark.sparkContext.defaultParallelism, shares.units // 8))
+    meet = [*UNIT, "dpart", "rpart"]
+    left = (shares.join(visits).withColumn("rpart", F.pmod(F.xxhash64("row"), F.col("rn")).cast("int"))
             .withColumn("dpart", F.explode(F.sequence(F.lit(0), F.col("dn") - 1)))
             .select(*meet, "row", "bound", *x).repartition(tasks, *meet))
-    right = (_with_shares(placed, crowded)
-             .withColumn("dpart", F.pmod(F.xxhash64(*keys), F.col("dn")).cast("int"))
+    right = (shares.join(placed).withColumn("dpart", F.pmod(F.xxhash64(*keys), F.col("dn")).cast("int"))
              .withColumn("rpart", F.explode(F.sequence(F.lit(0), F.col("rn") - 1)))
-             .select(*meet, *x, "v", *keys).repartition(tasks, *meet))
+             .select(*[F.col(n).alias(n) for n in (*meet, *x, "v", *keys)]).repartition(tasks, *meet))
 
     def match(visitors: pd.DataFrame, local: pd.DataFrame) -> pd.DataFrame:
         local = local.sort_values(list(keys), kind="stable")

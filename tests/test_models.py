@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 from tests.helpers import collect, to_spark
 
 from gapwise import impute
@@ -13,6 +14,7 @@ from gapwise.operators.chained import fit_chained
 from gapwise.operators.em import fit_em
 from gapwise.operators.linear import bayesian_ridge, least_squares
 from gapwise.operators.moments import pattern_stats
+from gapwise.operators.refine import refine, unit_counts
 from gapwise.operators.regression import fit_regression
 
 
@@ -206,6 +208,45 @@ def test_knn_equals_brute_force(spark, monkeypatch, decimals, share, weights, sc
     assert np.allclose(collect(out)[cols], brute_knn(pdf, cols, 4, weights, scale), atol=1e-9)
 
 
+def crowd(spark, n, spot):
+    """One cell with ``n`` donors and ``n`` visitors; a third of both lies in a small spot."""
+    rng = np.random.default_rng(n)
+    at = lambda: np.where(rng.random((n, 1)) < 1 / 3, rng.normal(0, spot, (n, 2)), rng.normal(0, 1, (n, 2)))
+    donors = pd.DataFrame(at(), columns=["x0", "x1"]).assign(cell=0, sub="", mixed=False, v=rng.random(n), k0=np.arange(n))
+    visits = pd.DataFrame(at(), columns=["x0", "x1"]).assign(cell=0, sub="", row=np.arange(n), bound=np.inf)
+    return spark.createDataFrame(donors), spark.createDataFrame(visits)
+
+
+def test_crowded_cells_give_copies_in_proportion(spark):
+    """Donors meet all visitors that need them, units stay small, twice the rows give about twice the visits, and donors
+    are copied no more often than they are visited (a unit's donors go once to every hundred of its visitors)."""
+    sent = {}
+    for n in (1500, 3000, 6000):
+        held = []
+        donors, visits = refine(*crowd(spark, n, 1e-3), ["x0", "x1"], ["k0"], 3, 2, 100, held)
+        units = unit_counts(donors, visits).toPandas()
+        assert units["n"].max() <= 100 and units["n"].sum() == n  # every donor lies in one unit
+        sent[n] = units["m"].sum()
+        assert (units["n"] * np.ceil(units["m"] / 100).clip(lower=1)).sum() <= sent[n] + n
+        d, v = donors.toPandas(), visits.toPandas()
+        assert not v.duplicated(["row", "cell", "sub"]).any()
+        q = v.drop_duplicates("row").set_index("row").sort_index()
+        gap = ((q[["x0", "x1"]].to_numpy()[:, None] - d[["x0", "x1"]].to_numpy()[None]) ** 2).sum(axis=2)
+        near = np.argsort(gap, axis=1)[:, :3]
+        met = set(zip(v["row"], v["sub"]))
+        assert len(q) == n and all((row, d["sub"].iloc[i]) in met for row, at in zip(q.index, near) for i in at)
+        for copy in held:
+            copy.drop()
+    assert sent[3000] < 2.4 * sent[1500] and sent[6000] < 2.4 * sent[3000]
+
+
+def test_units_that_no_cut_divides_are_left_to_shares(spark):
+    donors, visits = crowd(spark, 300, 1e-3)
+    same = donors.withColumns({n: F.lit(1.0) for n in ("x0", "x1")})
+    left, sent = refine(same, visits, ["x0", "x1"], ["k0"], 3, 2, 50, [])
+    assert left.count() == 300 and sent.select("row").distinct().count() == 300 and left.select("sub").distinct().count() == 1
+
+
 def test_knn_with_more_neighbours_than_donors(spark):
     pdf = gappy(30, 2, 0.0)
     pdf.loc[3:, "c1"] = np.nan
