@@ -10,88 +10,69 @@ from pyspark.sql import functions as F
 
 from gapwise.functions.missing import c, dbl
 
-# Up to this many values the built-in median is used; it keeps every distinct value in one buffer.
-BUILTIN_LIMIT = 1_000_000
-# A bracket with at most this many distinct values (estimated) is finished by counting per value.
-FINISH_DISTINCT = 50_000
+# Buckets a column's values are counted in per round; a bracket with no more values is counted value by value.
+BUCKETS = 65_536
+# The first round counts on a logarithmic scale, this many buckets to a doubling.
+PER_DOUBLING = 16
 
 
 @dataclass
 class _Bracket:
-    """Closed value range that is known to hold both middle ranks of a column."""
+    """Values of one column between which both middle ranks lie, with what lies below and inside."""
     name: str
     ranks: tuple[int, int]
     inside: int
+    below: int = 0
     low: float | None = None
     high: float | None = None
-    below: int = 0
-    distinct: int = 0
 
-    def values(self) -> Column:
+    def bucket(self, buckets: int) -> Column:
+        """A number that never falls when the value rises; null outside the bracket."""
         x = dbl(self.name)
-        return x if self.low is None else F.when((x >= F.lit(self.low)) & (x <= F.lit(self.high)), x)
+        if self.low is None and self.inside > buckets:
+            size = F.least(F.floor((F.log2(F.abs(x)) + F.lit(1075)) * F.lit(PER_DOUBLING)).cast("double") + F.lit(1.0), F.lit(1e6))
+            return F.when(x == 0, F.lit(0.0)).otherwise(F.signum(x) * size)
+        at = x if self.inside <= buckets else F.floor((x - F.lit(self.low)) / F.lit(self.high - self.low) * F.lit(buckets - 1)).cast("double")
+        return at if self.low is None else F.when((x >= F.lit(self.low)) & (x <= F.lit(self.high)), at)
 
 
-def exact_medians(df: DataFrame, counts: dict[str, int], builtin_limit: int = BUILTIN_LIMIT,
-                  finish_distinct: int = FINISH_DISTINCT) -> dict[str, float]:
+def exact_medians(df: DataFrame, counts: dict[str, int], buckets: int = BUCKETS) -> dict[str, float]:
     """Median (mean of the middle two) of each column; ``counts`` holds the observed values per column.
 
-    Long columns are narrowed down. A round asks for approximate quantiles around the middle ranks
-    and then counts exactly what lies below and inside that bracket; a side of the bracket is moved
-    only if the counts prove that the ranks stay inside. A round shrinks the bracket about a
-    thousandfold and all columns share its two jobs.
+    One grouped count serves all columns in a round: values are counted in buckets, before anything is shuffled, and
+    the bucket that holds the middle ranks is the next bracket. The first round has a logarithmic scale, the next ones
+    divide their bracket evenly, and a bracket of few values is counted by value. So one round
+    serves columns of up to ``buckets`` values, two serve brackets of as many (a sixteenth of a doubling), three
+    nearly all longer columns; no buffer holds a column's values, and a column's buckets are bounded.
     """
-    short = [n for n, size in counts.items() if 0 < size <= builtin_limit]
     out: dict[str, float] = {}
-    if short:
-        row = df.agg(*[F.median(dbl(n)).alias(f"m{i}") for i, n in enumerate(short)]).first()
-        out.update({n: row[f"m{i}"] for i, n in enumerate(short)})
-    active = [_Bracket(n, ((size - 1) // 2, size // 2), size) for n, size in counts.items() if size > builtin_limit]
+    active = [_Bracket(n, ((size - 1) // 2, size // 2), size) for n, size in counts.items() if size > 0]
     while active:
-        _narrow(df, active)
-        for b in active:
-            if b.low == b.high:
-                out[b.name] = b.low
-            elif b.distinct <= finish_distinct:
-                out[b.name] = _by_counting(df, b)
+        found = _count(df, active, buckets)
+        for b, rows in zip(active, found):
+            if len(rows) > 1:  # the middle ranks are neighbours in different buckets
+                out[b.name] = (rows[0]["high"] + rows[1]["low"]) / 2
+            elif rows[0]["low"] == rows[0]["high"]:
+                out[b.name] = rows[0]["low"]
+            else:
+                b.low, b.high, b.inside, b.below = (rows[0][n] for n in ("low", "high", "n", "below"))
         active = [b for b in active if b.name not in out]
     return out
 
 
-def _narrow(df: DataFrame, brackets: Sequence[_Bracket]) -> None:
-    asks = []
-    for i, b in enumerate(brackets):
-        first, last = ((r - b.below + 0.5) / b.inside for r in b.ranks)
-        around = F.array(F.lit(max(0.0, first - 5e-4)), F.lit(min(1.0, last + 5e-4)))
-        asks += [F.percentile_approx(b.values(), around, F.lit(10_000)).alias(f"q{i}"),
-                 F.min(b.values()).alias(f"l{i}"), F.max(b.values()).alias(f"h{i}")]
-    guess = df.agg(*asks).first()
-    tallies = []
-    for i, b in enumerate(brackets):
-        x, (low, high) = dbl(b.name), guess[f"q{i}"]
-        within = F.when((x >= F.lit(low)) & (x <= F.lit(high)), x)
-        tallies += [F.count_if(x < F.lit(low)).alias(f"b{i}"), F.count_if(x <= F.lit(high)).alias(f"t{i}"),
-                    F.approx_count_distinct(within).alias(f"d{i}")]
-    seen = df.agg(*tallies).first()
-    for i, b in enumerate(brackets):
-        (low, high), below, upto = guess[f"q{i}"], seen[f"b{i}"], seen[f"t{i}"]
-        end = b.below + b.inside
-        low_ok, high_ok = below <= b.ranks[0], b.ranks[1] < upto
-        b.low, b.below = (low, below) if low_ok else (guess[f"l{i}"], b.below)
-        b.high, end = (high, upto) if high_ok else (guess[f"h{i}"], end)
-        b.inside = end - b.below
-        b.distinct = seen[f"d{i}"] if low_ok and high_ok else b.inside
-
-
-def _by_counting(df: DataFrame, b: _Bracket) -> float:
-    rows = (df.select(b.values().alias("v")).where("v is not null").groupBy("v")
-            .agg(F.count(F.lit(1)).alias("n")).orderBy("v").collect())
-    picked, at = [], b.below
-    for r in rows:
-        at += r["n"]
-        while len(picked) < 2 and b.ranks[len(picked)] < at:
-            picked.append(r["v"])
-    return sum(picked) / 2
+def _count(df: DataFrame, brackets: Sequence[_Bracket], buckets: int) -> list[list]:
+    """Per bracket the one or two buckets that hold its middle ranks, in order."""
+    cells = [F.struct(F.lit(i).alias("i"), b.bucket(buckets).alias("bucket"), dbl(b.name).alias("x")) for i, b in enumerate(brackets)]
+    counted = (df.select(F.inline(F.array(*cells))).where("bucket is not null").groupBy("i", "bucket")
+               .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high")))
+    pick = lambda values: F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), F.col("i") + 1)
+    upto = F.sum("n").over(Window.partitionBy("i").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
+    middle = (counted.withColumn("upto", upto + pick([b.below for b in brackets])).withColumn("below", F.col("upto") - F.col("n"))
+              .where((F.col("below") <= pick([b.ranks[1] for b in brackets])) & (F.col("upto") > pick([b.ranks[0] for b in brackets]))))
+    out: list[list] = [[] for _ in brackets]
+    for row in middle.orderBy("i", "bucket").collect():
+        out[row["i"]].append(row)
+    return out
 
 
 def modes(df: DataFrame, columns: Sequence[str]) -> dict[str, object]:
