@@ -427,12 +427,13 @@ def impute_gradient_boosting(spark, d):
 
 @query
 def forest_squares(spark, d):
-    """A forest whose answer is known: the square of a number with five values, so every filled cell equals the truth."""
-    level = F.col("p_size") % 5
-    df = table(spark, d, "part").select("p_partkey", level.alias("level"), (level * level).cast("double").alias("area"))
+    """A forest whose answer is known: the square of a number with 50 values, so every filled cell equals the truth.
+
+    It holds where every size is observed often enough to be in each bootstrap sample (sf 0.01 and up)."""
+    df = table(spark, d, "part").select("p_partkey", "p_size", (F.col("p_size") * F.col("p_size")).cast("double").alias("area"))
     df = inject_missing(df, "p_partkey", "area", "MCAR", 0.3, seed=SEED)
     out = impute(df, "random_forest", key="p_partkey").frame
-    return out.select("p_partkey", "level", rounded("area").alias("area"), c(MASK).alias("mask"))
+    return out.select("p_partkey", "p_size", rounded("area").alias("area"), c(MASK).alias("mask"))
 
 
 @query

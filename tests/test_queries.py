@@ -49,3 +49,12 @@ def test_two_gap_forest_runs_with_the_default_parameters(monkeypatch):
 
     monkeypatch.setattr(queries, "_held_rules", lambda spark, d, method, params: (method, params))
     assert queries.QUERIES["forest_two_gaps"](None, "") == ("random_forest", {})
+
+
+def test_forest_squares_keeps_all_sizes(spark, tmp_path):
+    con = duckdb.connect()
+    con.execute("CREATE TABLE part AS SELECT i AS p_partkey, (i % 50 + 1)::INTEGER AS p_size FROM range(2500) t(i)")
+    con.execute(f"COPY part TO '{tmp_path}/part.parquet' (FORMAT parquet)")
+    got, want = entry.queries()["forest_squares"](spark, str(tmp_path)).toPandas(), con.execute(entry.oracle_sql()["forest_squares"]).fetchdf()
+    assert got["p_size"].nunique() == got["area"].nunique() == 50 and got["mask"].any()
+    assert rows(got) == rows(want)
