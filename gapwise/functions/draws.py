@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +13,25 @@ from gapwise.functions.missing import c
 
 _RANGE = float(2**32)
 
+# Multiplier and shifts of the SplitMix64 finaliser (Steele, Lea and Flood 2014).
+GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+_MIX1 = np.uint64(0xBF58476D1CE4E5B9)
+_MIX2 = np.uint64(0x94D049BB133111EB)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Well-spread 64-bit words; overflow is meant, callers silence it."""
+    x = (x ^ (x >> np.uint64(30))) * _MIX1
+    x = (x ^ (x >> np.uint64(27))) * _MIX2
+    return x ^ (x >> np.uint64(31))
+
+
+def scramble(row_hash: np.ndarray, seed: int, step: int) -> np.ndarray:
+    """64 random bits per row that depend only on its hash, the seed and the step."""
+    with np.errstate(over="ignore"):
+        salt = mixed(np.array([seed % 2**63], dtype=np.uint64) * GOLDEN + np.uint64(step + 1))
+        return mixed(row_hash.astype(np.int64).view(np.uint64) + salt * GOLDEN)
+
 
 def _digest(key: Sequence[str], salt: str, seed: int) -> Column:
     parts = [c(k).cast("string") for k in key]

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gapwise.functions.draws import hash_normal
+from gapwise.functions.draws import GOLDEN, hash_normal, mixed, scramble
 from gapwise.functions.missing import Profile, c, dbl, runs_name
 from gapwise.operators.chained import fill_order
 from gapwise.operators.incomplete import ROW, fill_name, join_fills, split_rows
@@ -113,24 +113,11 @@ def _single_column(df: DataFrame, key: Sequence[str], cols: Sequence[str], gaps:
         name, F.coalesce(dbl(name), F.get(c(runs_name(name)), F.lit(0))))
 
 
-# Multiplier and shifts of the SplitMix64 finaliser (Steele, Lea and Flood 2014).
-_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-_MIX1 = np.uint64(0xBF58476D1CE4E5B9)
-_MIX2 = np.uint64(0x94D049BB133111EB)
-
-
-def _scramble(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _MIX1
-    x = (x ^ (x >> np.uint64(27))) * _MIX2
-    return x ^ (x >> np.uint64(31))
-
-
 def cell_normals(row_hash: np.ndarray, column: int, turn: int, run_seed: int) -> np.ndarray:
     """Standard normals that depend only on (row key, column, round, run seed)."""
+    first = scramble(row_hash, run_seed, turn * 65_536 + column)
     with np.errstate(over="ignore"):
-        salt = _scramble(np.array([run_seed % 2**63], dtype=np.uint64) * _GOLDEN + np.uint64(turn * 65_536 + column + 1))
-        first = _scramble(row_hash.astype(np.int64).view(np.uint64) + salt * _GOLDEN)
-        second = _scramble(first + _GOLDEN)
+        second = mixed(first + GOLDEN)
     u1 = ((first >> np.uint64(11)).astype(float) + 0.5) / 2.0**53
     u2 = (second >> np.uint64(11)).astype(float) / 2.0**53
     return np.sqrt(-2.0 * np.log(u1)) * np.cos(2 * np.pi * u2)
