@@ -114,7 +114,7 @@ class PatternStats:
         return total
 
 
-def _matrix(row, p: int) -> np.ndarray:
+def matrix_of(row, p: int) -> np.ndarray:
     q = np.zeros((p + 1, p + 1))
     q[0, 0] = row["n"]
     for i in range(p):
@@ -188,4 +188,4 @@ def pattern_stats(df: DataFrame, cols: Sequence[str], seen: Profile, max_pattern
     for k, r in enumerate(rows):
         for g, ch in zip(gaps, r["pattern"]):
             masks[k, cols.index(g)] = ch == "1"
-    return PatternStats(cols, shift, seen.rows, masks, np.stack([_matrix(r, p) for r in rows]))
+    return PatternStats(cols, shift, seen.rows, masks, np.stack([matrix_of(r, p) for r in rows]))

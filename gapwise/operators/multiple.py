@@ -7,16 +7,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gapwise.functions.draws import GOLDEN, hash_normal, mixed, scramble
-from gapwise.functions.missing import Profile, c, dbl, runs_name
+from gapwise.functions.missing import Profile, all_present, any_missing, c, dbl, runs_name
 from gapwise.operators.chained import fill_order
-from gapwise.operators.incomplete import ROW, fill_name, join_fills, split_rows
 from gapwise.operators.linear import LinearFit, bayesian_ridge
-from gapwise.operators.moments import pattern_stats, sum_arrays
-from gapwise.session import write_stage
+from gapwise.operators.moments import WIDE, matrix_of, pattern_stats, pattern_sums, sum_arrays
+from gapwise.session import StagedTable, stage, write_stage
 
 
 @dataclass
@@ -142,73 +143,122 @@ def _advance(values: np.ndarray, miss: np.ndarray, row_hash: np.ndarray, steps:
             left = z - fit.centre
             left[:, 0] = 0.0
             left[:, step.at + 1] = 0.0
-            sd = np.sqrt(fit.noise_var + np.einsum("ij,jk,ik->i", left, fit.coef_cov, left))
+            sd = np.sqrt(fit.noise_var + np.einsum("ij,ij->i", left @ fit.coef_cov, left))
             values[i, rows, step.at] = z @ fit.coef + sd * cell_normals(row_hash[rows], step.at, step.turn, seed + i)
 
 
-def _unpack(pdf: pd.DataFrame, p: int, m: int) -> tuple[np.ndarray, np.ndarray]:
-    """(values, missing) of a batch: observed numbers as they are, gaps from the fills of each run."""
-    x = pdf[[f"x{j}" for j in range(p)]].to_numpy(dtype=float)
+def _unpack(batch: pa.RecordBatch, p: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(values, missing, row hashes) of a batch with h, x0.. and, once a round is written, f0..: observed numbers as they
+    are, gaps from the fills of each run, or 0 before the first round."""
+    own = lambda n: batch.column(n).to_numpy(zero_copy_only=False)
+    x = np.stack([own(f"x{j}") for j in range(p)], axis=1).astype(float)
     miss = np.isnan(x)
-    fills = np.stack(pdf["fills"].to_numpy()).reshape(len(pdf), m, p)
-    return np.where(miss[None], fills.transpose(1, 0, 2), x[None]), miss
+    values = np.repeat(np.where(miss, 0.0, x)[None], m, axis=0)
+    for j in range(p):
+        if f"f{j}" in batch.schema.names:  # the m fills of a gap; every row has m numbers
+            fills = batch.column(f"f{j}").flatten().to_numpy(zero_copy_only=False).reshape(len(x), m).T
+            values[:, :, j] = np.where(miss[:, j], fills, values[:, :, j])
+    return values, miss, own("h")
+
+
+def _fills(values: np.ndarray, miss: np.ndarray, at: int, shift: float = 0.0) -> pa.Array:
+    """The m values of column ``at`` of every row; 0 where the cell is observed."""
+    return _lists(np.where(miss[:, at], values[:, :, at] + shift, 0.0).T)
+
+
+def _lists(rows: np.ndarray) -> pa.ListArray:
+    offsets = np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(rows).ravel()))
 
 
 def _chains(df: DataFrame, key: Sequence[str], cols: list[str], gaps: list[str], order: Sequence[int], seen: Profile,
             m: int, max_iter: int, seed: int) -> DataFrame:
-    """All runs advance together: one aggregate job per (round, column), one write per round.
+    """All runs advance together: one aggregate job per (round, column), one write per round but the last.
 
-    Only rows with gaps take part; the complete rows enter every fit through one fixed matrix.
+    Only rows with gaps take part; the complete rows enter every fit through one fixed matrix. The draws depend on the
+    row alone, so the result is one pass over the incomplete rows that takes all rounds again: nothing is joined.
     """
     p = len(cols)
     shift = np.array([seen.columns[n].mean for n in cols], dtype=float)
-    complete, incomplete = split_rows(df, gaps)
-    fixed = _gram(complete, cols, shift)
+    fixed = _gram(df.where(all_present(gaps)), cols, gaps, shift)
     numbers = [(dbl(n) - F.lit(float(s))).alias(f"x{j}") for j, (n, s) in enumerate(zip(cols, shift))]
     row_hash = F.xxhash64(*[c(k).cast("string") for k in key]).alias("h")
-    table = write_stage(
-        incomplete.select(c(ROW), row_hash, *numbers, F.array_repeat(F.lit(0.0), m * p).alias("fills")), "runs")
-    schema, side = table.frame.schema, p + 1
+    open_rows = stage(df.where(any_missing(gaps)).hint("rebalance"), "incomplete")
+    state: StagedTable | None = None
+    done: list[list[_Draw]] = []
+    side = p + 1
     for turn in range(max_iter):
+        frame = state.frame if state else open_rows.select(row_hash, *numbers)
         steps: list[_Draw] = []
         for at in order:
 
-            def partial(batches: Iterator[pd.DataFrame], at=at, steps=tuple(steps)) -> Iterator[pd.DataFrame]:
+            def partial(batches: Iterator[pa.RecordBatch], at=at, steps=tuple(steps)) -> Iterator[pa.RecordBatch]:
                 acc = np.zeros((m, side, side))
-                for pdf in batches:
-                    values, miss = _unpack(pdf, p, m)
-                    _advance(values, miss, pdf["h"].to_numpy(), steps, seed)
+                for batch in batches:
+                    values, miss, h = _unpack(batch, p, m)
+                    _advance(values, miss, h, steps, seed)
                     keep = ~miss[:, at]
                     for i in range(m):
                         z = np.column_stack([np.ones(int(keep.sum())), values[i, keep]])
                         acc[i] += z.T @ z
-                yield pd.DataFrame({"v": [acc.ravel()]})
+                yield pa.RecordBatch.from_arrays([_lists(acc.reshape(1, -1))], names=["v"])
 
-            moments = sum_arrays(table.frame.mapInPandas(partial, "v array<double>"), m * side * side)
+            moments = sum_arrays(frame.mapInArrow(partial, "v array<double>"), m * side * side)
             moments = moments.reshape(m, side, side) + fixed
             steps.append(_Draw(at, turn, tuple(bayesian_ridge(moments[i], at + 1) for i in range(m))))
-
-        def settle(batches: Iterator[pd.DataFrame], steps=tuple(steps)) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                values, miss = _unpack(pdf, p, m)
-                _advance(values, miss, pdf["h"].to_numpy(), steps, seed)
-                flat = np.where(miss[None], values, 0.0).transpose(1, 0, 2).reshape(len(pdf), m * p)
-                yield pdf.assign(fills=list(flat))
-
-        table, last = write_stage(table.frame.mapInPandas(settle, schema), "runs"), table
-        last.drop()
-    picks, carry = [], [runs_name(n) for n in gaps]
-    for g, name in enumerate(gaps):
-        j = cols.index(name)
-        raw = F.array(*[F.get("fills", F.lit(i * p + j)) + F.lit(float(shift[j])) for i in range(m)])
-        picks += [F.when(F.col(f"x{j}").isNull(), raw).alias(runs_name(name)),
-                  (F.get("fills", F.lit(j)) + F.lit(float(shift[j]))).alias(fill_name(g))]
-    means = {n: seen.columns[n].mean for n in gaps}
-    return join_fills(complete, incomplete, table.frame.select(c(ROW), *picks), gaps, means, carry)
-
-
-def _gram(complete: DataFrame, cols: Sequence[str], shift: np.ndarray) -> np.ndarray:
+        done.append(steps)
+        if turn == max_iter - 1:
+            break
+
+        def settle(batches: Iterator[pa.RecordBatch], steps=tuple(steps)) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                values, miss, h = _unpack(batch, p, m)
+                _advance(values, miss, h, steps, seed)
+                yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in ("h", *names)], *[_fills(values, miss, j) for j in order]],
+                                                 names=["h", *names, *[f"f{j}" for j in order]])
+
+        names = [f"x{j}" for j in range(p)]
+        shape = ", ".join(["h long", *[f"{n} double" for n in names], *[f"f{j} array<double>" for j in order]])
+        state, last = write_stage(frame.mapInArrow(settle, shape), "runs"), state
+        if last:
+            last.drop()
+    if state:
+        state.drop()
+    return _filled(df, open_rows, row_hash, numbers, cols, gaps, shift, done, m, seed)
+
+
+def _filled(df: DataFrame, open_rows: DataFrame, row_hash: Column, numbers: list[Column], cols: list[str], gaps: list[str],
+            shift: np.ndarray, rounds: list[list[_Draw]], m: int, seed: int) -> DataFrame:
+    """The complete rows as they are, and the incomplete ones with the m values of every gap."""
+    p, at = len(cols), {n: cols.index(n) for n in gaps}
+    own = [f.name for f in df.schema.fields]
+    kept = [f"o{i}" for i in range(len(own))]
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, miss, h = _unpack(batch, p, m)
+            for steps in rounds:
+                _advance(values, miss, h, steps, seed)
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in kept], *[_fills(values, miss, j, shift[j]) for j in at.values()]],
+                                             names=[*kept, *[f"r{g}" for g in range(len(gaps))]])
+
+    fields = [T.StructField(k, f.dataType) for k, f in zip(kept, df.schema.fields)]
+    runs = [T.StructField(f"r{g}", T.ArrayType(T.DoubleType())) for g in range(len(gaps))]
+    made = (open_rows.select(row_hash, *numbers, *[c(n).alias(k) for n, k in zip(own, kept)])
+            .mapInArrow(fill, T.StructType(fields + runs)))
+    value = {n: c(k) for n, k in zip(own, kept)}
+    gap = {n: F.when(value[n].isNull(), F.col(f"r{g}")) for g, n in enumerate(gaps)}
+    shown = [F.coalesce(value[n].cast("double"), F.get(gap[n], F.lit(0))).alias(n) if n in gap else value[n].alias(n) for n in own]
+    filled = made.select(*shown, *[gap[n].alias(runs_name(n)) for n in gaps])
+    whole = df.where(all_present(gaps)).withColumns({n: dbl(n) for n in gaps})
+    return whole.unionByName(filled, allowMissingColumns=True)
+
+
+def _gram(complete: DataFrame, cols: Sequence[str], gaps: Sequence[str], shift: np.ndarray) -> np.ndarray:
     side = len(cols) + 1
+    if len(cols) <= WIDE:  # one pattern, and its sums need no Python
+        found = pattern_sums(complete, cols, gaps, shift).collect()
+        return sum((matrix_of(r, len(cols)) for r in found), np.zeros((side, side)))
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         acc = np.zeros((side, side))
