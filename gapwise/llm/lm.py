@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapwise.llm.common import as_bytes, bounded_sample, crc_mod, map_slices, table, words_of
+from gapwise.llm.common import as_bytes, crc_mod, map_slices, table, words_of
 from gapwise.session import write_stage
 
 #: The end of a text as a token; no word is empty.
@@ -21,9 +21,11 @@ END = b""
 SINGLE, CLASSES = 190, 64
 OUTPUTS = SINGLE + CLASSES
 START = OUTPUTS
-#: Bounds of the network's training sample; the counts come from all training texts.
-SAMPLE_DOCS, SAMPLE_TOKENS = 1500, 250_000
-DIM, NOISE, BATCH, PASSES, RATE = 24, 10, 1024, 3, 0.02
+#: The weights of the network, in the order of a gradient.
+WEIGHTS = ("read", "near", "far", "write", "bias")
+DIM, NOISE, STEPS, RATE = 24, 10, 40, 0.1
+#: Contexts whose outputs are figured at once.
+BLOCK = 4096
 #: A token with at least one in FREQUENT of all training tokens is looked up inside the tasks. There are at
 #: most FREQUENT of them; the rest is joined.
 FREQUENT = 1_000_000
@@ -66,35 +68,52 @@ class LogBilinear:
         self.write = rng.normal(0, 0.1, (OUTPUTS, DIM))
         self.bias = np.zeros(OUTPUTS)
 
-    def train(self, ids: np.ndarray, one: np.ndarray, two: np.ndarray, seed: int = 11) -> None:
-        """Noise-contrastive estimation: each token against NOISE draws from the unigram distribution (Adagrad)."""
-        rng = np.random.default_rng(seed)
-        unigram = np.bincount(ids, minlength=OUTPUTS) + 1.0
-        unigram /= unigram.sum()
-        log_noise = np.log(NOISE * unigram)
-        self.bias = np.log(unigram)
-        square = {k: np.full_like(getattr(self, k), 1e-3) for k in ("read", "near", "far", "write", "bias")}
-        for _ in range(PASSES):
-            order = rng.permutation(len(ids))
-            for start in range(0, len(order), BATCH):
-                at = order[start:start + BATCH]
-                a, b = one[at], two[at]
-                query = self.read[a] @ self.near + self.read[b] @ self.far
-                tokens = np.concatenate([ids[at][:, None], rng.choice(OUTPUTS, (len(at), NOISE), p=unigram)], axis=1)
-                score = np.einsum("bd,bkd->bk", query, self.write[tokens]) + self.bias[tokens] - log_noise[tokens]
-                gap = -1 / (1 + np.exp(-score))
-                gap[:, 0] += 1
-                gap /= len(at)
-                to_query = np.einsum("bk,bkd->bd", gap, self.write[tokens])
-                up = {k: np.zeros_like(getattr(self, k)) for k in square}
-                np.add.at(up["write"], tokens, gap[:, :, None] * query[:, None, :])
-                np.add.at(up["bias"], tokens, gap)
-                np.add.at(up["read"], a, to_query @ self.near.T)
-                np.add.at(up["read"], b, to_query @ self.far.T)
-                up["near"], up["far"] = self.read[a].T @ to_query, self.read[b].T @ to_query
-                for k, g in up.items():
-                    square[k] += g * g
-                    setattr(self, k, getattr(self, k) + RATE * g / np.sqrt(square[k]))
+    def start(self, unigram: np.ndarray) -> None:
+        """Noise and first biases from the counts of all outputs; a fresh Adagrad state."""
+        self.noise = (unigram + 1.0) / (unigram + 1.0).sum()
+        self.bias = np.log(self.noise)
+        self.square = np.full(sum(getattr(self, k).size for k in WEIGHTS), 1e-12)  # far below any mean gradient
+
+    def gradient(self, context: np.ndarray, word: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Noise-contrastive estimation over counted tokens: the sum of all their gradients, as one array.
+
+        Each token stands against NOISE draws from the unigram distribution, taken by their expectation, so nothing is
+        drawn. Counts of one context may be split over calls: the sum is the same.
+        """
+        up = {k: np.zeros_like(getattr(self, k)) for k in WEIGHTS}
+        log_noise = np.log(NOISE * self.noise)
+        seen, at = np.unique(context, return_inverse=True)
+        order = np.argsort(at, kind="stable")
+        for low in range(0, len(seen), BLOCK):
+            rows = order[np.searchsorted(at[order], low):np.searchsorted(at[order], low + BLOCK)]
+            two, one = np.divmod(seen[low:low + BLOCK], OUTPUTS + 1)
+            count = np.bincount((at[rows] - low) * OUTPUTS + word[rows], n[rows], len(one) * OUTPUTS).reshape(-1, OUTPUTS)
+            query = self.read[one] @ self.near + self.read[two] @ self.far
+            score = query @ self.write.T + self.bias - log_noise
+            gap = count - (count + NOISE * count.sum(axis=1, keepdims=True) * self.noise) / (1 + np.exp(-score))
+            to_query = gap @ self.write
+            up["write"] += gap.T @ query
+            up["bias"] += gap.sum(axis=0)
+            np.add.at(up["read"], one, to_query @ self.near.T)
+            np.add.at(up["read"], two, to_query @ self.far.T)
+            up["near"] += self.read[one].T @ to_query
+            up["far"] += self.read[two].T @ to_query
+        return np.concatenate([up[k].ravel() for k in WEIGHTS])
+
+    def step(self, gradient: np.ndarray) -> None:
+        """One Adagrad step on the mean gradient of a token."""
+        self.square += gradient * gradient
+        move, at = RATE * gradient / np.sqrt(self.square), 0
+        for k in WEIGHTS:
+            own = getattr(self, k)
+            setattr(self, k, own + move[at:at + own.size].reshape(own.shape))
+            at += own.size
+
+    def train(self, ids: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
+        """The same steps as ``learn``, on tokens at hand."""
+        self.start(np.bincount(ids, minlength=OUTPUTS))
+        for _ in range(STEPS):
+            self.step(self.gradient(two * (OUTPUTS + 1) + one, ids, np.ones(len(ids))) / len(ids))
 
     def table(self) -> np.ndarray:
         """log10 probabilities [two before, one before, output], normalised, by one matrix product per row of contexts."""
@@ -107,19 +126,58 @@ class LogBilinear:
         return out
 
 
-def learn(sample: list[bytes], single: dict[bytes, int]) -> LogBilinear:
+def context_counts(training: DataFrame, single: dict[bytes, int], text: str = "text") -> DataFrame:
+    """(context, word, n): how often an output follows two others, over all tokens of all rows.
+
+    At most (OUTPUTS + 1)^2 * OUTPUTS rows, however many texts there are.
+    """
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            code, n = np.unique(np.concatenate([np.empty(0, dtype=np.int64), *held]), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(code // OUTPUTS), pa.array((code % OUTPUTS).astype(np.int32)), pa.array(n.astype(np.int64))],
+                                              names=["context", "word", "n"])
+
+        rows = 0
+        for batch in batches:
+            for raw in as_bytes(batch.column(0)):
+                words = [*words_of(raw.lower()), END]
+                ids = np.array([i if i >= 0 else word_class(w) for w, i in zip(words, (single.get(w, -1) for w in words))], dtype=np.int64)
+                one = np.r_[START, ids[:-1]]
+                held.append((np.r_[START, one[:-1]] * (OUTPUTS + 1) + one) * OUTPUTS + ids)
+                rows += len(ids)
+                if rows > FLUSH:
+                    yield flush()
+                    rows = 0
+        yield flush()
+
+    parts = training.select(F.col(f"`{text}`")).mapInArrow(count, "context long, word int, n long")
+    return parts.groupBy("context", "word").agg(F.sum("n").alias("n"))
+
+
+def learn(training: DataFrame, single: dict[bytes, int], text: str = "text") -> LogBilinear:
+    """The network of all training tokens: every step is one job over their counts; the driver holds the weights only."""
     model = LogBilinear()
-    ids, one, two = [], [], []
-    for raw in sample:
-        own = [single.get(w, -1) for w in (*words_of(raw.lower()), END)]
-        own = [word_class(w) if i < 0 else i for i, w in zip(own, (*words_of(raw.lower()), END))]
-        ids += own
-        one += [START, *own[:-1]]
-        two += [START, START, *own[:-2]][:len(own)]
-        if len(ids) > SAMPLE_TOKENS:
-            break
-    if ids:
-        model.train(np.array(ids), np.array(one), np.array(two))
+    counted = write_stage(context_counts(training, single, text).repartition("context").sortWithinPartitions("context"), "contexts")
+    unigram = np.zeros(OUTPUTS)
+    for r in counted.frame.groupBy("word").agg(F.sum("n").alias("n")).collect():
+        unigram[r["word"]] = r["n"]
+    total = unigram.sum()
+    if total:
+        model.start(unigram)
+    for _ in range(STEPS if total else 0):
+
+        def part(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
+            found = [[b.column(i).to_numpy() for i in range(3)] for b in batches]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([model.gradient(*map(np.concatenate, zip(*found)))], pa.list_(pa.float64()))], names=["v"])
+
+        sums = counted.frame.mapInArrow(part, "v array<double>").select(F.posexplode("v").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"))
+        gradient = sums.orderBy("i").toPandas()["v"].to_numpy(dtype=float)
+        model.step(gradient / total)
+    counted.drop()
     return model
 
 
@@ -145,7 +203,7 @@ def score(docs: DataFrame, training: DataFrame, keep: list[str], text: str = "te
     mass = np.ones(CLASSES)  # N_class + V_class + 1
     for r in rest.groupBy((F.crc32("word") % CLASSES).alias("k")).agg((F.sum("n") + F.count("*")).alias("m")).collect():
         mass[r["k"]] += r["m"]
-    model = learn([t.encode() for t in bounded_sample(training.select(text), SAMPLE_DOCS, text)], single)
+    model = learn(training, single, text)
     whole = float(np.log10(total + distinct + 1))
     shared = spark.sparkContext.broadcast((model, frequent, single, np.log10(mass)))
     stamp = zlib.crc32(repr((total, distinct, len(frequent), top[:5], mass.tolist(), model.bias.tolist())).encode())

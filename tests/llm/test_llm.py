@@ -423,6 +423,27 @@ def test_network_learns_and_is_normalised():
     assert table[ids[:-2], ids[1:-1], ids[2:]].mean() > unigram[ids[2:]].mean() + 0.2
 
 
+def test_network_learns_from_every_training_text(spark):
+    texts = ["a b c"] * 3 + [" ".join(f"w{i % 7}" for i in range(at, at + 9)) for at in range(2500)] + [None, "", "A"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    single = {b"a": 0, b"b": 1, lm.END: 2}
+    got = {(r["context"], r["word"]): r["n"] for r in lm.context_counts(docs.repartition(3), single).collect()}
+    want = Counter()
+    for t in texts:
+        ids = [single.get(w, -1) if w in single else lm.word_class(w) for w in [*(t or "").lower().encode().split(), lm.END]]
+        past = [lm.START, lm.START, *ids]
+        want.update(((past[i] * (lm.OUTPUTS + 1) + past[i + 1]), w) for i, w in enumerate(ids))
+    assert got == want
+    flat = [(c, w, n) for (c, w), n in want.items()]
+    model = lm.LogBilinear()
+    model.start(np.bincount([w for _, w, _ in flat], [n for *_, n in flat], lm.OUTPUTS))
+    columns = [np.array(v) for v in zip(*flat)]
+    for _ in range(lm.STEPS):
+        model.step(model.gradient(*columns) / sum(want.values()))
+    learned = lm.learn(docs, single)
+    assert all(np.allclose(getattr(model, k), getattr(learned, k)) for k in lm.WEIGHTS)
+
+
 # ------------------------------------------------------------------ 10, pages
 
 def test_blocks_of_broken_markup():
