@@ -17,6 +17,7 @@ import string
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -227,8 +228,9 @@ def tokenize(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabular
         coder = automaton(content.value)
         coded = [coder.encode(t) for t in as_bytes(batch.column(1))]
         if output == "ids":
-            return {key: batch.column(0), "ids": [memoryview(i).cast("I").tolist() if i else [] for i, _ in coded],
-                    "decoded": [d for _, d in coded]}
+            ends = np.cumsum([0, *(len(i) // 4 for i, _ in coded)], dtype=np.int32)
+            ids = np.frombuffer(b"".join([i for i, _ in coded]), dtype="<i4")  # no Python number per id
+            return {key: batch.column(0), "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)), "decoded": [d for _, d in coded]}
         return {key: batch.column(0), "n_tokens": [len(i) // 4 for i, _ in coded],
                 "ids_sha256": [hashlib.sha256(i).hexdigest() for i, _ in coded],
                 "decoded_sha256": [hashlib.sha256(d.encode()).hexdigest() for _, d in coded]}
