@@ -188,12 +188,59 @@ def squared_distances(a: np.ndarray, b: np.ndarray, p: int) -> np.ndarray:
         return np.where(common > 0, total * (p / common), np.inf)
 
 
+@dataclass(frozen=True)
+class _Donors:
+    """Donors in the order of their blocks, as queries of one pattern see them: no coordinate of theirs but the common ones."""
+    at: np.ndarray       # positions in the table they came from
+    x: list[np.ndarray]  # per coordinate that the queries have, gaps as 0
+    has: list[np.ndarray | None]  # where the donors have it; None: all have it
+    scale: np.ndarray    # p / common coordinates
+
+    @staticmethod
+    def of(donors: np.ndarray, order: np.ndarray, present: np.ndarray, p: int) -> _Donors:
+        seen = donors[np.ix_(order, np.flatnonzero(present))]
+        have = ~np.isnan(seen)
+        common = have.sum(axis=1)
+        z = np.nan_to_num(seen)
+        return _Donors(order, [np.ascontiguousarray(z[:, j]) for j in range(z.shape[1])],
+                       [None if have[:, j].all() else have[:, j].astype(float) for j in range(z.shape[1])],
+                       p / np.maximum(common, 1))
+
+    def distances(self, q: np.ndarray, of: np.ndarray) -> np.ndarray:
+        total = np.zeros((len(q), len(of)))
+        for j, (x, has) in enumerate(zip(self.x, self.has)):
+            diff = q[:, j, None] - x[of]
+            diff *= diff
+            if has is not None:
+                diff *= has[of]
+            total += diff
+        total *= self.scale[of]
+        return total
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its size says."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1]) + np.repeat(start - (ends - size), size)
+
+
+def _best(row: np.ndarray, at: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each row by (rounded distance, position), and their rank."""
+    order = np.lexsort((at, np.round(d, DECIMALS), row))
+    row = row[order]
+    first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else row
+    rank = np.arange(len(row)) - np.repeat(first, np.diff(np.r_[first, len(row)]))
+    keep = rank < k
+    return row[keep], at[order][keep], d[order][keep], rank[keep]
+
+
 def nearest(queries: np.ndarray, donors: np.ndarray, k: int, p: int, bound: np.ndarray | None = None,
-            block: int = 128) -> tuple[np.ndarray, np.ndarray]:
+            block: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """The k nearest donors of each query, ordered by (rounded distance, donor position).
 
     Returns (positions, squared distances), with position -1 where there are fewer than k. With a
-    ``bound`` per query, donors beyond it need not be reported.
+    ``bound`` per query, donors beyond it need not be reported. Blocks of queries meet blocks of donors from the
+    nearest on; only distances within what is known of the k-th are kept and sorted.
     """
     best_at = np.full((len(queries), k), -1, dtype=np.int64)
     best_d = np.full((len(queries), k), np.inf)
@@ -202,35 +249,39 @@ def nearest(queries: np.ndarray, donors: np.ndarray, k: int, p: int, bound: np.n
     if bound is None:
         bound = np.full(len(queries), np.inf)
     bound = bound * (1 + SLACK) + SLACK
-    blocks = _blocks(donors, block)
+    slack = 2 * 10.0**-DECIMALS  # distances that round alike are no further apart
+    blocks = _blocks(donors, block // 2)
     boxes = _box_table(donors, blocks)
+    size = boxes.count
+    start, in_order, views = np.cumsum(size) - size, np.concatenate(blocks), {}
     for rows in _blocks(queries, block):
-        q = queries[rows]
-        have = ~np.isnan(q[:1])
-        lower = box_bounds(q.min(axis=0)[None], q.max(axis=0)[None], have, boxes, p)[0][0]
-        order = np.argsort(lower, kind="stable")
-        order = order[np.isfinite(lower[order])]
-        at = np.zeros((len(rows), 0), dtype=np.int64)
-        dist = np.zeros((len(rows), 0))
-        done, take = 0, max(1, -(-k // block))
-        while done < len(order):
-            limit = bound[rows]
-            if dist.shape[1] == k:
-                limit = np.minimum(limit, np.round(dist[:, -1], DECIMALS))
-            limit = limit.max()
-            batch = [i for i in order[done : done + take] if lower[i] <= limit]
-            if not batch:
-                break
-            found = np.concatenate([blocks[i] for i in batch])
-            d = squared_distances(q, donors[found], p)
-            useful = (np.round(d, DECIMALS) <= limit).any(axis=0)
-            found, d = found[useful], d[:, useful]
-            at = np.hstack([at, np.broadcast_to(found, (len(rows), len(found)))])
-            dist = np.hstack([dist, d])
-            best = np.lexsort((at, np.round(dist, DECIMALS)), axis=1)[:, :k]
-            at, dist = np.take_along_axis(at, best, axis=1), np.take_along_axis(dist, best, axis=1)
-            done += len(order[done : done + take])
-            take = min(take * 2, 16)
-        best_at[rows, : at.shape[1]] = np.where(np.isfinite(dist) & (dist <= bound[rows][:, None]), at, -1)
-        best_d[rows, : dist.shape[1]] = dist
+        present = ~np.isnan(queries[rows[0]])
+        if present.tobytes() not in views:
+            views[present.tobytes()] = _Donors.of(donors, in_order, present, p)
+        view, q = views[present.tobytes()], queries[rows][:, present]
+        lower = box_bounds(queries[rows].min(axis=0)[None], queries[rows].max(axis=0)[None], present[None], boxes, p)[0][0]
+        limit = bound[rows]
+        near = np.flatnonzero(np.isfinite(lower) & (lower <= limit.max()))
+        near = near[np.argsort(lower[near], kind="stable")]
+        row = at = rank = np.zeros(0, dtype=np.int64)
+        dist = np.zeros(0)
+        done, want = 0, max(2 * k, block)
+        while done < len(near) and lower[near[done]] <= limit.max():
+            take = near[done : done + max(1, int(np.searchsorted(np.cumsum(size[near[done:]]), want)))]
+            take = take[lower[take] <= limit.max()]
+            of = _ranges(start[take], size[take])
+            for s in range(0, len(of), max(1, 1_000_000 // len(rows))):
+                part = of[s : s + max(1, 1_000_000 // len(rows))]
+                d = view.distances(q, part)
+                if len(part) > k:
+                    limit = np.minimum(limit, np.partition(d, k - 1, axis=1)[:, k - 1] * (1 + SLACK) + slack)
+                i, j = np.nonzero(d <= limit[:, None])
+                row, at, dist, rank = _best(np.r_[row, i], np.r_[at, view.at[part[j]]], np.r_[dist, d[i, j]], k)
+                full = rank == k - 1
+                limit[row[full]] = np.minimum(limit[row[full]], dist[full] * (1 + SLACK) + slack)
+            done += len(take)
+            want *= 2
+        fits = dist <= bound[rows[row]]
+        best_at[rows[row[fits]], rank[fits]] = at[fits]
+        best_d[rows[row], rank] = dist
     return best_at, best_d

@@ -244,9 +244,35 @@ def neighbour_mean(chosen: DataFrame, weights: str) -> DataFrame:
     return chosen.groupBy("row").agg(value.alias("fill"))
 
 
+def vectors(receivers: DataFrame, p: int) -> DataFrame:
+    """(row, n, x0..): receivers of one vector have the same neighbours, so the smallest row stands for all ``n`` of them."""
+    return receivers.groupBy(*_x(p)).agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("n")).select("row", "n", *_x(p))
+
+
+def hand_out(receivers: DataFrame, filled: DataFrame, p: int, task_rows: int | None = None) -> DataFrame:
+    """(row, fill) of every receiver whose vector is in ``filled`` (x0.., n, fill).
+
+    Vectors that more than a task's worth of receivers share are few, so they are sent to the receivers where these are.
+    """
+    x, many = _x(p), F.col("n") > F.lit(task_rows or TASK_ROWS)
+    same = [F.col(n).eqNullSafe(F.col(f"of_{n}")) for n in x]
+
+    def known(part: DataFrame) -> DataFrame:
+        return part.select(*[F.col(n).alias(f"of_{n}") for n in x], "fill")
+
+    hot = filled.where(many)
+    if hot.isEmpty():
+        return receivers.join(known(filled), same).select("row", "fill")
+    cold = receivers.join(F.broadcast(known(hot)), same, "left_anti").join(known(filled.where(~many)), same)
+    return receivers.join(F.broadcast(known(hot)), same).select("row", "fill").unionByName(cold.select("row", "fill"))
+
+
 def impute_knn(df: DataFrame, key: Sequence[str], cols: Sequence[str], seen: Profile, n_neighbors: int = 5,
                weights: str = "uniform", scale: bool = True) -> DataFrame:
-    """Each gap gets the mean of its nearest donors; without a common coordinate, the column mean."""
+    """Each gap gets the mean of its nearest donors; without a common coordinate, the column mean.
+
+    A vector that several receivers share is searched for once.
+    """
     cols, key = list(cols), list(key)
     gaps = seen.with_gaps(cols)
     if not gaps:
@@ -263,11 +289,13 @@ def impute_knn(df: DataFrame, key: Sequence[str], cols: Sequence[str], seen: Pro
         donors = df.where(c(target).isNotNull()).select(
             *vector, dbl(target).alias("v"), *[c(n).alias(a) for n, a in zip(key, keys)])
         receivers = incomplete.where(c(target).isNull()).select(c(ROW).alias("row"), *vector)
-        held: list[StagedTable] = []
-        chosen = nearest_donors(receivers, seen.columns[target].missing, donors, len(others), keys, n_neighbors,
-                                len(cols), held)
+        asked = write_stage(vectors(receivers, len(others)), "vectors")
+        held: list[StagedTable] = [asked]
+        chosen = nearest_donors(asked.frame.drop("n"), asked.frame.count(), donors, len(others), keys, n_neighbors, len(cols), held)
+        held.append(write_stage(neighbour_mean(chosen, weights), "means"))
+        filled = held[-1].frame.join(asked.frame, "row")
         # written once: every use of the filled table reads the fills instead of searching again
-        part = stage(neighbour_mean(chosen, weights).select(F.col("row").alias(ROW), F.lit(i).alias("i"), "fill"), "neighbours")
+        part = stage(hand_out(receivers, filled, len(others)).select(F.col("row").alias(ROW), F.lit(i).alias("i"), "fill"), "neighbours")
         for copy in held:
             copy.drop()
         fills = part if fills is None else fills.unionByName(part)

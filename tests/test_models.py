@@ -9,7 +9,7 @@ from tests.helpers import collect, to_spark
 from gapwise import impute
 from gapwise.functions.missing import profile
 from gapwise.operators import knn
-from gapwise.operators.cells import squared_distances
+from gapwise.operators.cells import nearest, squared_distances
 from gapwise.operators.chained import fit_chained
 from gapwise.operators.em import fit_em
 from gapwise.operators.linear import bayesian_ridge, least_squares
@@ -208,6 +208,43 @@ def test_knn_equals_brute_force(spark, monkeypatch, decimals, share, weights, sc
     assert np.allclose(collect(out)[cols], brute_knn(pdf, cols, 4, weights, scale), atol=1e-9)
 
 
+@pytest.mark.parametrize("task_rows", [200_000, 20])
+def test_receivers_of_one_vector_are_searched_for_once(spark, monkeypatch, task_rows):
+    """Also where a vector has more receivers than a task takes, and where it has gaps."""
+    monkeypatch.setattr(knn, "TASK_ROWS", task_rows)
+    searched, search = [], knn.nearest_donors
+
+    def counted(receivers, count, *rest):
+        searched.append((receivers.count(), count))
+        return search(receivers, count, *rest)
+
+    monkeypatch.setattr(knn, "nearest_donors", counted)
+    pdf = gappy(300, 3, 0.25, seed=3, decimals=0)
+    pdf.loc[100:220, ["c0", "c1"]] = [1.0, np.nan]
+    cols = ["c0", "c1", "c2"]
+    out = impute(to_spark(spark, pdf), "knn", {"n_neighbors": 3}, key="id").frame
+    assert np.allclose(collect(out)[cols], brute_knn(pdf, cols, 3, "uniform", True), atol=1e-9)
+    want = [len(pdf[pdf[t].isna()].drop_duplicates([c for c in cols if c != t])) for t in cols]
+    assert searched == [(n, n) for n in want] and sum(want) < pdf[cols].isna().sum().sum() - 100
+
+
+@pytest.mark.parametrize("seed,decimals", [(1, None), (2, 0), (3, 1)])
+def test_nearest_equals_all_distances(seed, decimals):
+    rng = np.random.default_rng(seed)
+    x = [rng.normal(size=(n, 3)) if decimals is None else rng.normal(size=(n, 3)).round(decimals) for n in (700, 900)]
+    for part in x:
+        part[rng.random(part.shape) < 0.2] = np.nan
+    d = squared_distances(*x, 4)
+    reach = np.sort(d, axis=1)[:, 6]  # a bound beyond the fifth
+    for bound in (None, reach):
+        at, d2 = nearest(*x, 5, 4, bound)
+        for i in range(len(d)):
+            order = np.lexsort((np.arange(d.shape[1]), np.round(d[i], 9)))[:5]
+            order = order[np.isfinite(d[i, order])]
+            assert at[i, : len(order)].tolist() == order.tolist() and (at[i, len(order):] == -1).all()
+            assert np.array_equal(d2[i, : len(order)], d[i, order])
+
+
 def crowd(spark, n, spot):
     """One cell with ``n`` donors and ``n`` visitors; a third of both lies in a small spot."""
     rng = np.random.default_rng(n)
