@@ -24,7 +24,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a five-word similarity of 0.8 stays, the one with the smallest doc_id."""
+    """One document of each group linked by a five-word similarity of 0.8 stays, the one with the smallest doc_id.
+
+    SimHash fingerprints and their deletion variants link first, a join of the shingle sets' sketches finds what they miss.
+    """
     return overlap.keep_one(docs)
 
 

@@ -432,17 +432,26 @@ def _verified(pairs: DataFrame, source: DataFrame, percent: int, size: int) -> D
     return good
 
 
-def links(signed: DataFrame, source: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
+def links(signed: DataFrame, source: DataFrame, percent: int = PERCENT, size: int = SHINGLE, known: DataFrame | None = None) -> DataFrame:
     """Links (a, b) between the ids of (id, __text) that connect exactly what chains of similar texts connect.
 
+    ``known`` are verified links (a, b) from elsewhere; only candidates in different components of these are compared.
     Each text is first compared with its smallest candidate. Most groups are connected by that; of the other candidates
     and of the crowded buckets only what is still in different components is compared then.
     """
     sketches = signed.where("length(sketch) > 0").select("id", "n", "sketch")
     met = write_stage(_meet(_rows(signed), percent), "met")
-    pairs = _close(met.frame.where("other IS NOT NULL").select("id", "other"), sketches, percent)
-    labels = components(_verified(pairs.groupBy("other").agg(F.min("id").alias("id")), source, percent, size))
     joined = lambda: labels.where("node != label").select(F.col("node").alias("a"), F.col("label").alias("b"))
+    label = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
+    apart = lambda pairs: pairs.join(label("id"), "id", "left").join(label("other"), "other", "left").where(
+        F.coalesce("id_label", "id") != F.coalesce("other_label", "other")).select("id", "other")
+    pairs = met.frame.where("other IS NOT NULL").select("id", "other")
+    if known is not None:
+        labels = components(known)
+        pairs = apart(pairs)
+    pairs = _close(pairs, sketches, percent)
+    found = _verified(pairs.groupBy("other").agg(F.min("id").alias("id")), source, percent, size)
+    labels = components(found if known is None else joined().unionByName(found))
     crowd = met.frame.where("other IS NULL").drop("other")
     crowded = not crowd.isEmpty()
     for _ in range(NEAREST_ROUNDS if crowded else 0):  # connects most of a large group with a few pairs a text
@@ -450,24 +459,27 @@ def links(signed: DataFrame, source: DataFrame, percent: int = PERCENT, size: in
         if found.isEmpty():
             break
         labels = components(joined().unionByName(found))
-    label = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
-    apart = pairs.join(label("id"), "id", "left").join(label("other"), "other", "left").where(
-        F.coalesce("id_label", "id") != F.coalesce("other_label", "other")).select("id", "other")
+    left = apart(pairs)
     if crowded:
-        apart = apart.unionByName(_apart(crowd, labels, sketches, percent, False))
-    rest = _verified(apart, source, percent, size)
+        left = left.unionByName(_apart(crowd, labels, sketches, percent, False))
+    rest = _verified(left, source, percent, size)
     met.drop()
     return joined().unionByName(rest)
 
 
-def text_links(source: DataFrame, rows: int, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
+def text_links(source: DataFrame, rows: int, percent: int = PERCENT, size: int = SHINGLE, known: DataFrame | None = None) -> DataFrame:
     """Links (a, b) between the ids of about ``rows`` rows (id, __text); rows of one id hold the same text, or none has a word."""
     signed = write_stage(_signed(source.select(F.lit(0).alias("__key"), "id", "__text"), _common(source, rows, percent, size), percent, size), "signed")
-    found = links(signed.frame, source, percent, size)
+    found = links(signed.frame, source, percent, size, known)
     signed.drop()
     return found
 
 
+def verified(pairs: DataFrame, source: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
+    """(a, b) of the pairs (a, b) of ids of (id, __text) whose shingle sets are similar."""
+    return _verified(pairs.select(F.least("a", "b").alias("id"), F.greatest("a", "b").alias("other")), source, percent, size)
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """(key, n_shingles, component_id) for every row; links are Jaccard similarities of ``percent`` hundredths or more.
 

@@ -38,14 +38,14 @@ def fingerprint(words: list[bytes], size: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > len(shingles), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """``keep`` columns and ``fingerprint`` (long, the 64 bits) of every row. Null text has no words."""
+def fingerprints(docs: DataFrame, keep: list[str], text: str = "text", size: int = SHINGLE) -> DataFrame:
+    """``keep`` columns and ``fingerprint`` (long, the 64 bits, of shingles of ``size`` words) of every row. Null text has no words."""
     fields = [f for f in docs.schema.fields if f.name in keep]
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
 
     def work(batch: pa.RecordBatch) -> dict:
         out = {f.name: batch.column(f.name) for f in fields}
-        prints = [fingerprint(words_of(t.lower())) for t in as_bytes(batch.column("__text"))]
+        prints = [fingerprint(words_of(t.lower()), size) for t in as_bytes(batch.column("__text"))]
         return out | {"fingerprint": pa.array(np.array(prints, dtype=np.uint64).view(np.int64))}
 
     source = docs.select(*[F.col(f"`{f.name}`") for f in fields], F.col(text).alias("__text"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from gapwise.llm import bpe, decontaminate, html, jaccard, langid, lm, pii, quality, sharding, simhash, suffix
+from gapwise.llm import bpe, decontaminate, html, jaccard, langid, lm, overlap, pii, quality, sharding, simhash, suffix
 
 WORD = re.compile("[^\\x20\\x09-\\x0D]+")
 
@@ -131,6 +131,23 @@ def test_pipeline_dedup_equals_brute_force(spark, documents, sf, crowded, monkey
     assert kept.columns == docs.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == want
 
 
+def test_pipeline_dedup_links_by_simhash_variants(spark, documents, monkeypatch):
+    """The stage takes its first links from the SimHash operator: similar texts within its radius, and no others."""
+    words = [f"w{i}" for i in range(900)]
+    made = [(700000 + i, " ".join(words[:at] + [f"n{i}"] + words[at + 1:]), "en", "x", 1, "mine") for i, at in enumerate((0, 899, 300, 600))]
+    docs = spark.createDataFrame(made, documents.schema)
+    prints = [simhash.fingerprint(r[1].encode().split(), overlap.SHINGLE) for r in made]
+    assert any(0 < (a ^ b).bit_count() <= simhash.RADIUS for a in prints for b in prints)
+    label = list(range(len(prints)))
+    for i, a in enumerate(prints):
+        for j, b in enumerate(prints):
+            if (a ^ b).bit_count() <= simhash.RADIUS:
+                label = [min(label[i], label[j]) if v in (label[i], label[j]) else v for v in label]
+    monkeypatch.setattr(jaccard, "text_links", lambda source, rows, percent, size, known: known)  # what SimHash alone links
+    kept = corpus_pipeline.near_dedup(spark, docs, "")
+    assert kept.count() == len(set(label)) < len(made)
+
+
 # ------------------------------------------------------------------ 2, benchmark decontamination
 
 def shingle_counts(words):
