@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapwise.llm.common import as_bytes, map_slices, table
+from gapwise.llm.common import as_bytes, held, map_slices, table
 
 #: Words, and settled arcs, that a worker remembers; when full they become the older half, which is dropped next.
 WORD_CACHE = 300_000
@@ -83,8 +83,8 @@ class Automaton:
         self.packed = [t.to_bytes(4, "little") for t in range(self.states)]
         self.arcs: dict[int, bool] = {}
         self.older_arcs: dict[int, bool] = {}
-        self.known: dict[bytes, tuple[bytes, str]] = {}
-        self.older: dict[bytes, tuple[bytes, str]] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def settle(self, state: int, token: int) -> bool:
         """Whether ``token`` may follow ``state`` once all gadgets are in place; written to the transition table."""
@@ -157,9 +157,9 @@ class Automaton:
                 row = out[-1] * states if out else BASE
         return out
 
-    def word(self, piece: bytes) -> tuple[bytes, str]:
-        """Ids (little-endian, 32 bits each) and labels of a piece without ASCII white space."""
-        found = self.known.get(piece) or self.older.get(piece)
+    def word(self, piece: bytes) -> bytes:
+        """Ids (little-endian, 32 bits each) of a piece without ASCII white space. Only they are remembered, the labels are read off a text's ids."""
+        found = self.older.get(piece)
         if found is None:
             if piece.isalpha() and self.whole_letters:  # ASCII letters: nothing to compose, one part
                 parts = [piece.lower()]
@@ -171,7 +171,7 @@ class Automaton:
             for part in parts:
                 token = self.by_spelling.get(part + END)
                 ids += self.path(part + END) if token is None else [token]
-            found = b"".join([self.packed[i] for i in ids]), self.labels(ids)
+            found = b"".join([self.packed[i] for i in ids])
         if len(self.known) >= WORD_CACHE:
             self.known, self.older = {}, self.known
         self.known[piece] = found
@@ -179,30 +179,28 @@ class Automaton:
 
     def labels(self, ids: list[int]) -> str:
         """Decoding: the arc labels of the ids; this vocabulary joins them by a space."""
-        return " ".join(self.token[i] for i in ids)
+        return " ".join(map(self.token.__getitem__, ids))
 
     def encode(self, text: bytes) -> tuple[bytes, str]:
         """Ids and labels of a whole text. White space never joins words, so pieces are encoded one by one."""
-        ids, labels = [], []
+        ids, known = [], self.known.get
         for at, segment in enumerate(self.cut.split(text) if self.cut and any(s in text for s in self.special) else [text]):
             if at % 2:
-                found = [(self.special[segment].to_bytes(4, "little"), segment.decode())]
-            else:
-                found = [self.known.get(p) or self.word(p) for p in segment.split()]
-            ids += [f[0] for f in found]
-            labels += [f[1] for f in found if f[1]]
-        return b"".join(ids), " ".join(labels)
-
-
-_BUILT: dict[str, Automaton] = {}
+                ids.append(self.packed[self.special[segment]])
+                continue
+            for piece in segment.split():
+                found = known(piece)
+                if found is None:
+                    found = self.word(piece)
+                    known = self.known.get
+                ids.append(found)
+        joined = b"".join(ids)
+        return joined, self.labels(np.frombuffer(joined, dtype="<u4").tolist())
 
 
 def automaton(content: bytes) -> Automaton:
-    """The automaton of a tokenizer file, built once per worker process."""
-    name = hashlib.sha256(content).hexdigest()
-    if name not in _BUILT:
-        _BUILT[name] = Automaton(json.loads(content))
-    return _BUILT[name]
+    """The automaton of a tokenizer file, built once per worker process and held while the worker's tasks ask for it."""
+    return held(hashlib.sha256(content).hexdigest(), lambda: Automaton(json.loads(content)))
 
 
 def default_vocabulary() -> str:

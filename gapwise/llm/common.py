@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -30,15 +31,42 @@ def as_text(column: pa.Array) -> list[str]:
     return ["" if v is None else v for v in column.to_pylist()]
 
 
+_HELD: dict[str, object] = {}
+_ASKED: set[str] = set()
+
+
+def held(name: str, build: Callable[[], object]) -> object:
+    """What ``build`` makes, made once in this worker process and held until a task of map_slices does not ask for ``name``."""
+    _ASKED.add(name)
+    if name not in _HELD:
+        _HELD[name] = build()
+    return _HELD[name]
+
+
+def let_go() -> None:
+    """Drop what is held but not asked for since the task began. Spark keeps idle workers, and their memory counts in every later stage."""
+    unused = [name for name in _HELD if name not in _ASKED]
+    for name in unused:
+        del _HELD[name]
+    if unused:
+        gc.collect()
+
+
+def new_task() -> None:
+    _ASKED.clear()
+
+
 def map_slices(df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
     """Run ``work`` on slices of Arrow batches; it returns columns (lists or arrays) by name.
 
     ``work`` gets one record batch of at most SLICE_ROWS rows and its output may have any number of rows.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        new_task()
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE_ROWS):
                 columns = work(batch.slice(start, SLICE_ROWS))
+                let_go()
                 yield pa.RecordBatch.from_arrays(
                     [v if isinstance(v, pa.Array) else pa.array(v, type=target.field(k).type) for k, v in columns.items()],
                     names=list(columns))

@@ -1,14 +1,18 @@
 """Each operator against a brute-force version on the smallest tables with odd rows, and the pipeline against its parts."""
 
+import gc
 import hashlib
 import json
 import random
 import struct
 import re
+import tracemalloc
+import weakref
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -16,6 +20,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 import corpus_pipeline
 from gapwise.llm import bpe, decontaminate, html, jaccard, langid, lm, overlap, pii, quality, sharding, simhash, suffix
+from gapwise.llm.common import as_bytes, map_slices
 
 WORD = re.compile("[^\\x20\\x09-\\x0D]+")
 
@@ -363,6 +368,38 @@ def test_bpe_caches_turn_over(monkeypatch):
     assert [small.encode(t) for t in texts] == want and len(small.known) <= 5 and len(small.arcs) <= 7
 
 
+def test_bpe_remembers_ids_only():
+    """A remembered word takes its own bytes, its ids and a place in the table."""
+    coder = bpe.automaton(open(bpe.default_vocabulary(), "rb").read())
+    texts = [" ".join(f"w{i}x{j}" for j in range(100)).encode() for i in range(200)]
+    settled = [coder.encode(t)[0] for t in texts[:20]]
+    coder.known, coder.older = {}, {}
+    gc.collect()
+    tracemalloc.start()
+    for t in texts:
+        coder.encode(t)
+    taken = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert len(coder.known) == 20_000 and taken < 200 * 20_000
+    assert [coder.encode(t)[0] for t in texts[:20]] == settled
+
+
+def test_a_worker_lets_the_automaton_go_with_the_next_operator():
+    """Spark gives idle workers to later stages, so what one operator built must not stay in the memory of the next."""
+    class Frame:
+        def mapInArrow(self, run, schema):
+            return run
+
+    content = open(bpe.default_vocabulary(), "rb").read()
+    batch = pa.RecordBatch.from_arrays([pa.array(["some words", None])], names=["text"])
+    coded = lambda b: {"n": [len(bpe.automaton(content).encode(t)[0]) // 4 for t in as_bytes(b.column(0))]}
+    other = lambda b: {"n": [len(t) for t in as_bytes(b.column(0))]}
+    held = [list(map_slices(Frame(), coded, "n long")(iter([batch]))) and weakref.ref(bpe.automaton(content)) for _ in range(2)]
+    assert held[0]() is held[1]() is not None  # tasks of one operator share it
+    assert list(map_slices(Frame(), other, "n long")(iter([batch])))[0].column(0).to_pylist() == [10, 0]
+    assert held[0]() is None
+
+
 # ------------------------------------------------------------------ 7, language
 
 def test_suffix_automaton_phrases():
