@@ -7,6 +7,9 @@ with the documents.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +20,20 @@ from gapwise.session import write_stage
 #: The stages train and walk models and automata, which SQL does not express; tests/llm compares run() with a brute-force version.
 ORACLE_SQL = None
 
+#: Bytes of rows that go to Python at once, unless the session names its own. At Spark's 64 MB a batch holds 10,000 texts, and each
+#: running task has it several times: as a direct buffer, as Arrow vectors that double while they grow, and in the worker.
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "2m"
+
+
+def small_batches(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The stage, in a session whose batches of texts are small."""
+    @wraps(stage)
+    def started(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set(BATCH_KEY, spark.conf.get(BATCH_KEY, BATCH_BYTES))
+        return stage(spark, docs, sf_dir)
+
+    return started
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line labelling rejects go."""
@@ -46,8 +63,9 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.tokenize(docs).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 
-STAGES = [("quality rules", quality_rules), ("near-dedup", near_dedup), ("decontamination", decontamination),
-          ("personal data", personal_data), ("encoding", encode)]
+STAGES = [(name, small_batches(stage)) for name, stage in [
+    ("quality rules", quality_rules), ("near-dedup", near_dedup), ("decontamination", decontamination),
+    ("personal data", personal_data), ("encoding", encode)]]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

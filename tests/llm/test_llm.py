@@ -368,6 +368,20 @@ def test_bpe_caches_turn_over(monkeypatch):
     assert [small.encode(t) for t in texts] == want and len(small.known) <= 5 and len(small.arcs) <= 7
 
 
+def test_pipeline_sends_texts_in_small_batches(spark, sf):
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "repeat('some words ', 500) AS text")
+    measure = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches)
+    try:
+        assert dict(corpus_pipeline.STAGES)["encoding"](spark, docs, sf).columns == ["doc_id", "n_tokens", "ids", "decoded"]
+        sent = [r["n"] for r in docs.mapInArrow(measure, "n long").collect()]
+        assert sum(sent) > 16_000_000 and max(sent) < 4_000_000
+        spark.conf.set(corpus_pipeline.BATCH_KEY, "64m")  # a session's own choice stays
+        dict(corpus_pipeline.STAGES)["encoding"](spark, docs, sf)
+        assert spark.conf.get(corpus_pipeline.BATCH_KEY).startswith("6")
+    finally:
+        spark.conf.unset(corpus_pipeline.BATCH_KEY)
+
+
 def test_bpe_remembers_ids_only():
     """A remembered word takes its own bytes, its ids and a place in the table."""
     coder = bpe.automaton(open(bpe.default_vocabulary(), "rb").read())
