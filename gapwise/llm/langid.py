@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,12 +19,21 @@ SAMPLE_ROWS = 400
 SAMPLE_CHARS = 60_000
 #: Words whose phrase counts a worker remembers; it starts anew when full.
 WORD_CACHE = 400_000
+#: Words of a group of texts, and new words of a group, that are worked on at once (one text may have more of the former).
+GROUP_WORDS, GROUP_NEW = 200_000, 20_000
+#: Longer runs of letters are cut one by one: too few share their last steps.
+LONG_RUN = 64
+#: Over any code point: a state and a character as one number.
+CHARS = 1 << 21
 LETTERS = regex.compile(r"\p{L}+")
 UNKNOWN = "und"
 
 
 class SuffixAutomaton:
-    """All substrings of one text as a deterministic automaton (arcs only; that is all cross-parsing needs)."""
+    """All substrings of one text as a deterministic automaton (arcs only; that is all cross-parsing needs).
+
+    The arcs are held twice: by state, for one text, and as sorted numbers, for many short texts at once.
+    """
 
     def __init__(self, text: str) -> None:
         self.arcs: list[dict[str, int]] = [{}]
@@ -51,6 +61,11 @@ class SuffixAutomaton:
                         at = link[at]
                     link[to] = link[new] = copy
             last = new
+        keys = np.array([at * CHARS + ord(c) for at, arcs in enumerate(self.arcs) for c in arcs], dtype=np.int64)
+        targets = np.array([to for arcs in self.arcs for to in arcs.values()], dtype=np.int64)
+        order = np.argsort(keys)
+        self.keys, self.targets = np.append(keys[order], -1), np.append(targets[order], 0)  # the last one is never a match
+        self.first = len(self.arcs[0])
 
     def phrases(self, text: str) -> int:
         """Number of pieces when each piece is the longest match; a character never seen is a piece of its own."""
@@ -65,6 +80,22 @@ class SuffixAutomaton:
             at = to
         return count + (at != 0)
 
+    def phrases_of(self, chars: np.ndarray, live: list[int]) -> np.ndarray:
+        """``phrases`` of many texts: code points as [position, text], of which the first ``live[position]`` texts have one there."""
+        at, count = np.zeros(chars.shape[1], dtype=np.int64), np.zeros(chars.shape[1], dtype=np.int64)
+        for row, n in zip(chars, live):
+            c, old = row[:n], at[:n]
+            key = old * CHARS + c
+            place = np.searchsorted(self.keys[:-1], key)
+            to = self.targets[place]
+            miss = np.flatnonzero(self.keys[place] != key)
+            seen = np.searchsorted(self.keys[:self.first], c[miss])
+            again = np.where(self.keys[seen] == c[miss], self.targets[seen], 0)
+            count[miss] += 1 + ((old[miss] != 0) & (again == 0))
+            to[miss] = again
+            at[:n] = to
+        return count + (at != 0)
+
 
 class Model:
     """One automaton per language and the phrase counts of the words met so far."""
@@ -79,28 +110,66 @@ class Model:
         self.place: dict[bytes, int] = {}
         self.counts = np.zeros((1024, len(self.langs) + 1))
 
-    def _learn(self, word: bytes) -> int:
-        at = len(self.place)
-        if at == len(self.counts):
+    def _phrases(self, runs: list[str]) -> np.ndarray:
+        """[run, language]: the phrases of every run."""
+        found = np.empty((len(runs), len(self.langs)))
+        size = np.array([len(r) for r in runs], dtype=np.int64)
+        order = np.argsort(-size, kind="stable")
+        long = int((size > LONG_RUN).sum())
+        for i in order[:long]:
+            found[i] = [a.phrases(runs[i]) for a in self.automata]
+        short = order[long:]
+        if len(short):
+            size = size[short]
+            chars = np.zeros((len(short), size[0]), dtype=np.int64)
+            chars[np.arange(size[0]) < size[:, None]] = np.frombuffer("".join([runs[i] for i in short]).encode("utf-32-le"), dtype="<u4")
+            live = np.searchsorted(-size, -np.arange(size[0])).tolist()
+            chars = np.ascontiguousarray(chars.T)
+            for k, automaton in enumerate(self.automata):
+                found[short, k] = automaton.phrases_of(chars, live)
+        return found
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Remember the phrase counts of words not met before; equal runs of letters are cut once."""
+        place: dict[str, int] = {}
+        run_of, word_of = [], []
+        for i, word in enumerate(words):
+            for r in LETTERS.findall(word.decode("utf-8", "replace").lower()):
+                run_of.append(place.setdefault(f" {r} ", len(place)))
+                word_of.append(i)
+        runs = list(place)
+        each = np.column_stack([self._phrases(runs), [len(r) for r in runs]])[run_of]
+        low = len(self.place)
+        while low + len(words) > len(self.counts):
             self.counts = np.vstack([self.counts, np.zeros_like(self.counts)])
-        runs = LETTERS.findall(word.decode("utf-8", "replace").lower())
-        padded = [f" {r} " for r in runs]
-        self.counts[at] = [sum(a.phrases(p) for p in padded) for a in self.automata] + [sum(map(len, padded))]
-        self.place[word] = at
-        return at
-
-    def predict(self, text: bytes) -> tuple[str, float]:
+        for k in range(each.shape[1]):
+            self.counts[low:low + len(words), k] = np.bincount(word_of, each[:, k], len(words))
+        self.place.update(zip(words, range(low, low + len(words))))
+
+    def predict(self, texts: list[bytes]) -> Iterator[tuple[str, float]]:
+        """The language and score of every text. New words are cut a group of texts at a time."""
+        at = 0
+        while at < len(texts):
+            group, n = [], 0
+            while at < len(texts) and (not group or n < GROUP_WORDS):
+                group.append(words_of(texts[at]))
+                n += len(group[-1])
+                at += 1
+            if len(self.place) > WORD_CACHE:
+                self.clear()
+            new = list(set().union(*group).difference(self.place))
+            for low in range(0, len(new), GROUP_NEW):
+                self._learn(new[low:low + GROUP_NEW])
+            for words in group:
+                yield self._verdict(words)
+
+    def _verdict(self, words: list[bytes]) -> tuple[str, float]:
         """Fewest phrases, each worth log2 of the language's text size, per character; ties go to the first name.
 
         The score is how far the winner is below the next language, as a share of the latter.
         """
-        if len(self.place) > WORD_CACHE:
-            self.clear()
-        words = words_of(text)
-        found = [self.place.get(w) for w in words]
-        if None in found:
-            found = [self.place[w] if w in self.place else self._learn(w) for w in words]
-        total = self.counts[found].sum(axis=0) if found else np.zeros(len(self.langs) + 1)
+        found = np.fromiter(map(self.place.__getitem__, words), dtype=np.int64, count=len(words))
+        total = self.counts[found].sum(axis=0)
         if not total[-1] or not self.langs:
             return UNKNOWN, 0.0
         entropy = total[:-1] * self.weight / total[-1]
@@ -143,7 +212,7 @@ def identify(docs: DataFrame, texts: dict[str, str], keep: list[str], text: str
         if name not in _BUILT:
             _BUILT.clear()
             _BUILT[name] = Model(shared.value)
-        said = [_BUILT[name].predict(t) for t in as_bytes(batch.column("__text"))]
+        said = list(_BUILT[name].predict(as_bytes(batch.column("__text"))))
         return {f.name: batch.column(f.name) for f in fields} | {"lang_pred": [s[0] for s in said], "score": [s[1] for s in said]}
 
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)

@@ -430,6 +430,26 @@ def test_suffix_automaton_phrases():
         assert langid.SuffixAutomaton(text).phrases(query) == count
 
 
+def test_new_words_are_cut_together(monkeypatch):
+    rng = random.Random(8)
+    word = lambda low, high: "".join(rng.choice("abcdXY,é") for _ in range(rng.randint(low, high)))
+    learned = {k: " ".join(rng.choice(letters) * rng.randint(1, 3) + rng.choice(letters) for _ in range(400)) for k, letters in (("p", "abc"), ("q", "bcdé"), ("r", "axy"))}
+    texts = [" ".join(word(1, 9) for _ in range(40)) for _ in range(60)] + ["", "  ", "12 ,", f"ab {word(200, 300)} Ab, AB"]
+    model = langid.Model(learned)
+    want = []
+    for text in texts:
+        runs = [f" {r} " for w in text.split() for r in langid.LETTERS.findall(w.lower())]
+        entropy = np.array([sum(a.phrases(r) for r in runs) for a in model.automata]) * model.weight / max(1, sum(map(len, runs)))
+        best, second = np.sort(entropy)[:2]
+        want.append((model.langs[int(np.argmin(entropy))], float(1 - best / second)) if runs else ("und", 0.0))
+    cut, one = [], langid.SuffixAutomaton.phrases
+    monkeypatch.setattr(langid.SuffixAutomaton, "phrases", lambda self, run: cut.append(run) or one(self, run))
+    monkeypatch.setattr(langid, "GROUP_WORDS", 100)
+    monkeypatch.setattr(langid, "GROUP_NEW", 7)
+    assert list(model.predict([t.encode() for t in texts])) == want and {p for p, _ in want} >= {"q", "r", "und"}
+    assert all(len(run) > langid.LONG_RUN for run in cut)  # before, every new word was cut by itself
+
+
 def test_languages_of_held_out_documents(spark):
     got = langid.query(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
     assert (got["lang"] == got["lang_pred"]).mean() > 0.98 and got["score"].between(0, 1).all()
