@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Callable, Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +25,16 @@ START = OUTPUTS
 WEIGHTS = ("read", "near", "far", "write", "bias")
 DIM, NOISE, STEPS, RATE = 24, 10, 40, 0.1
 #: Contexts whose outputs are figured at once.
-BLOCK = 4096
+BLOCK = 512
+#: Counts that are packed into blocks at once.
+PACKED = 500_000
 #: A token with at least one in FREQUENT of all training tokens is looked up inside the tasks. There are at
 #: most FREQUENT of them; the rest is joined.
 FREQUENT = 1_000_000
 #: Tokens counted in a task before a flush.
 FLUSH = 400_000
+#: Tokens turned into numbers at once (one text may have more), and numbers held in a task before they are counted.
+GROUP, HELD = 100_000, 4_000_000
 
 
 def token_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -58,6 +62,30 @@ def word_class(word: bytes) -> int:
     return SINGLE + zlib.crc32(word) % CLASSES
 
 
+def word_classes(words: list[bytes]) -> np.ndarray:
+    return SINGLE + np.fromiter(map(zlib.crc32, words), dtype=np.int64, count=len(words)) % CLASSES
+
+
+def before(ids: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The outputs one and two before each of many texts' tokens; ``size`` tokens a text, at least one."""
+    starts = np.cumsum(size) - size
+    one, two = (np.r_[START, START, ids][2 - k:][:len(ids)] for k in (1, 2))
+    one[starts] = two[starts] = START
+    two[starts[size > 1] + 1] = START
+    return one, two
+
+
+def blocks(context: np.ndarray, word: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Counts by at most BLOCK contexts: these, the cell of each count in [context, output], and the counts."""
+    seen, at = np.unique(context, return_inverse=True)
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    for low in range(0, len(seen), BLOCK):
+        begin, end = np.searchsorted(at, (low, low + BLOCK))
+        rows = order[begin:end]
+        yield seen[low:low + BLOCK].astype(np.int32), ((at[begin:end] - low) * OUTPUTS + word[rows]).astype(np.int32), n[rows].astype(np.int64)
+
+
 class LogBilinear:
     """log P(w | two tokens before) = softmax over outputs of (A r[-1] + B r[-2]) . t[w] + bias[w]."""
 
@@ -80,24 +108,32 @@ class LogBilinear:
         Each token stands against NOISE draws from the unigram distribution, taken by their expectation, so nothing is
         drawn. Counts of one context may be split over calls: the sum is the same.
         """
+        return self.gradient_of(blocks(context, word, n))
+
+    def gradient_of(self, counted: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
+        """``gradient`` over ``blocks``."""
         up = {k: np.zeros_like(getattr(self, k)) for k in WEIGHTS}
-        log_noise = np.log(NOISE * self.noise)
-        seen, at = np.unique(context, return_inverse=True)
-        order = np.argsort(at, kind="stable")
-        for low in range(0, len(seen), BLOCK):
-            rows = order[np.searchsorted(at[order], low):np.searchsorted(at[order], low + BLOCK)]
-            two, one = np.divmod(seen[low:low + BLOCK], OUTPUTS + 1)
-            count = np.bincount((at[rows] - low) * OUTPUTS + word[rows], n[rows], len(one) * OUTPUTS).reshape(-1, OUTPUTS)
-            query = self.read[one] @ self.near + self.read[two] @ self.far
-            score = query @ self.write.T + self.bias - log_noise
-            gap = count - (count + NOISE * count.sum(axis=1, keepdims=True) * self.noise) / (1 + np.exp(-score))
+        shift = self.bias - np.log(NOISE * self.noise)
+        for context, cell, n in counted:
+            two, one = np.divmod(context, OUTPUTS + 1)
+            gap = np.bincount(cell, n, len(one) * OUTPUTS).reshape(-1, OUTPUTS)
+            read_one, read_two = self.read[one], self.read[two]
+            query = read_one @ self.near + read_two @ self.far
+            odds = query @ self.write.T
+            odds += shift
+            np.exp(np.negative(odds, out=odds), out=odds)
+            odds += 1
+            drawn = np.outer(NOISE * gap.sum(axis=1), self.noise)
+            drawn += gap
+            drawn /= odds
+            gap -= drawn
             to_query = gap @ self.write
             up["write"] += gap.T @ query
             up["bias"] += gap.sum(axis=0)
             np.add.at(up["read"], one, to_query @ self.near.T)
             np.add.at(up["read"], two, to_query @ self.far.T)
-            up["near"] += self.read[one].T @ to_query
-            up["far"] += self.read[two].T @ to_query
+            up["near"] += read_one.T @ to_query
+            up["far"] += read_two.T @ to_query
         return np.concatenate([up[k].ravel() for k in WEIGHTS])
 
     def step(self, gradient: np.ndarray) -> None:
@@ -133,50 +169,88 @@ def context_counts(training: DataFrame, single: dict[bytes, int], text: str = "t
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        words: list[bytes] = []
+        size: list[int] = []
+
+        def number() -> int:
+            ids = np.fromiter(map(single.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+            other = np.flatnonzero(ids < 0)
+            ids[other] = word_classes([words[i] for i in other.tolist()])
+            one, two = before(ids, np.array(size, dtype=np.int64))
+            held.append(((two * (OUTPUTS + 1) + one) * OUTPUTS + ids).astype(np.int32))
+            words.clear()
+            size.clear()
+            return len(ids)
 
         def flush() -> pa.RecordBatch:
-            code, n = np.unique(np.concatenate([np.empty(0, dtype=np.int64), *held]), return_counts=True)
+            code, n = np.unique(np.concatenate([np.empty(0, dtype=np.int32), *held]), return_counts=True)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(code // OUTPUTS), pa.array((code % OUTPUTS).astype(np.int32)), pa.array(n.astype(np.int64))],
+            return pa.RecordBatch.from_arrays([pa.array((code // OUTPUTS).astype(np.int64)), pa.array(code % OUTPUTS), pa.array(n.astype(np.int64))],
                                               names=["context", "word", "n"])
 
         rows = 0
         for batch in batches:
             for raw in as_bytes(batch.column(0)):
-                words = [*words_of(raw.lower()), END]
-                ids = np.array([i if i >= 0 else word_class(w) for w, i in zip(words, (single.get(w, -1) for w in words))], dtype=np.int64)
-                one = np.r_[START, ids[:-1]]
-                held.append((np.r_[START, one[:-1]] * (OUTPUTS + 1) + one) * OUTPUTS + ids)
-                rows += len(ids)
-                if rows > FLUSH:
-                    yield flush()
-                    rows = 0
+                now = len(words)
+                words += words_of(raw.lower())
+                words.append(END)
+                size.append(len(words) - now)
+                if len(words) > GROUP:
+                    rows += number()
+                    if rows > HELD:
+                        yield flush()
+                        rows = 0
+        number()
         yield flush()
 
     parts = training.select(F.col(f"`{text}`")).mapInArrow(count, "context long, word int, n long")
     return parts.groupBy("context", "word").agg(F.sum("n").alias("n"))
 
 
+def packed(counts: DataFrame) -> DataFrame:
+    """``context_counts`` as ``blocks``, one a row: what every step reads, without a row for every count."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[list[np.ndarray]] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for block in blocks(*map(np.concatenate, zip(*found))) if found else ():
+                yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in block], names=["context", "cell", "n"])
+            found.clear()
+
+        for b in batches:
+            found.append([b.column(i).to_numpy() for i in range(3)])
+            if sum(len(f[0]) for f in found) > PACKED:
+                yield from flush()
+        yield from flush()
+
+    tasks = counts.sparkSession.sparkContext.defaultParallelism
+    return counts.repartition(tasks, "context").sortWithinPartitions("context").mapInArrow(pack, "context binary, cell binary, n binary")
+
+
+def add_up(counted: DataFrame, part: Callable[[Iterator[tuple]], np.ndarray], size: int) -> np.ndarray:
+    """The sum over tasks of ``part``, ``size`` numbers made from a task's blocks."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(*(b.column(i) for i in range(3))))
+        read = ((np.frombuffer(c.as_buffer(), np.int32), np.frombuffer(x.as_buffer(), np.int32), np.frombuffer(n.as_buffer(), np.int64)) for c, x, n in rows)
+        for first in read:
+            yield pa.RecordBatch.from_arrays([pa.array([part(chain([first], read))], pa.list_(pa.float64()))], names=["v"])
+
+    sums = counted.mapInArrow(run, "v array<double>").select(F.posexplode("v").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).toArrow()
+    out = np.zeros(size)
+    out[sums["i"].to_numpy()] = sums["v"].to_numpy()
+    return out
+
+
 def learn(training: DataFrame, single: dict[bytes, int], text: str = "text") -> LogBilinear:
     """The network of all training tokens: every step is one job over their counts; the driver holds the weights only."""
     model = LogBilinear()
-    counted = write_stage(context_counts(training, single, text).repartition("context").sortWithinPartitions("context"), "contexts")
-    unigram = np.zeros(OUTPUTS)
-    for r in counted.frame.groupBy("word").agg(F.sum("n").alias("n")).collect():
-        unigram[r["word"]] = r["n"]
+    counted = write_stage(packed(context_counts(training, single, text)), "contexts")
+    unigram = add_up(counted.frame, lambda read: sum((np.bincount(cell % OUTPUTS, n, OUTPUTS) for _, cell, n in read), np.zeros(OUTPUTS)), OUTPUTS)
     total = unigram.sum()
     if total:
         model.start(unigram)
     for _ in range(STEPS if total else 0):
-
-        def part(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
-            found = [[b.column(i).to_numpy() for i in range(3)] for b in batches]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([model.gradient(*map(np.concatenate, zip(*found)))], pa.list_(pa.float64()))], names=["v"])
-
-        sums = counted.frame.mapInArrow(part, "v array<double>").select(F.posexplode("v").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"))
-        gradient = sums.orderBy("i").toPandas()["v"].to_numpy(dtype=float)
-        model.step(gradient / total)
+        model.step(add_up(counted.frame, model.gradient_of, len(model.square)) / total)
     counted.drop()
     return model
 
@@ -229,14 +303,11 @@ def score(docs: DataFrame, training: DataFrame, keep: list[str], text: str = "te
         ends = np.cumsum(size)
         starts = ends - size
         words = list(chain.from_iterable(lists))
-        codes = np.fromiter((names.get(w, -1) for w in words), dtype=np.int64, count=len(words))
+        codes = np.fromiter(map(names.get, words, repeat(-1)), dtype=np.int64, count=len(words))
         ids = output[codes]
         cold = np.flatnonzero(codes < 0)
-        ids[cold] = [word_class(words[i]) for i in cold]
-        one, two = np.r_[START, ids[:-1]], np.r_[START, START, ids[:-2]][:len(ids)]
-        one[starts] = two[starts] = START
-        second = starts[size > 1] + 1
-        two[second] = START
+        ids[cold] = word_classes([words[i] for i in cold.tolist()])
+        one, two = before(ids, size)
         net = log_p[two, one, ids].astype(float) + in_class[codes]
         classed = ids >= SINGLE
         net[classed] -= class_mass[ids[classed] - SINGLE]
@@ -246,7 +317,7 @@ def score(docs: DataFrame, training: DataFrame, keep: list[str], text: str = "te
         add = lambda v: np.add.reduceat(v, starts)  # noqa: E731  every text has its end token
         return {f"__keep{i}": batch.column(f"__keep{i}") for i in range(len(fields))} | {
             "__row": batch.column("__row"), "n_tokens": size, "known": add(known), "base": add(base), "net": add(net),
-            "cold": [[words[i].decode() for i in cold[a:b]] for a, b in zip(*per)]}
+            "cold": [[words[i].decode() for i in cold[a:b].tolist()] for a, b in zip(*per)]}
 
     source = docs.select(*[F.col(f"`{f.name}`").alias(f"__keep{i}") for i, f in enumerate(fields)],
                          F.monotonically_increasing_id().alias("__row"), F.col(f"`{text}`").alias("__text"))

@@ -532,6 +532,26 @@ def test_network_learns_from_every_training_text(spark):
     assert all(np.allclose(getattr(model, k), getattr(learned, k)) for k in lm.WEIGHTS)
 
 
+def test_steps_read_blocks_of_contexts(spark, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK", 3)
+    monkeypatch.setattr(lm, "GROUP", 5)
+    monkeypatch.setattr(lm, "HELD", 40)
+    rng = random.Random(9)
+    docs = spark.createDataFrame([(" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 9))),) for _ in range(300)] + [(None,)], "text string")
+    counts = lm.context_counts(docs.repartition(2), {b"a": 0, lm.END: 1})
+    want = {(r["context"], r["word"]): r["n"] for r in counts.collect()}
+    rows = lm.packed(counts).collect()
+    assert len(rows) < len(want) / 3  # before, every step read a row for each count
+    got = Counter()
+    for r in rows:
+        context, cell, n = np.frombuffer(r["context"], np.int32), np.frombuffer(r["cell"], np.int32), np.frombuffer(r["n"], np.int64)
+        assert 0 < len(set(context.tolist())) == len(context) <= 3 and len(cell) == len(n)
+        for c, k in zip(cell.tolist(), n.tolist()):
+            got[int(context[c // lm.OUTPUTS]), c % lm.OUTPUTS] += k
+    assert got == want and sum(got.values()) == sum(len((r["text"] or "").split()) + 1 for r in docs.collect())
+    assert len(list(lm.blocks(np.empty(0, int), np.empty(0, int), np.empty(0, int)))) == 0
+
+
 # ------------------------------------------------------------------ 10, pages
 
 def test_blocks_of_broken_markup():
