@@ -19,7 +19,7 @@ SAMPLE_ROWS = 400
 SAMPLE_CHARS = 60_000
 #: Words whose phrase counts a worker remembers; it starts anew when full.
 WORD_CACHE = 400_000
-#: Words of a group of texts, and new words of a group, that are worked on at once (one text may have more of the former).
+#: Words of a group of texts (one text may have more), and new words or runs of letters, that are worked on at once.
 GROUP_WORDS, GROUP_NEW = 200_000, 20_000
 #: Longer runs of letters are cut one by one: too few share their last steps.
 LONG_RUN = 64
@@ -118,12 +118,12 @@ class Model:
         long = int((size > LONG_RUN).sum())
         for i in order[:long]:
             found[i] = [a.phrases(runs[i]) for a in self.automata]
-        short = order[long:]
-        if len(short):
-            size = size[short]
-            chars = np.zeros((len(short), size[0]), dtype=np.int64)
-            chars[np.arange(size[0]) < size[:, None]] = np.frombuffer("".join([runs[i] for i in short]).encode("utf-32-le"), dtype="<u4")
-            live = np.searchsorted(-size, -np.arange(size[0])).tolist()
+        for low in range(long, len(runs), GROUP_NEW):  # one word may have any number of runs
+            short = order[low:low + GROUP_NEW]
+            width = size[short]
+            chars = np.zeros((len(short), width[0]), dtype=np.int64)
+            chars[np.arange(width[0]) < width[:, None]] = np.frombuffer("".join([runs[i] for i in short]).encode("utf-32-le"), dtype="<u4")
+            live = np.searchsorted(-width, -np.arange(width[0])).tolist()
             chars = np.ascontiguousarray(chars.T)
             for k, automaton in enumerate(self.automata):
                 found[short, k] = automaton.phrases_of(chars, live)

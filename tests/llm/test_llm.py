@@ -448,6 +448,10 @@ def test_new_words_are_cut_together(monkeypatch):
     monkeypatch.setattr(langid, "GROUP_NEW", 7)
     assert list(model.predict([t.encode() for t in texts])) == want and {p for p, _ in want} >= {"q", "r", "und"}
     assert all(len(run) > langid.LONG_RUN for run in cut)  # before, every new word was cut by itself
+    wide, many = [], langid.SuffixAutomaton.phrases_of
+    monkeypatch.setattr(langid.SuffixAutomaton, "phrases_of", lambda self, chars, live: wide.append(chars.shape[1]) or many(self, chars, live))
+    list(model.predict(["1".join(word(1, 9) for _ in range(90)).encode()]))
+    assert len(wide) > 3 and max(wide) <= 7  # one word with many runs is not one array
 
 
 def test_languages_of_held_out_documents(spark):
