@@ -14,6 +14,11 @@ import numpy as np
 # Distances are compared after rounding to this many decimals, then by donor key.
 DECIMALS = 9
 SLACK = 1e-9
+NEAR = 2 * 10.0**-DECIMALS  # distances that round alike are no further apart
+LEAF_ROWS = 32         # donors aimed at per leaf of a tree in memory
+FIRST_LEAVES = 4       # leaves that a query reads before the others
+QUERY_ROWS = 4096      # queries that go down such a tree together
+MANY_BOXES = 32        # boxes of a cell's size that a row may touch before finer ones are asked
 
 
 @dataclass(frozen=True)
@@ -93,6 +98,15 @@ def kth_upper(upper: np.ndarray, count: np.ndarray, k: int) -> np.ndarray:
     return np.where(reached.any(axis=1), bound, np.inf)
 
 
+def merged(boxes: Boxes, into: np.ndarray) -> Boxes:
+    """The boxes with one number in ``into`` (0, 1, 2 ... all of them used) as one box."""
+    order = np.argsort(into, kind="stable")
+    first = np.flatnonzero(np.r_[True, np.diff(into[order]) != 0])
+    over = lambda how, a: how.reduceat(a[order], first, axis=0)
+    return Boxes(over(np.fmin, boxes.low), over(np.fmax, boxes.high), over(np.logical_and, boxes.full),
+                 over(np.logical_and, boxes.exact), over(np.add, boxes.count))
+
+
 def _subset(boxes: Boxes, keep: np.ndarray) -> Boxes:
     return Boxes(boxes.low[keep], boxes.high[keep], boxes.full[keep], boxes.exact[keep], boxes.count[keep])
 
@@ -171,6 +185,45 @@ def nearby(x: np.ndarray, size: int = 128) -> np.ndarray:
     return label
 
 
+def _touched(x: np.ndarray, limit: np.ndarray, boxes: Boxes, p: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, box) pairs that may be no further apart than the row's limit."""
+    rows_out, boxes_out = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for rows in _blocks(x, 256):
+        has = ~np.isnan(x[rows])
+        lower = box_bounds(x[rows].min(axis=0)[None], x[rows].max(axis=0)[None], has[:1], boxes, p)[0][0]
+        near = np.flatnonzero(np.isfinite(lower) & (lower <= limit[rows].max()))
+        step = max(1, 1_000_000 // max(1, len(near) * x.shape[1]))
+        for s in range(0, len(rows) if len(near) else 0, step):
+            part = rows[s : s + step]
+            lower = box_bounds(x[part], x[part], has[s : s + step], _subset(boxes, near), p)[0]
+            r, b = np.nonzero(np.isfinite(lower) & (lower <= limit[part][:, None]))
+            rows_out.append(part[r])
+            boxes_out.append(near[b])
+    return np.concatenate(rows_out), np.concatenate(boxes_out)
+
+
+def reachable_within(x: np.ndarray, limit: np.ndarray, cells: Boxes, boxes: Boxes, of_box: np.ndarray, k: int,
+                     p: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, cell) pairs in which a donor within the row's limit may lie, and a bound per row that is no larger.
+
+    ``limit`` is the distance of a row's k-th nearest donor so far. Rows that have none, or whose limit takes in many
+    cells, are tested against the finer ``boxes`` too (of cell ``of_box``), which know bounds of their own.
+    """
+    bound = limit * (1 + SLACK) + NEAR
+    known = np.flatnonzero(np.isfinite(limit))
+    at, cell = _touched(x[known], bound[known], cells, p)
+    at = known[at]
+    vague = ~np.isfinite(limit) | (np.bincount(at, minlength=len(x)) > MANY_BOXES)
+    if vague.any():
+        rows = np.flatnonzero(vague)
+        r, box, own = reachable(x[rows], boxes, k, p, [nearby(x[rows])], bound[rows])
+        bound[rows] = np.minimum(bound[rows], own)
+        sharp = ~vague[at]
+        pairs = np.unique(np.column_stack([rows[r], of_box[box]]), axis=0)
+        at, cell = np.r_[at[sharp], pairs[:, 0]], np.r_[cell[sharp], pairs[:, 1]]
+    return at, cell, bound
+
+
 def _box_table(x: np.ndarray, blocks: list[np.ndarray]) -> Boxes:
     return Boxes(np.stack([x[b].min(axis=0) for b in blocks]), np.stack([x[b].max(axis=0) for b in blocks]),
                  np.stack([~np.isnan(x[b[0]]) for b in blocks]), np.ones(len(blocks), dtype=bool),
@@ -234,13 +287,127 @@ def _best(row: np.ndarray, at: np.ndarray, d: np.ndarray, k: int) -> tuple[np.nd
     return row[keep], at[order][keep], d[order][keep], rank[keep]
 
 
+@dataclass(frozen=True)
+class _Tree:
+    """Donors without gaps in the equal leaves of a balanced tree, some twice to make the leaves equal."""
+    x: np.ndarray            # coordinate, leaf, donor
+    at: np.ndarray           # leaf, donor: its position in the table it came from
+    again: np.ndarray        # leaf, donor: infinity where it is the second of two, else 0
+    axis: list[np.ndarray]   # per level, of every node
+    cut: list[np.ndarray]
+    low: list[np.ndarray]    # per level below the root: coordinate, node
+    high: list[np.ndarray]
+
+    @staticmethod
+    def of(z: np.ndarray, at: np.ndarray, rows: int) -> _Tree:
+        depth = max(0, int(np.ceil(np.log2(len(z) / rows))))
+        more = -len(z) % 2**depth
+        order = np.r_[np.arange(len(z)), np.arange(more) + len(z)][None]
+        z, at = np.concatenate([z, z[:more]]), np.r_[at, at[:more]]
+        again = np.r_[np.zeros(len(z) - more), np.full(more, np.inf)]
+        axes, cuts, low, high = [], [], [], []
+        for level in range(depth + 1):
+            x = z[order]
+            low.append(np.ascontiguousarray(x.min(axis=1).T))
+            high.append(np.ascontiguousarray(x.max(axis=1).T))
+            if level < depth:
+                axes.append((high[-1] - low[-1]).argmax(axis=0))
+                value = np.take_along_axis(x, axes[-1][:, None, None], axis=2)[:, :, 0]
+                half = order.shape[1] // 2
+                part = np.argpartition(value, half, axis=1)
+                cuts.append(np.take_along_axis(value, part[:, half : half + 1], axis=1)[:, 0])
+                order = np.take_along_axis(order, part, axis=1).reshape(-1, half)
+        return _Tree(np.ascontiguousarray(np.moveaxis(z[order], 2, 0)), at[order], again[order], axes, cuts, low[1:], high[1:])
+
+    def distances(self, q: np.ndarray, leaf: np.ndarray, scale: float) -> np.ndarray:
+        total = self.again[leaf]
+        for j in range(len(self.x)):
+            diff = q[j][:, None] - self.x[j][leaf]
+            diff *= diff
+            total += diff
+        total *= scale
+        return total
+
+    def search(self, q: np.ndarray, limit: np.ndarray, scale: float,
+               k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(query, position, distance, rank) of the k best donors of every query that are within its limit."""
+        rows, home = np.arange(len(q)), np.zeros(len(q), dtype=np.int64)
+        for axis, cut in zip(self.axis, self.cut):
+            home = 2 * home + (q[rows, axis[home]] >= cut[home])
+        q = np.ascontiguousarray(q.T)
+        if self.at.shape[1] >= k:
+            kth = np.partition(self.distances(q, home, scale), k - 1, axis=1)[:, k - 1]
+            limit = np.minimum(limit, kth * (1 + SLACK) + NEAR)
+        limit = np.minimum(limit, np.finfo(float).max)  # a donor that comes again is at infinity
+        row, leaf, lower = rows, np.zeros(len(rows), dtype=np.int64), np.zeros(len(rows))
+        for low, high in zip(self.low, self.high):
+            row, leaf = np.repeat(row, 2), (2 * leaf[:, None] + np.array([0, 1])).ravel()
+            lower = np.zeros(len(row))
+            for x, lo, hi in zip(q, low, high):
+                x = x[row]
+                off = np.maximum(np.maximum(lo[leaf] - x, x - hi[leaf]), 0.0)
+                off *= off
+                lower += off
+            lower = lower * (scale * (1 - SLACK)) - SLACK
+            near = lower <= limit[row]
+            row, leaf, lower = row[near], leaf[near], lower[near]
+        # the first few leaves by distance bring the limit down before anything is kept
+        order = np.lexsort((lower, row))
+        row, leaf, lower = row[order], leaf[order], lower[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        early = place < FIRST_LEAVES
+        d = np.full((len(rows), FIRST_LEAVES, self.at.shape[1]), np.inf)
+        d[row[early], place[early]] = self.distances(q[:, row[early]], leaf[early], scale)
+        if d[0].size >= k:
+            kth = np.partition(d.reshape(len(rows), -1), k - 1, axis=1)[:, k - 1]
+            limit = np.minimum(limit, kth * (1 + SLACK) + NEAR)
+        near = lower <= limit[row]
+        row, leaf = row[near], leaf[near]
+        best = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0, dtype=np.int64))
+        step = max(1, 1_000_000 // self.at.shape[1])
+        for s in range(0, len(row), step):
+            r, n = row[s : s + step], leaf[s : s + step]
+            d = self.distances(q[:, r], n, scale)
+            i, j = np.nonzero(d <= limit[r][:, None])
+            best = _best(np.r_[best[0], r[i]], np.r_[best[1], self.at[n[i], j]], np.r_[best[2], d[i, j]], k)
+        return best
+
+
+def _first_of_same(z: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the rows that have fewer than ``k`` equal rows before them."""
+    order = np.lexsort(z.T)
+    first = np.flatnonzero(np.r_[True, (np.diff(z[order], axis=0) != 0).any(axis=1)])
+    rank = np.arange(len(z)) - np.repeat(first, np.diff(np.r_[first, len(z)]))
+    return np.sort(order[rank < k])
+
+
+def _nearest_of_pattern(queries: np.ndarray, donors: np.ndarray, has: np.ndarray, k: int, p: int, bound: np.ndarray,
+                        best_at: np.ndarray, best_d: np.ndarray) -> None:
+    """``nearest`` where all donors have the coordinates ``has``: a tree for each set of coordinates that queries share with them."""
+    shared = ~np.isnan(queries) & has
+    sets, which = np.unique(shared, axis=0, return_inverse=True)
+    for i, common in enumerate(sets):
+        if not common.any():
+            continue
+        z = donors[:, common]
+        kept = np.arange(len(z)) if common.sum() == has.sum() else _first_of_same(z, k)
+        leaf_rows = max(LEAF_ROWS, 4 * k)
+        tree, scale = _Tree.of(z[kept], kept, leaf_rows), p / common.sum()
+        rows, step = np.flatnonzero(which.ravel() == i), max(16, min(QUERY_ROWS, 1_000_000 // leaf_rows))
+        for s in range(0, len(rows), step):
+            part = rows[s : s + step]
+            row, at, dist, rank = tree.search(queries[part][:, common], bound[part], scale, k)
+            best_at[part[row], rank], best_d[part[row], rank] = at, dist
+
+
 def nearest(queries: np.ndarray, donors: np.ndarray, k: int, p: int, bound: np.ndarray | None = None,
             block: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """The k nearest donors of each query, ordered by (rounded distance, donor position).
 
     Returns (positions, squared distances), with position -1 where there are fewer than k. With a
-    ``bound`` per query, donors beyond it need not be reported. Blocks of queries meet blocks of donors from the
-    nearest on; only distances within what is known of the k-th are kept and sorted.
+    ``bound`` per query, donors beyond it need not be reported. Donors of one pattern are searched by a tree; of
+    several, blocks of queries meet blocks of donors from the nearest on. Only distances within what is known of
+    the k-th are kept and sorted.
     """
     best_at = np.full((len(queries), k), -1, dtype=np.int64)
     best_d = np.full((len(queries), k), np.inf)
@@ -249,7 +416,10 @@ def nearest(queries: np.ndarray, donors: np.ndarray, k: int, p: int, bound: np.n
     if bound is None:
         bound = np.full(len(queries), np.inf)
     bound = bound * (1 + SLACK) + SLACK
-    slack = 2 * 10.0**-DECIMALS  # distances that round alike are no further apart
+    have = ~np.isnan(donors)
+    if (have == have[0]).all():
+        _nearest_of_pattern(queries, donors, have[0], k, p, bound, best_at, best_d)
+        return best_at, best_d
     blocks = _blocks(donors, block // 2)
     boxes = _box_table(donors, blocks)
     size = boxes.count
@@ -274,11 +444,11 @@ def nearest(queries: np.ndarray, donors: np.ndarray, k: int, p: int, bound: np.n
                 part = of[s : s + max(1, 1_000_000 // len(rows))]
                 d = view.distances(q, part)
                 if len(part) > k:
-                    limit = np.minimum(limit, np.partition(d, k - 1, axis=1)[:, k - 1] * (1 + SLACK) + slack)
+                    limit = np.minimum(limit, np.partition(d, k - 1, axis=1)[:, k - 1] * (1 + SLACK) + NEAR)
                 i, j = np.nonzero(d <= limit[:, None])
                 row, at, dist, rank = _best(np.r_[row, i], np.r_[at, view.at[part[j]]], np.r_[dist, d[i, j]], k)
                 full = rank == k - 1
-                limit[row[full]] = np.minimum(limit[row[full]], dist[full] * (1 + SLACK) + slack)
+                limit[row[full]] = np.minimum(limit[row[full]], dist[full] * (1 + SLACK) + NEAR)
             done += len(take)
             want *= 2
         fits = dist <= bound[rows[row]]

@@ -1,9 +1,9 @@
 """Exact nearest-neighbour imputation as Spark joins over spatial cells.
 
 Donors are cut into cells whose boxes are known to everybody (a bounded table). A row with a gap
-is sent only to the cells that can hold one of its k nearest donors, cells meet their visitors in a
-co-grouped task, and the few winners per cell are merged. Nothing is sampled, capped or approximated:
-the sample below only places the cuts.
+first meets the donors of the cell it lies in; the k-th of them is a bound, and the row is sent on only to the cells
+that can hold a donor within it. Cells meet their visitors in a co-grouped task, and the few winners per cell are
+merged. Nothing is sampled, capped or approximated: the sample below only places the cuts.
 """
 
 from __future__ import annotations
@@ -18,15 +18,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gapwise.functions.missing import Profile, c, dbl
-from gapwise.operators.cells import DECIMALS, Boxes, Splits, cut_sample, nearest, reachable
-from gapwise.operators.incomplete import ROW, fill_name, join_fills, split_rows
+from gapwise.functions.missing import Profile, all_present, any_missing, c, dbl
+from gapwise.operators.cells import DECIMALS, Boxes, Splits, cut_sample, merged, nearest, reachable, reachable_within
+from gapwise.operators.incomplete import ROW, fill_name, join_fills
 from gapwise.operators.refine import UNIT, join_units, pieces, refine, unit_counts
 from gapwise.session import StagedTable, stage, tasks_for, write_stage
 
 BOX_ROWS = 64          # donors aimed at per box; boxes give the distance bounds
 MAX_BOXES = 8192       # so a box holds more donors in a long table; twice this plus one per pattern at most
-CELL_ROWS = 4096       # donors aimed at per cell, the unit of work: a run of neighbouring boxes
+CELL_ROWS = 16_384     # donors aimed at per cell, the unit of work: a run of neighbouring boxes
 MAX_CELLS = 4096
 MAX_PATTERNS = 64      # donor patterns with boxes of their own; the rest share mixed boxes
 CUT_SAMPLE = 50_000    # rows used to place the cuts
@@ -103,22 +103,31 @@ class _Layout:
         rest = depths(max(0, total - sum(rows for _, rows in patterns)), 0)
         return _Layout(cut_sample(sample, max([box for _, box, _ in classes] + [rest[0]])), classes, rest)
 
+    def _by_class(self, p: int, values: list[int], other: int) -> Column:
+        out = F.lit(other)
+        for (text, _, _), value in zip(self.classes, values):
+            out = F.when(_pattern(p) == F.lit(text), F.lit(value)).otherwise(out)
+        return out
+
+    def _numbered(self, df: DataFrame, p: int, kind: Column, cut: dict[str, Column]) -> DataFrame:
+        return (df.withColumns({"leaf": _leaf(self.splits, p), "kind": kind})
+                .withColumns({n: F.col("kind") * F.lit(2**40) + F.floor(F.col("leaf") / F.pow(F.lit(2.0), by)).cast("long")
+                              for n, by in cut.items()}))
+
     def place(self, donors: DataFrame, p: int) -> DataFrame:
         """Adds box and cell numbers: class and leaf, with the leaf read to the depth of the class."""
-        def by_class(values: list[int], other: int) -> Column:
-            out = F.lit(other)
-            for (text, _, _), value in zip(self.classes, values):
-                out = F.when(_pattern(p) == F.lit(text), F.lit(value)).otherwise(out)
-            return out
+        deep = self.splits.depth
+        kind = self._by_class(p, list(range(len(self.classes))), MAX_PATTERNS)
+        cut = {"box": self._by_class(p, [deep - b for _, b, _ in self.classes], deep - self.rest[0]),
+               "cell": self._by_class(p, [deep - b for _, _, b in self.classes], deep - self.rest[1])}
+        return self._numbered(donors, p, kind, cut).withColumn("mixed", F.col("kind") == F.lit(MAX_PATTERNS)).drop("leaf", "kind")
 
+    def settle(self, receivers: DataFrame, p: int) -> DataFrame:
+        """Adds the number of the cell where donors of the receiver's own pattern lie, or else of the commonest."""
         deep = self.splits.depth
-        kind = by_class(list(range(len(self.classes))), MAX_PATTERNS)
-        cut = {"box": by_class([deep - b for _, b, _ in self.classes], deep - self.rest[0]),
-               "cell": by_class([deep - b for _, _, b in self.classes], deep - self.rest[1])}
-        return (donors.withColumns({"leaf": _leaf(self.splits, p), "kind": kind})
-                .withColumns({n: F.col("kind") * F.lit(2**40) + F.floor(F.col("leaf") / F.pow(F.lit(2.0), by)).cast("long")
-                              for n, by in cut.items()})
-                .withColumn("mixed", F.col("kind") == F.lit(MAX_PATTERNS)).drop("leaf", "kind"))
+        kind = self._by_class(p, list(range(len(self.classes))), 0)
+        cut = {"cell": self._by_class(p, [deep - b for _, _, b in self.classes], deep - self.classes[0][2])}
+        return self._numbered(receivers, p, kind, cut).drop("leaf", "kind")
 
 
 def _common_patterns(donors: DataFrame, sample: np.ndarray, p: int, whole: bool) -> list[tuple[str, int]]:
@@ -145,15 +154,33 @@ class _Shares:
         return join_units(df, self.split, self.count, "left").withColumns({n: F.coalesce(n, F.lit(1)) for n in ("dn", "rn")})
 
 
-def _shares(placed: DataFrame, visits: DataFrame, cell_ids: np.ndarray, size: np.ndarray, receiver_count: int, task_rows: int,
+def _shares(placed: DataFrame, visits: DataFrame, cells: int, crowded: bool, receiver_count: int, task_rows: int,
             held: list[StagedTable]) -> _Shares:
-    if receiver_count <= task_rows and not (size > task_rows).any():
-        return _Shares(len(cell_ids))  # no cell can be visited more often than there are receivers
-    plan = unit_counts(placed, visits).select(*UNIT, pieces("n", task_rows).alias("dn"), pieces("m", task_rows).alias("rn"))
+    if receiver_count <= task_rows and not crowded:
+        return _Shares(cells)  # no cell can be visited more often than there are receivers
+    if crowded:
+        counts = unit_counts(placed, visits)
+    else:  # every cell's donors fit one task
+        counts = visits.groupBy(*UNIT).agg(F.count(F.lit(1)).alias("m")).withColumn("n", F.lit(1))
+    plan = counts.select(*UNIT, pieces("n", task_rows).alias("dn"), pieces("m", task_rows).alias("rn"))
     held.append(write_stage(plan, "shares"))
     split = held[-1].frame.where("dn > 1 or rn > 1")
     units = held[-1].frame.agg(F.sum(F.col("dn").cast("long") * F.col("rn"))).first()[0]
-    return _Shares(int(units), split, split.count())
+    return _Shares(int(units or 1), split, split.count())
+
+
+def _meet(placed: DataFrame, visits: DataFrame, shares: _Shares, x: list[str], keys: Sequence[str]):
+    """Co-groups of a cell's visitors with its donors, each with the columns of the search."""
+    units = max(1, shares.units)
+    tasks = min(2 * units, max(4 * visits.sparkSession.sparkContext.defaultParallelism, units // 8))
+    meet = [*UNIT, "dpart", "rpart"]
+    left = (shares.join(visits).withColumn("rpart", F.pmod(F.xxhash64("row"), F.col("rn")).cast("int"))
+            .withColumn("dpart", F.explode(F.sequence(F.lit(0), F.col("dn") - 1)))
+            .select(*meet, "row", "bound", *x).repartition(tasks, *meet))
+    right = (shares.join(placed).withColumn("dpart", F.pmod(F.xxhash64(*keys), F.col("dn")).cast("int"))
+             .withColumn("rpart", F.explode(F.sequence(F.lit(0), F.col("rn") - 1)))
+             .select(*[F.col(n).alias(n) for n in (*meet, *x, "v", *keys)]).repartition(tasks, *meet))
+    return left.groupBy(*meet).cogroup(right.groupBy(*meet))
 
 
 def nearest_donors(receivers: DataFrame, receiver_count: int, donors: DataFrame, p: int, keys: Sequence[str], k: int,
@@ -168,8 +195,9 @@ def nearest_donors(receivers: DataFrame, receiver_count: int, donors: DataFrame,
     parallel = tasks_for(spark, receiver_count, SEARCH_ROWS)
     x = _x(p)
     nobody = receivers.select("row", F.lit(0.0).alias("v"), F.lit(0.0).alias("d2")).limit(0)
-    held.append(write_stage(distinct_donors(donors, p, keys, k), "donors"))
-    donors = held[-1].frame
+    distinct = write_stage(distinct_donors(donors, p, keys, k), "donors")
+    held.append(distinct)
+    donors = distinct.frame
     total, sample_rows = donors.count(), min(CUT_SAMPLE, DRIVER_CELLS // p)
     picked = donors if total <= sample_rows else donors.sample(0.9 * sample_rows / total, seed=0)
     sample = picked.select(*x).limit(sample_rows).toPandas().to_numpy(dtype=float)
@@ -177,10 +205,18 @@ def nearest_donors(receivers: DataFrame, receiver_count: int, donors: DataFrame,
         return nobody
     patterns = _common_patterns(donors, sample, p, total <= sample_rows)
     layout = _Layout.of(sample, patterns, total)
-    placed = layout.place(donors, p)
+    held.append(write_stage(layout.place(donors, p), "placed"))
+    placed = held[-1].frame
+    distinct.drop()
     boxes, cell_of_box = _boxes(placed, p)
     cell_ids, of_box = np.unique(cell_of_box, return_inverse=True)
+    cells = merged(boxes, of_box)
+    crowded = bool((cells.count > task_rows).any())
     shift = layout.splits.depth - layout.classes[0][2]
+    key_fields = [f for f in donors.schema.fields if f.name in keys]
+    winner_fields = [T.StructField("row", T.LongType()), T.StructField("d2", T.DoubleType()),
+                     T.StructField("v", T.DoubleType()), *key_fields]
+    visit_fields = [T.StructField("cell", T.LongType()), T.StructField("bound", T.DoubleType())]
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -192,31 +228,7 @@ def nearest_donors(receivers: DataFrame, receiver_count: int, donors: DataFrame,
             out["cell"], out["bound"] = cell_ids[pairs[:, 1]], bound[pairs[:, 0]]
             yield out
 
-    # neighbours in space share a batch; the row number splits a crowded leaf over several tasks
-    located = (receivers.withColumn("leaf", _leaf(layout.splits, p))
-               .repartitionByRange(parallel, "leaf", "row").sortWithinPartitions("leaf"))
-    visits = located.mapInPandas(find, T.StructType(receivers.schema.fields + [
-        T.StructField("cell", T.LongType()), T.StructField("bound", T.DoubleType())]))
-    size = np.bincount(of_box, weights=boxes.count)
-    placed, visits = (df.withColumn("sub", F.lit("")) for df in (placed.drop("box"), visits))
-    if receiver_count > task_rows or (size > task_rows).any():  # read several times, so the cells are looked up once
-        held.append(write_stage(visits, "visits"))
-        visits = held[-1].frame
-    if (size > task_rows).any():
-        held.append(write_stage(placed, "placed"))
-        placed, visits = refine(held[-1].frame, visits, x, list(keys), k, width, task_rows, held)
-    shares = _shares(placed, visits, cell_ids, size, receiver_count, task_rows, held)
-    tasks = min(2 * shares.units, max(4 * spark.sparkContext.defaultParallelism, shares.units // 8))
-    meet = [*UNIT, "dpart", "rpart"]
-    left = (shares.join(visits).withColumn("rpart", F.pmod(F.xxhash64("row"), F.col("rn")).cast("int"))
-            .withColumn("dpart", F.explode(F.sequence(F.lit(0), F.col("dn") - 1)))
-            .select(*meet, "row", "bound", *x).repartition(tasks, *meet))
-    right = (shares.join(placed).withColumn("dpart", F.pmod(F.xxhash64(*keys), F.col("dn")).cast("int"))
-             .withColumn("rpart", F.explode(F.sequence(F.lit(0), F.col("rn") - 1)))
-             .select(*[F.col(n).alias(n) for n in (*meet, *x, "v", *keys)]).repartition(tasks, *meet))
-
-    def match(visitors: pd.DataFrame, local: pd.DataFrame) -> pd.DataFrame:
-        local = local.sort_values(list(keys), kind="stable")
+    def look(visitors: pd.DataFrame, local: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
         at, d2 = nearest(visitors[x].to_numpy(dtype=float), local[x].to_numpy(dtype=float), k, width,
                          visitors["bound"].to_numpy(dtype=float))
         r, rank = np.nonzero(at >= 0)
@@ -224,12 +236,45 @@ def nearest_donors(receivers: DataFrame, receiver_count: int, donors: DataFrame,
         out = pd.DataFrame({"row": visitors["row"].to_numpy()[r], "d2": d2[r, rank], "v": chosen["v"].to_numpy()})
         for name in keys:
             out[name] = chosen[name].to_numpy()
-        return out
+        return out, d2
 
-    key_fields = [f for f in donors.schema.fields if f.name in keys]
-    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("d2", T.DoubleType()),
-                           T.StructField("v", T.DoubleType()), *key_fields])
-    winners = left.groupBy(*meet).cogroup(right.groupBy(*meet)).applyInPandas(match, schema)
+    def match(visitors: pd.DataFrame, local: pd.DataFrame) -> pd.DataFrame:
+        return look(visitors, local.sort_values(list(keys), kind="stable"))[0]
+
+    def match_home(unit: tuple, visitors: pd.DataFrame, local: pd.DataFrame) -> pd.DataFrame:
+        """The winners of the cell, and as rows of their own (with a cell number) the visits to other cells."""
+        local = local.sort_values(list(keys), kind="stable")
+        out, d2 = look(visitors, local)
+        out = out.assign(cell=-1, bound=0.0, **dict.fromkeys(x, 0.0))
+        if not len(visitors):
+            return out
+        at, cell, bound = reachable_within(visitors[x].to_numpy(dtype=float), d2[:, k - 1], cells, boxes, of_box, k, width)
+        other = cell_ids[cell] != unit[0]
+        at, cell = at[other], cell[other]
+        go = visitors.iloc[at][["row", *x]].assign(d2=0.0, v=0.0, cell=cell_ids[cell], bound=bound[at])
+        for name in keys:  # of any donor: whole numbers would not stay whole beside gaps
+            go[name] = local[name].to_numpy()[np.zeros(len(at), dtype=np.int64)] if len(local) else None
+        return pd.concat([out, go[out.columns]], ignore_index=True) if len(out) else go
+
+    placed, first = placed.drop("box").withColumn("sub", F.lit("")), None
+    if crowded:
+        # neighbours in space share a batch; the row number splits a crowded leaf over several tasks
+        located = (receivers.withColumn("leaf", _leaf(layout.splits, p))
+                   .repartitionByRange(parallel, "leaf", "row").sortWithinPartitions("leaf"))
+        visits = located.mapInPandas(find, T.StructType(receivers.schema.fields + visit_fields)).withColumn("sub", F.lit(""))
+        held.append(write_stage(visits, "visits"))  # read several times, so the cells are looked up once
+        placed, visits = refine(placed, held[-1].frame, x, list(keys), k, width, task_rows, held)
+    else:
+        home = layout.settle(receivers, p).withColumns({"sub": F.lit(""), "bound": F.lit(float("inf"))})
+        shares = _shares(placed, home, len(cell_ids), False, receiver_count, task_rows, held)
+        fields = winner_fields + visit_fields + [T.StructField(n, T.DoubleType()) for n in x]
+        held.append(write_stage(_meet(placed, home, shares, x, keys).applyInPandas(match_home, T.StructType(fields)), "home"))
+        first = held[-1].frame.where("cell < 0").select(*[f.name for f in winner_fields])
+        visits = held[-1].frame.where("cell >= 0").select("row", *x, "cell", "bound", F.lit("").alias("sub"))
+    shares = _shares(placed, visits, len(cell_ids), crowded, receiver_count, task_rows, held)
+    winners = _meet(placed, visits, shares, x, keys).applyInPandas(match, T.StructType(winner_fields))
+    if first is not None:
+        winners = first.unionByName(winners)
     rank = Window.partitionBy("row").orderBy(F.round("d2", DECIMALS), *keys)
     return winners.withColumn("rn", F.row_number().over(rank)).where(F.col("rn") <= k).select("row", "v", "d2")
 
@@ -280,7 +325,10 @@ def impute_knn(df: DataFrame, key: Sequence[str], cols: Sequence[str], seen: Pro
     fallback = {n: seen.columns[n].mean for n in gaps}
     if len(cols) == 1:
         return df.withColumns({n: F.coalesce(dbl(n), F.lit(fallback[n])) for n in gaps})
-    complete, incomplete = split_rows(df, gaps)
+    # written once, since every gap column reads it twice: what makes the columns (draws, texts) is not worked out again
+    whole = stage(df.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    df, incomplete = whole.drop(ROW), whole.where(any_missing(gaps))
+    complete = df.where(all_present(gaps))
     keys = [f"k{i}" for i in range(len(key))]
     fills = None
     for i, target in enumerate(gaps):

@@ -9,7 +9,7 @@ from tests.helpers import collect, to_spark
 from gapwise import impute
 from gapwise.functions.missing import profile
 from gapwise.operators import knn
-from gapwise.operators.cells import nearest, squared_distances
+from gapwise.operators.cells import Boxes, cut_sample, merged, nearby, nearest, reachable, reachable_within, squared_distances
 from gapwise.operators.chained import fit_chained
 from gapwise.operators.em import fit_em
 from gapwise.operators.linear import bayesian_ridge, least_squares
@@ -245,6 +245,57 @@ def test_nearest_equals_all_distances(seed, decimals):
             assert np.array_equal(d2[i, : len(order)], d[i, order])
 
 
+def test_nearest_of_donors_that_queries_see_at_one_point():
+    """Queries without the coordinate that tells donors apart; the smallest positions win, and donors of one pattern have gaps."""
+    rng = np.random.default_rng(5)
+    donors = np.column_stack([rng.integers(0, 3, 4000), rng.normal(size=4000), np.full(4000, np.nan)])
+    queries = np.column_stack([rng.integers(0, 3, 300), rng.normal(size=300), rng.normal(size=300)])
+    queries[:200, 1] = np.nan
+    at, d2 = nearest(queries, donors, 4, 3)
+    d = squared_distances(queries, donors, 3)
+    want = np.stack([np.lexsort((np.arange(4000), np.round(row, 9)))[:4] for row in d])
+    assert np.array_equal(at, want) and np.array_equal(d2, np.take_along_axis(d, want, axis=1))
+
+
+def test_receivers_visit_few_cells_and_none_that_matters_is_left_out():
+    """With the bound that the donors of the own cell give; the boxes alone gave several cells a row."""
+    rng = np.random.default_rng(6)
+    donors, q, k = rng.random((64_000, 3)), rng.random((1500, 3)), 5
+    tree = cut_sample(donors[:20_000], 9)
+    leaf, home = tree.leaf(donors), tree.leaf(q) >> 4
+    low, high = (np.stack([how(donors[leaf == i], axis=0) for i in range(512)]) for how in (np.min, np.max))
+    count, of_box = np.bincount(leaf, minlength=512), np.arange(512) >> 4
+    boxes = Boxes(low, high, np.ones((512, 3), bool), np.ones(512, bool), count)
+    cells = merged(boxes, of_box)
+    kth = np.full(len(q), np.inf)
+    for cell in range(32):
+        kth[home == cell] = nearest(q[home == cell], donors[leaf >> 4 == cell], k, 4)[1][:, k - 1]
+    kth[:20] = np.inf  # as if the own cell had too few donors: the boxes must do
+    at, cell, bound = reachable_within(q, kth, cells, boxes, of_box, k, 4)
+    met = set(zip(at.tolist(), cell.tolist()))
+    best, d2 = nearest(q, donors, k, 4)
+    assert all((i, of_box[leaf[j]]) in met for i in range(len(q)) for j in best[i])
+    assert len(met) == len(at) and (bound >= d2[:, k - 1]).all()
+    few = np.bincount(at, minlength=len(q))[20:]
+    old = reachable(q, boxes, k, 4, [nearby(q)])
+    assert few.mean() < 1.7 and 2 * few.mean() < len(np.unique(np.column_stack([old[0], of_box[old[1]]]), axis=0)) / len(q)
+
+
+def test_neighbours_work_out_their_input_once(spark):
+    """A profile and one copy, however many columns have gaps: what makes the rows (here counted) may be dear."""
+    pdf, made = gappy(200, 3, 0.2, seed=9), spark.sparkContext.accumulator(0)
+
+    def count(value: float) -> float:
+        made.add(1)
+        return value
+
+    df = to_spark(spark, pdf).withColumn("c1", F.udf(count, "double")("c1"))
+    out = impute(df, "knn", {"n_neighbors": 3}, key="id").frame
+    cols = ["c0", "c1", "c2"]
+    assert np.allclose(collect(out)[cols], brute_knn(pdf, cols, 3, "uniform", True), atol=1e-9)
+    assert made.value <= 2 * len(pdf)
+
+
 def crowd(spark, n, spot):
     """One cell with ``n`` donors and ``n`` visitors; a third of both lies in a small spot."""
     rng = np.random.default_rng(n)
